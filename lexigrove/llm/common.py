@@ -72,6 +72,22 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+_SPREAD = 1 << 30
+
+
+def place(doc_id: str = "doc_id") -> Column:
+    """A fixed place of an id in [0, 2^30), spread evenly."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(_SPREAD))
+
+
+def share(count: int, most: int) -> int:
+    """Places below this hold about three times ``most`` of ``count`` rows, or all of them.
+
+    Filtering by it before ranking keeps what a task passes on independent of the number of tasks.
+    """
+    return _SPREAD if count <= 3 * most else int(_SPREAD * 3 * most / count)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int) -> list[tuple[str, int]]:
     """Up to ``most`` (text, label) rows of each class for fitting a classifier, in a fixed order.
 
@@ -82,7 +98,8 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int) -> list
     spark = docs.sparkSession
     lab = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
     lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
-    picked = [r for y in (0, 1) for r in lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    sizes = {r.y: r["count"] for r in lab.groupBy("y").count().collect()}
+    picked = [r for y, n in sorted(sizes.items()) for r in lab.where((F.col("y") == y) & (place() < share(n, most))).orderBy(place(), "doc_id").limit(most).collect()]
     if not picked:
         return []
     ids = spark.createDataFrame([(int(r.doc_id), int(r.y)) for r in picked], "doc_id long, y int")

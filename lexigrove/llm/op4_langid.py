@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernel as K
-from lexigrove.llm.common import fold, keep, rows
+from lexigrove.llm.common import fold, keep, place, rows, share
 
 DIM = 4096
 SAMPLE = 500
@@ -163,8 +163,12 @@ class Model:
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
     """From the ``most`` documents of each language with the smallest hash of their id, outside fold 2 of 4."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang")
+    below = F.lit(0)
+    for r in known.groupBy("lang").count().collect():  # one row a language
+        below = F.when(F.col("lang") == r.lang, share(r["count"], most)).otherwise(below)
+    order = Window.partitionBy("lang").orderBy(place(), "doc_id")
+    ids = known.where(place() < below).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
     picked = docs.sparkSession.createDataFrame([(r.doc_id,) for r in ids.select("doc_id").collect()], "doc_id long").distinct()  # at most `most` ids a language
     got = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").collect()
     got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
