@@ -63,7 +63,7 @@ def is_mush(c: Column) -> Column:
     """Scraps of a diagram or torn table."""
     ln = lines(c)
     n = F.size(ln)
-    short, scraps = (F.size(F.filter(ln, lambda x, k=k: F.length(x) < k)) for k in (20, 5))
+    short, scraps = F.size(F.filter(ln, lambda x: F.length(x) < 20)), F.size(F.filter(ln, lambda x: F.length(x) < 5))
     bare = (F.length(c) >= 200) & (F.regexp_count(c, F.lit("[.,;]")) * 1000 / F.length(c) < 2)
     return (n >= 4) & ((short / n > 0.5) | (scraps / n > 0.3) | bare)
 
