@@ -20,13 +20,13 @@ def lines(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """No-break blanks to blanks, runs of blanks to one, lines trimmed at their ends, text trimmed."""
-    c = F.regexp_replace(F.translate(c, " ", " "), "[ \t]+", " ")
-    return strip(F.regexp_replace(c, "(?m) +$", ""))
+    c = F.regexp_replace(F.translate(c, "\u00a0", " "), "[ \t]+", " ")
+    return strip(F.regexp_replace(c, " +\n", "\n"))
 
 
 def join_hyphens(c: Column) -> Column:
     """Words broken at a line's end become whole."""
-    c = F.regexp_replace(F.regexp_replace(c, "­", ""), "\r\n?", "\n")
+    c = F.regexp_replace(F.regexp_replace(c, "\u00ad", ""), "\r\n?", "\n")
     return F.regexp_replace(c, r"([A-Za-zА-Яа-яЁё])[ \t]*-[ \t]*\n[ \t]*([A-Za-zА-Яа-яЁё])", "$1$2")
 
 

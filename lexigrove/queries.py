@@ -44,7 +44,7 @@ _tok = lambda c: _TOK.replace("{c}", c)
 _lines = lambda c: _LINES.replace("{c}", c)
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' \\t\\n\\r')) AS h FROM (SELECT doc_id, regexp_replace(text, '[ \\t]+\\n', chr(10), 'g') AS text FROM documents)")
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' \\t\\n\\r')) AS h FROM (SELECT doc_id, regexp_replace(replace(text, chr(160), ' '), '[ \\t]+\\n', chr(10), 'g') AS text FROM documents)")
 def normalize_whitespace(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("h"))
 
@@ -223,7 +223,7 @@ _LEX = f"""WITH c AS ({_CHUNKS}), s AS (SELECT count(*) AS n, avg(len(t)) AS avg
  h AS (SELECT query_id, chunk_ord, n_terms, count(*) AS m, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN p USING (term) JOIN df USING (term), s GROUP BY ALL),
  g AS (SELECT query_id, chunk_ord, CASE WHEN {_mush('c.text')} THEN score / 2 ELSE score END AS score, {_FOLD.replace('{c}', 'c.text')} AS f, CASE WHEN len(q.t) >= 3 AND length({_FOLD.replace('{c}', 'q.text')}) >= 20 THEN {_FOLD.replace('{c}', 'q.text')} END AS ph
   FROM h JOIN c USING (chunk_ord) JOIN q USING (query_id) WHERE CASE WHEN n_terms = 1 THEN m = 1 ELSE m >= 2 AND m / n_terms >= 0.5 END),
- r AS (SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(contains(f, ph), false) DESC, CASE WHEN coalesce(contains(f, ph), false) THEN length(f) ELSE 0 END, score DESC, chunk_ord) AS rank FROM g WHERE score > 0)"""
+ r AS (SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(contains(f, ph), false) DESC, CASE WHEN coalesce(contains(f, ph), false) THEN length(f) ELSE 0 END, round(score, 9) DESC, chunk_ord) AS rank FROM g WHERE score > 0)"""
 
 
 @query(_LEX + " SELECT query_id, chunk_ord, round(score, 6) AS score, rank FROM r WHERE rank <= 3")
