@@ -1,0 +1,217 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from lexigrove.llm import bpe, op1_decontaminate, op2_quality, op3_lm, op4_langid, op5_tokens, op6_pieces, op7_simhash, op8_toxicity, op9_html, op10_rules
+from lexigrove.llm import kernel as K
+from lexigrove.llm import queries
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+ODD = [None, "", " \n\t ", "a", "A b", "The cat sat on the mat. " * 3, "é ü ☃\u00a0x  y", "12 !? --", "x" * 5000, "word " * 3000, "same text again", "same text again"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and ids, and extra columns whose names clash with results."""
+    rows = [(i, t, None if i % 3 else "en", None, None, None, "x") for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows + [rows[5], (None, "no id here", "en", "s", 1, 0.5, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(5, 1, 0), (9, 0, 1), (9, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_kernel():
+    col = pa.array(ODD)
+    for a, b, data, off in K.slices(col, 64):
+        w = K.Words(data, off)
+        for i in range(a, b):
+            p, q = w.bounds[i - a], w.bounds[i - a + 1]
+            assert [bytes(data[s:e]).decode() for s, e in zip(w.starts[p:q], w.ends[p:q])] == WORD.findall(ODD[i] or "")
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_keep_every_row(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    n = {"op1": None, "op9": "pages"}.get(name.split("_")[0], "documents")
+    if n:
+        assert df.count() == spark.read.parquet(f"{SF}/{n}.parquet").count()
+
+
+def test_operators_take_odd_rows(spark, odd, labels):
+    items = spark.createDataFrame([(1, "the cat sat on the mat."), (2, None), (3, "")], "item_id long, text string")
+    n = odd.count()
+    for df in (op2_quality.quality_scores(odd, labels), op3_lm.lm_scores(odd), op4_langid.language_id(odd), op5_tokens.token_counts(odd), op6_pieces.encode(odd), op7_simhash.simhash_groups(odd), op8_toxicity.toxicity(odd, labels), op10_rules.quality_rules(odd, labels)):
+        assert len(df.collect()) == n
+    assert {r.doc_id for r in op1_decontaminate.contained(odd, items).collect()} == {5}
+    empty, none = odd.limit(0), labels.limit(0)
+    for df in (op2_quality.quality_scores(empty, none), op3_lm.lm_scores(empty), op4_langid.language_id(empty), op5_tokens.token_counts(empty), op6_pieces.encode(empty), op7_simhash.simhash_groups(empty), op8_toxicity.toxicity(empty, none), op10_rules.quality_rules(empty, none), op1_decontaminate.contained(empty, items), op7_simhash.one_of_each(spark, empty)):
+        assert df.collect() == []
+    assert all(r.lang_pred == "und" for r in op4_langid.language_id(odd).collect() if r.doc_id in (0, 1, 2, 7))
+
+
+def test_op1_blocks_and_threshold(spark):
+    words = [f"w{i}" for i in range(40)]
+    d = spark.createDataFrame([(1, "x y " + " ".join(words) + " z"), (2, " ".join(words[:38])), (3, " ".join(words[:30])), (4, "W0, w1; w2")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words)), (8, "w0 w1 w2")], "item_id long, text string")
+    want = {(7, 1), (7, 2), (8, 1), (8, 2), (8, 3), (8, 4)}
+    for limit in (1 << 20, 1):
+        assert {(r.item_id, r.doc_id) for r in op1_decontaminate.contained(d, items, limit=limit).collect()} == want
+    assert [r.doc_id for r in op1_decontaminate.clean(d, items.where("item_id = 7")).orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_op3_base(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    words = {r.doc_id: WORD.findall((r.text or "").translate(UPPER)) + [0] for r in rows}
+    train = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(train.values()), len(train)
+    for top in (op3_lm.TOP, 50):
+        before, op3_lm.TOP = op3_lm.TOP, top
+        got = op3_lm.lm_scores(docs).collect()
+        op3_lm.TOP = before
+        for r in got:
+            ws = words[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in train for w in ws), n)
+            assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws))
+
+
+def test_op3_is_a_distribution_and_causal():
+    x = op3_lm.ids_of(["the cat sat on the mat and then it sat again " * 5, "a dog"], bpe.read())
+    c = op3_lm.Classes(x.ids, x.before)
+    unigram = np.bincount(x.ids, minlength=op3_lm.VOCABULARY).astype(np.float32)
+    pairs, contexts = np.zeros((op3_lm.ROWS, op3_lm.ROWS), np.float32), np.zeros((op3_lm.CONTEXTS, op3_lm.CLASSES), np.float32)
+    np.add.at(pairs, (c.row[x.before], c.row[x.ids]), 1)
+    np.add.at(contexts, (c.context(x), c.of[x.ids]), 1)
+    m = op3_lm.Model(c, unigram, pairs, contexts).train(x, contexts, steps=5)
+    shares = 10.0 ** (m.share[m.row[bpe.END]][m.row] + m.rest)
+    assert np.allclose(np.bincount(c.of, shares, op3_lm.CLASSES)[np.unique(c.of)], 1, atol=1e-3)
+    y = op3_lm.ids_of(["the cat sat on the mat and then it sat"], bpe.read())
+    z = op3_lm.ids_of(["the cat sat on the mat and then it sat"], bpe.read())
+    assert m.logs(y) == pytest.approx(m.logs(z))
+
+
+def test_op5_edits_match_recounting():
+    counter = op5_tokens.Counter(bpe.read())
+    rng = np.random.default_rng(1)
+    texts = [t or "" for t in ODD[:8]] + ["mail a.b@c.de or  call\n\nsoon", "tail  "]
+    for _ in range(30):
+        for _, d, _ in counter.documents(pa.array(texts)):
+            raw = d.text
+            if not raw.isascii():
+                continue
+            cuts = np.sort(rng.choice(len(raw) + 1, min(4, len(raw) + 1), replace=False)).tolist()
+            edits = [(cuts[i], cuts[i + 1], [b"", b"xy", b" z "][rng.integers(3)]) for i in range(0, len(cuts) - 1, 2)]
+            want = raw
+            for s, e, new in reversed(edits):
+                want = want[:s] + new + want[e:]
+            d.apply(edits)
+            assert d.edited() == want or not len(d.ends)
+            assert d.tree.total == len(counter.encode(want.decode()))
+
+
+def test_op6_nbest_and_round_trip():
+    c = op6_pieces.Codec(op6_pieces.read())
+
+    def brute(s):
+        if not s:
+            return [(0.0, [])]
+        out = []
+        for j in range(1, len(s) + 1):
+            if s[:j] in c.score:
+                out += [(c.score[s[:j]][0] + w, [c.score[s[:j]][1], *i]) for w, i in brute(s[j:])]
+        if s[0] not in c.score:
+            out += [(w, [*(c.byte[b] for b in ("▁" if s[0] == op6_pieces.STRAY else s[0]).encode()), *i]) for w, i in brute(s[1:])]
+        return out
+
+    for t in ("the cat", "hello  x", "a▁b", "né\nx", "☃☃ ab", "Hi, you."):
+        want = sorted((w for w, _ in brute(c.prepared(" " + t))), reverse=True)[:5]
+        got = c.nbest(t, 5)
+        assert [w for w, _ in got] == want
+        for _, _, ids, _, scores, *_ in c.encode(pa.array([t])):
+            assert np.allclose(scores[0][: len(want)], want[:3]) and c.decode(ids) == t
+    for t in ODD:
+        for _, _, ids, *_ in c.encode(pa.array([t], pa.string())):
+            assert c.decode(ids) == (t or "")
+
+
+def fingerprint(text):
+    ws = WORD.findall((text or "").translate(UPPER))
+    g = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [" ".join(ws)] if ws else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in g]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_op7_against_brute_force(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    want = {r.doc_id: fingerprint(r.text) for r in rows}
+    got = {r.doc_id: r for r in op7_simhash.simhash_groups(docs).collect()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == want
+    parent = {i: i for i in want}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(want)
+    for i in ids:
+        for j in ids:
+            if i < j and (want[i] ^ want[j]).bit_count() <= 3:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    assert {i: r.component_id for i, r in got.items()} == {i: top(i) for i in ids}
+    kept = [r.doc_id for r in op7_simhash.one_of_each(spark, docs.union(docs)).collect()]
+    assert sorted(kept) == sorted({top(i) for i in ids})
+
+
+def test_op7_heavy_shards_keep_links(spark):
+    rng = np.random.default_rng(0)
+    base = 0x0123456789ABCDEF
+    fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 12, (60, 2))})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for heavy in (3, 4096):
+        found = op7_simhash.components(op7_simhash.links(df, heavy)).collect()
+        roots = {r.node: r.root for r in found}
+        parent = {f: f for f in fps}
+        for x, y in op7_simhash.spanning_links(fps):
+            parent[y] = x
+        assert len({roots.get(f, f) for f in fps}) == 1
+
+
+def test_op8_finds_misspellings():
+    trie = op8_toxicity.Trie(["idiot", "worthless"], ["lowei"])
+    assert [trie.kind(w) for w in ("idiot", "idoit", "idiott", "ideot", "worthles", "loweiab", "lozeiab", "table")] == [op8_toxicity.EXACT, 0, op8_toxicity.TERM, op8_toxicity.TERM, op8_toxicity.TERM, op8_toxicity.EXACT, op8_toxicity.STEM, 0]
+    m = op8_toxicity.Model([])
+    m.trie = trie
+    x = m.features(pa.array(["you idiot", 'he said "you idiot" and left']), K.Memo(m.kinds))
+    assert x[0, 1] > x[1, 1] > 0
+
+
+def test_op9_pages():
+    tree = op9_html.default_tree()
+    f = lambda h: op9_html.main_text(h, tree)
+    assert f(None) == f("") == f("<script>x</script>") == ""
+    assert f("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>one<br>two <b>x</b><p>last</article><footer>(c)</footer>") == "T & U\none two x\nlast"
+    assert f("<article>a < b<!-- no --><script>var t='</p>'</script><div class='comments'>nice</div></article>") == "a < b"
+    assert f("<div class='sidebar'>" + "word " * 40 + "</div><main><p>Body") == "Body"
+
+
+def test_op10_counts():
+    t = "a b c a b c\nx y\nx y\n\n#tag"
+    c = dict(zip(op10_rules.COUNTS, op10_rules.statistics(pa.array([t, None]))[0].tolist()))
+    assert (c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"]) == (11, 14, 1, 1, 6)
