@@ -39,12 +39,12 @@ def _docs(spark, d):
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _FOLD = "trim(regexp_replace(replace(lower({c}), 'ё', 'е'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _TOK = f"list_filter(regexp_extract_all({_FOLD}, '{TOKEN}'), lambda t: NOT list_contains({_STOP}, t))"
-_LINES = "list_filter(list_transform(regexp_split_to_array({c}, '\\n'), lambda x: trim(x, ' \\t\\n\\r')), lambda x: x <> '')"
+_LINES = "list_filter(list_transform(regexp_split_to_array({c}, '\\n'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
 _tok = lambda c: _TOK.replace("{c}", c)
 _lines = lambda c: _LINES.replace("{c}", c)
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' \\t\\n\\r')) AS h FROM (SELECT doc_id, regexp_replace(replace(text, chr(160), ' '), '[ \\t]+\\n', chr(10), 'g') AS text FROM documents)")
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13))) AS h FROM (SELECT doc_id, regexp_replace(replace(text, chr(160), ' '), '[ \\t]+\\n', chr(10), 'g') AS text FROM documents)")
 def normalize_whitespace(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("h"))
 
@@ -140,7 +140,7 @@ def _pages(spark, d):
     return p.withColumn("reason", reason)
 
 
-_REASON = f"""SELECT d.doc_id, d.source, d.lang, d.text, CASE WHEN q = 0 THEN 'status' WHEN length(trim(text, ' \\t\\n\\r')) < 40 THEN 'short'
+_REASON = f"""SELECT d.doc_id, d.source, d.lang, d.text, CASE WHEN q = 0 THEN 'status' WHEN length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) < 40 THEN 'short'
  WHEN len({_lines('text')}) >= 6 AND len(list_filter({_lines('text')}, lambda x: regexp_matches(x, '\\.{{4,}}|…{{2,}}'))) >= greatest(4, 0.4 * len({_lines('text')})) THEN 'toc' END AS reason
  FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)"""
 
