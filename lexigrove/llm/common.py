@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 
 
+BATCH = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,7 +29,10 @@ def fold(doc_id: Column | str, mod: int) -> Column:
 
 
 def rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow; spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default) bounds what a batch holds."""
+    """mapInArrow with batches of ``BATCH`` bytes at most (or one longer row), which bounds a worker's memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_KEY).rstrip("b")) > BATCH:
+        conf.set(_BATCH_KEY, f"{BATCH}b")
     return df.mapInArrow(make, schema)
 
 

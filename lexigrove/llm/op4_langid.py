@@ -62,7 +62,7 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 def shares(texts: list[str]) -> np.ndarray:
     """Documents x DIM: share of each n-gram, scaled to make weights of order one."""
     x = np.zeros((len(texts), DIM), np.float32)
-    for a, b, data, off in K.slices(pa.array(texts, pa.string())):
+    for a, b, data, off in K.slices(pa.array(texts, pa.string()), 1 << 18):  # small slices: this runs in the driver
         w = K.Words(data, off, lower=True)
         g, counts = grams(w.data, w.starts, w.ends)
         per = np.concatenate([[0], np.cumsum(counts)])[w.bounds]
@@ -78,7 +78,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 150) -> t
     y = np.where(y, 1.0, -1.0).astype(np.float32)
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     w = np.zeros(x.shape[1] + 1, np.float32)
-    v, rate, t = w.copy(), 1.0 / (1.0 + 2 * cost * float((np.square(x).sum(1) + 1).mean())), 1.0
+    v, rate, t = w.copy(), 1.0 / (1.0 + 2 * cost * (float(np.einsum("ij,ij->", x, x)) / len(x) + 1)), 1.0
     for _ in range(steps):
         m = 1 - y * (x @ v[:-1] + v[-1])
         c = -2 * cost * weight * y * np.maximum(m, 0)
