@@ -105,6 +105,18 @@ def test_op3_is_a_distribution_and_causal():
     assert m.logs(y) == pytest.approx(m.logs(z))
 
 
+def test_op3_every_id_and_context_has_its_own_place():
+    rng, v = np.random.default_rng(3), 6000
+    ids = np.concatenate([np.arange(v), rng.integers(0, v, 300_000)]).astype(np.int32)
+    before = np.concatenate([[bpe.END], ids[:-1]]).astype(np.int32)
+    c = op3_lm.Classes(ids, before)
+    assert len(set(c.row[:v])) == v and (c.row[v:] == c.row[v]).all()
+    x = op3_lm.ids_of([""], bpe.read())
+    x.ids, x.before, x.earlier, x.bounds = ids, before, np.concatenate([[bpe.END], before[:-1]]), np.array([0, len(ids)])
+    contexts = set(zip(x.earlier.tolist(), x.before.tolist(), c.context(x).tolist()))
+    assert len(contexts) == len({(e, b) for e, b, _ in contexts}) == len({at for *_, at in contexts}) > 1 << 18
+
+
 def test_op5_edits_match_recounting():
     counter = op5_tokens.Counter(bpe.read())
     rng = np.random.default_rng(1)
