@@ -117,6 +117,24 @@ def test_op3_every_id_and_context_has_its_own_place():
     assert len(contexts) == len({(e, b) for e, b, _ in contexts}) == len({at for *_, at in contexts}) > 1 << 18
 
 
+def test_op3_learns_from_all_training_documents(spark, docs, monkeypatch):
+    seen, train = [], op3_lm.Model.train
+    monkeypatch.setattr(op3_lm.Model, "train", lambda m, x, *a: seen.append((m, x)) or train(m, x, *a))
+    rows = [r.text or "" for r in docs.select("doc_id", "text").collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    x = op3_lm.ids_of(rows, bpe.read())
+    more = docs
+    for i in range(1, 4):
+        more = more.union(docs.withColumn("doc_id", docs.doc_id + 1000 * i))
+    for df, sample in ((docs, 1), (more, 1), (docs, 400)):
+        op3_lm.lm_scores(df, sample=sample)
+    (m, few), (_, many), (_, whole) = seen
+    ids = np.unique(x.ids)
+    assert len(set(m.row[ids])) == len(ids) and m.row.max() not in m.row[ids]
+    assert 0 < 1.3 * len(few) < len(many)
+    want = op3_lm.Model.cut(x, *op3_lm.Model.windows(x.bounds))
+    assert sorted(map(bytes, whole)) == sorted(map(bytes, want))
+
+
 def test_op5_edits_match_recounting():
     counter = op5_tokens.Counter(bpe.read())
     rng = np.random.default_rng(1)
