@@ -244,43 +244,53 @@ class Codec:
         return stream, new, cuts[:-1], cuts[1:]
 
     def encode(self, col: pa.Array):
-        """(first row, row after the last, ids, bounds of ids by text, scores, stream, its offsets) by slice.
+        """(first row, row after the last, ids, bounds of ids by text, scores, stream, its offsets, others) by slice.
 
-        ``scores`` has the N-best scores of each text, best first; NaN where there are fewer segmentations.
+        ``scores`` has the N-best scores of each text, best first; NaN where there are fewer segmentations. ``others`` has
+        the ids of the second, third... segmentation of each text, as many as there are.
         """
         for a, b, data, off in K.slices(col):
             stream, new, starts, ends = self.chunks(data, off)
             scores = np.full((b - a, NBEST), np.nan)
             if not len(starts):
-                yield a, b, np.zeros(0, np.int32), np.zeros(b - a + 1, np.int64), scores, stream, new
+                yield a, b, np.zeros(0, np.int32), np.zeros(b - a + 1, np.int64), scores, stream, new, [[] for _ in range(b - a)]
                 continue
             at, rows_ = self.memo(stream, starts, ends, K.Hasher(stream)(starts, ends))
             ids, size = self.memo.expand(at, rows_)
             bounds = np.searchsorted(starts, new)
             bounds[-1] = len(starts)
             row = rows_[at, 2]
+            begin, others = np.concatenate([[0], np.cumsum(size)]), [[] for _ in range(b - a)]
             total, loss = K.sums(self.memo.best[row], bounds), self.memo.loss[row]
             for i in range(b - a):
                 p, q = bounds[i], bounds[i + 1]
                 if p < q:
                     # only the chunks whose second segmentation costs least can differ among the best of the text
                     k = min(NBEST - 1, q - p)
-                    near = p + np.argpartition(loss[p:q], k - 1)[:k]
-                    scores[i] = combined(total[i], [self.memo.losses(int(row[x]), stream, starts[x], ends[x]) for x in near.tolist()])
-            yield a, b, ids, np.concatenate([[0], np.cumsum(size)])[bounds], scores, stream, new
-
-
-def combined(best: float, losses: list[list[float]], n: int = NBEST) -> np.ndarray:
-    """Scores of the ``n`` best ways to take one list entry of each chunk.
+                    near = np.sort(p + np.argpartition(loss[p:q], k - 1)[:k]).tolist()
+                    lists = [self.memo.others(int(row[x]), stream, starts[x], ends[x], ids[begin[x] : begin[x + 1]]) for x in near]
+                    scores[i], picks = combined(total[i], [[cost for cost, _ in way] for way in lists])
+                    for pick in picks[1:]:
+                        parts, done = [], begin[p]
+                        for x, way, entry in zip(near, lists, pick):
+                            if entry:
+                                parts += [ids[done : begin[x]], way[entry - 1][1]]
+                                done = begin[x + 1]
+                        others[i].append(np.concatenate([*parts, ids[done : begin[q]]]))
+            yield a, b, ids, begin[bounds], scores, stream, new, others
+
+
+def combined(best: float, losses: list[list[float]], n: int = NBEST) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Scores of the ``n`` best ways to take one list entry of each chunk, and the entries that each way takes.
 
     ``losses``: for the chunks that can differ, what their second, third... entry costs against their first.
     """
     out = np.full(n, np.nan)
-    ways = [0.0]
+    ways: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for row in losses:
-        ways = sorted(w + x for w in ways for x in (0.0, *row))[:n]
-    out[: len(ways)] = best - np.array(ways)
-    return out
+        ways = sorted((w + x, (*pick, i)) for w, pick in ways for i, x in enumerate((0.0, *row)))[:n]
+    out[: len(ways)] = best - np.array([w for w, _ in ways])
+    return out, [pick for _, pick in ways]
 
 
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,19 +305,21 @@ class Memo(K.Pool):
     def __init__(self, codec: Codec, most: int = 1_000_000):
         self.codec = codec
         self.best, self.loss = np.zeros(0), np.zeros(0)
-        self.lists_: dict[int, list[float]] = {}
+        self.lists_: dict[int, list[tuple[float, np.ndarray]]] = {}
         super().__init__(None, most)
 
     def fresh(self) -> None:
         super().fresh()
         self.best, self.loss, self.lists_ = np.zeros(0), np.zeros(0), {}
 
-    def losses(self, row: int, stream: np.ndarray, start: int, end: int) -> list[float]:
-        """What the chunk's second, third... segmentation costs, by A*."""
+    def others(self, row: int, stream: np.ndarray, start: int, end: int, best: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """(what it costs, ids) of the chunk's second, third... segmentation, by A*; ``best`` has the ids of the first."""
         if row not in self.lists_:
             c = self.codec
             ways = c.search(c.prepared(stream[start:end].tobytes().decode("utf-8", "replace")), NBEST)
-            self.lists_[row] = [ways[0][0] - w for w, _ in ways[1:]]
+            # of ways with equal scores, A* may find another one first
+            first = best.tolist()
+            self.lists_[row] = [(ways[0][0] - w, np.array(i, np.int32)) for w, i in ways if list(i) != first][: NBEST - 1]
         return self.lists_[row]
 
     def add(self, strings: list[bytes]) -> np.ndarray:
@@ -348,18 +360,19 @@ def codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
-SCHEMA = "doc_id long, ids array<int>, scores array<double>, round_trip boolean"
+SCHEMA = "doc_id long, ids array<int>, scores array<double>, round_trip boolean, others array<array<int>>"
 
 
 def encode(docs: DataFrame, path: str = TOKENIZERS) -> DataFrame:
-    """doc_id, ids of the best segmentation, N-best scores, and whether decoding gave the text back, for every row."""
+    """doc_id, ids of the best segmentation, N-best scores, whether decoding gave the text back, and the ids of the other
+    segmentations that have scores, for every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(read(path))
 
     def run(batches):
         c = codec(shipped.value)
         for batch in batches:
             doc_ids = batch.column(0).cast(pa.int64())
-            for a, b, ids, bounds, scores, stream, new in c.encode(batch.column(1)):
+            for a, b, ids, bounds, scores, stream, new, others in c.encode(batch.column(1)):
                 back = c.flat(ids)
                 size = np.concatenate([[0], np.cumsum(c.size[ids])])[bounds]
                 same = np.diff(size) == np.diff(new)
@@ -369,12 +382,15 @@ def encode(docs: DataFrame, path: str = TOKENIZERS) -> DataFrame:
                 else:
                     same &= [(back[s:e] == stream[p:q]).all() if e - s == q - p else False for s, e, p, q in zip(size, size[1:], new, new[1:])]
                 flat = pa.array(scores.ravel(), from_pandas=True)  # NaN: there are fewer ways
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * NBEST), flat), pa.array(same)], names=["doc_id", "ids", "scores", "round_trip"])
+                ways = [x for one in others for x in one]
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ways)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ways]), pa.int32()))
+                outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * NBEST), flat), pa.array(same), outer], names=["doc_id", "ids", "scores", "round_trip", "others"])
 
     return rows(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """Counts, scores and a hash of the ids."""
+    """Counts, scores and hashes of the ids of each segmentation."""
     s = [F.col("scores")[i].alias(name) for i, name in enumerate(("best_score", "second_score", "third_score"))]
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), *s, "round_trip")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), *s, "round_trip", *(F.xxhash64(F.get("others", F.lit(i))).alias(name) for i, name in enumerate(("second_hash", "third_hash"))))

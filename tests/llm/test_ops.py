@@ -179,6 +179,19 @@ def test_op6_nbest_and_round_trip():
             assert c.decode(ids) == (t or "")
 
 
+def test_op6_ids_of_every_segmentation(spark):
+    c = op6_pieces.Codec(op6_pieces.read())
+    value = {i: w for w, i in c.score.values()}
+    texts = [None, "", "the cat", "hello  x", "a\u2581b", "n\u00e9\nx", "Hi, you.", "The cat sat on the mat. " * 3, "x" * 60, "of the, of the; of the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op6_pieces.encode(df).collect():
+        t = texts[r.doc_id] or ""
+        ways = [r.ids, *r.others] if t else []
+        assert len(ways) == sum(s is not None for s in r.scores) == len({tuple(w) for w in ways}) == len(c.nbest(t, op6_pieces.NBEST)) * bool(t)
+        for ids, score in zip(ways, r.scores):
+            assert c.decode(np.array(ids, np.int32)) == t and sum(value.get(i, 0) for i in ids) == pytest.approx(score)
+
+
 def fingerprint(text):
     ws = WORD.findall((text or "").translate(UPPER))
     g = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [" ".join(ws)] if ws else []
