@@ -125,8 +125,14 @@ class Document:
 
 
 def suspects(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Documents that may need a redaction: they hold a digit, an at sign or an equals sign."""
-    return K.sums(_DIGIT[data].astype(np.int64), off) > 0 if len(data) else np.zeros(len(off) - 1, bool)
+    """Documents that may need a redaction: they hold a digit, an at sign or an equals sign, or a key's first letters."""
+    if not len(data):
+        return np.zeros(len(off) - 1, bool)
+    may = K.sums(_DIGIT[data].astype(np.int64), off) > 0
+    raw = data.tobytes()
+    at = np.array([m.start() for m in re.finditer(b"AKIA", raw)], np.int64)
+    may[np.searchsorted(off, at, "right") - 1] = True
+    return may
 
 
 class Counter:
