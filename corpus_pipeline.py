@@ -45,7 +45,8 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: No stage but decontamination has a form in SQL; the tests hold run() against brute-force versions.
+#: No stage but decontamination has a form in SQL; tests/llm/test_pipeline.py holds run() and each stage against brute-force
+#: versions, where the scores of languages and quality are the operators' own.
 ORACLE_SQL = None
 
 
