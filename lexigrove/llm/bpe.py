@@ -67,6 +67,3 @@ class Chunks:
         cuts = np.flatnonzero(cut)
         self.starts, self.ends = cuts[:-1], cuts[1:]
         self.bounds = np.searchsorted(self.starts, off)
-
-    def hashes(self) -> np.ndarray:
-        return K.Hasher(self.data)(self.starts, self.ends)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files are; the driver reads them and ships their bytes to the executors.
@@ -29,18 +30,29 @@ def fold(doc_id: Column | str, mod: int) -> Column:
 
 
 def rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of ``BATCH`` bytes at most (or one longer row), which bounds a worker's memory."""
+    """mapInArrow with batches of ``BATCH`` bytes at most (or one longer row), which bounds a worker's memory.
+
+    Spark reads the setting when the plan runs, so it stays in the session; a smaller one of the caller's is left as it is.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_KEY).rstrip("b")) > BATCH:
+    if in_bytes(conf.get(_BATCH_KEY)) > BATCH:
         conf.set(_BATCH_KEY, f"{BATCH}b")
     return df.mapInArrow(make, schema)
 
 
-def keep(docs: DataFrame, mask: Callable[[pa.Array], "pa.Array"], text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text ``mask`` accepts, all columns as they are; no join, no shuffle."""
+def in_bytes(size: str) -> int:
+    """Bytes of a Spark size such as 64m, 8388608b or 1gb; a bare number counts bytes."""
+    number = size.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(number[-1:], 0)
+    return int(number[:-1] if unit else number) << unit
+
+
+def keep(docs: DataFrame, make: Callable[[], Callable[[pa.Array], "pa.Array"]], text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text a mask accepts, all columns as they are; no join, no shuffle. ``make`` gives each task its mask."""
     at = docs.columns.index(text)
 
     def run(batches):
+        mask = make()
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(mask(b.column(at)), pa.bool_()))
@@ -49,14 +61,17 @@ def keep(docs: DataFrame, mask: Callable[[pa.Array], "pa.Array"], text: str = "t
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one of our own (tests, single machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir or the context's checkpoint folder.
+
+    Without either, a folder of this machine serves only where driver and executors are one process; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
         found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
-            found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -95,26 +110,39 @@ def share(count: int, most: int) -> int:
     return _SPREAD if count <= 3 * most else int(_SPREAD * 3 * most / count)
 
 
+#: Bytes of sampled texts of one class or language that may reach the driver, and of one such text.
+ROOM, LONGEST = 48 << 20, 4 << 20
+
+
+def sampled_texts(docs: DataFrame, picked: list[tuple[int, object]], kind: str, room: int = ROOM, longest: int = LONGEST) -> list[tuple[str, object]]:
+    """(text, value) of the picked (doc_id, value) pairs in a fixed order; ``kind``: SQL type of the values.
+
+    One text an id, the one with the smallest hash (then the smallest) if an id repeats; null texts and texts of over ``longest``
+    bytes do not count. Of each value the texts that come first by the hash of their id, as long as they fill at most ``room``
+    bytes together. Both bounds are applied before anything is collected.
+    """
+    if not picked:
+        return []
+    spark = docs.sparkSession
+    # the ids are bounded by the callers' samples, so broadcasting them does not grow with the data
+    ids = spark.createDataFrame(picked, f"doc_id long, y {kind}").dropDuplicates(["doc_id"])
+    size = F.octet_length("text")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.col("text").isNotNull() & (size <= longest)).join(F.broadcast(ids), "doc_id")
+    one = got.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t")).select("doc_id", "y", F.col("t.text").alias("text"))
+    filled = F.sum(size).over(Window.partitionBy("y").orderBy(place(), "doc_id"))
+    found = one.withColumn("filled", filled).where(F.col("filled") <= room).select("doc_id", "y", "text").collect()
+    return [(r.text, r.y) for r in sorted(found, key=lambda r: r.doc_id)]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int) -> list[tuple[str, int]]:
     """Up to ``most`` (text, label) rows of each class for fitting a classifier, in a fixed order.
 
     The rows come from documents whose crc32(doc_id as text) mod 3 is not 1, those with the smallest
-    hash of the id first. Only this bounded sample (2 * most texts) reaches the driver. A document with several
-    labels counts with the largest; null labels and null texts do not count.
+    hash of the id first, within the bounds of ``sampled_texts``. A document with several
+    labels counts with the largest; null labels and null texts do not count. No labels: no rows.
     """
-    spark = docs.sparkSession
     lab = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
     lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
     sizes = {r.y: r["count"] for r in lab.groupBy("y").count().collect()}
-    picked = [r for y, n in sorted(sizes.items()) for r in lab.where((F.col("y") == y) & (place() < share(n, most))).orderBy(place(), "doc_id").limit(most).collect()]
-    if not picked:
-        return []
-    ids = spark.createDataFrame([(int(r.doc_id), int(r.y)) for r in picked], "doc_id long, y int")
-    # at most 2 * most rows of 12 bytes: a fixed bound, so broadcasting does not grow with the data
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    seen, out = set(), []
-    for r in sorted(got, key=lambda r: (r.doc_id, r.text)):
-        if r.doc_id not in seen:
-            seen.add(r.doc_id)
-            out.append((r.text, r.y))
-    return out
+    picked = [(int(r.doc_id), int(r.y)) for y, n in sorted(sizes.items()) for r in lab.where((F.col("y") == y) & (place() < share(n, most))).orderBy(place(), "doc_id").limit(most).collect()]
+    return sampled_texts(docs, picked, "int")

@@ -156,6 +156,14 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return g[at], at
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One integer for each pair of integers (none negative); different pairs get different ones."""
+    width = int(b.max()) + 1
+    if (int(a.max()) + 1) * width >= 1 << 63:
+        a = np.unique(a, return_inverse=True)[1]
+    return a * width + b
+
+
 def repeated(key: np.ndarray) -> np.ndarray:
     """True where a value occurs at least twice."""
     order = np.argsort(key, kind="stable")
@@ -169,60 +177,89 @@ def repeated(key: np.ndarray) -> np.ndarray:
     return out
 
 
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings data[start:end], of ranges in order that do not overlap."""
+    size = ends - starts
+    off = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    if len(starts) and off[-1] != ends[-1] - starts[0]:
+        edge, full = np.zeros(len(data) + 1, np.int8), size > 0
+        edge[starts[full]] += 1
+        edge[ends[full]] -= 1
+        data = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    elif len(starts):
+        data = data[starts[0] : ends[-1]]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each string, the distinct strings by code); strings are told apart by their bytes."""
+    found = strings(data, starts, ends).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
 class Memo:
-    """Values of distinct byte strings, found by hash, kept from slice to slice.
+    """Values of distinct byte strings, found by their bytes, kept from slice to slice.
 
-    ``make(list of bytes)`` gives an array with one row for each. When more than ``most`` strings are known the
-    memo starts anew, which bounds memory and changes no result.
+    ``make(list of bytes)`` gives an array with one row for each. When the memo holds more than ``budget`` bytes it
+    starts anew, which bounds memory and changes no result.
     """
 
-    def __init__(self, make, most: int = 400_000):
-        self.make, self.most = make, most
-        self.keys, self.rows = np.zeros(0, np.uint64), None
+    #: What a string takes in a dict beside its own bytes.
+    ENTRY = 150
+
+    def __init__(self, make, budget: int = 64 << 20):
+        self.make, self.budget = make, budget
+        self.fresh()
 
     def fresh(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), None
+        self.known: dict[bytes, int] = {}
+        self.rows, self.held = None, 0
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of each string's row, rows)."""
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        codes, found = distinct(data, starts, ends)
+        if self.held > self.budget:
             self.fresh()
-        if len(self.keys):
-            known = self.keys[np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)] == u
-        else:
-            known = np.zeros(len(u), bool)
-        new = np.flatnonzero(~known)
+        keys, get, n = found.to_pylist(), self.known.get, len(self.known)
+        at = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
         if len(new) or self.rows is None:
-            raw = data.tobytes()
-            rows = self.make([raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            fresh = [keys[i] for i in new.tolist()]
+            rows = self.make(fresh)
             if self.rows is None:
-                self.keys, self.rows = u[new], rows
+                self.rows = rows
             else:
-                keys = np.concatenate([self.keys, u[new]])
-                order = np.argsort(keys, kind="stable")
-                self.keys, self.rows = keys[order], np.concatenate([self.rows, rows])[order]
-        return np.searchsorted(self.keys, u)[inverse], self.rows
+                if n + len(new) > len(self.rows):  # room doubles, so that rows are seldom copied
+                    self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), *rows.shape[1:]), rows.dtype)])
+                self.rows[n : n + len(new)] = rows
+            self.known.update(zip(fresh, range(n, n + len(new))))
+            at[new] = np.arange(n, n + len(new))
+            self.held += sum(map(len, fresh)) + self.ENTRY * len(fresh) + 2 * rows.nbytes
+        return at[codes], self.rows
 
 
 class Pool(Memo):
     """A memo of integer lists: rows are (offset, length) in one growing array."""
 
-    def __init__(self, lists, most: int = 400_000):
+    def __init__(self, lists, budget: int = 64 << 20):
         self.lists = lists
-        super().__init__(self.add, most)
-        self.values = np.zeros(0, np.int32)
+        super().__init__(self.add, budget)
 
     def fresh(self) -> None:
         super().fresh()
-        self.values = np.zeros(0, np.int32)
+        self.values, self.filled = np.zeros(0, np.int32), 0
 
     def add(self, strings: list[bytes]) -> np.ndarray:
         found = self.lists(strings)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.int32, int(size.sum()))
-        begin = len(self.values) + np.cumsum(size) - size
-        self.values = np.concatenate([self.values, flat])
+        total = int(size.sum())
+        if self.filled + total > len(self.values):
+            self.values = np.concatenate([self.values[: self.filled], np.zeros(max(self.filled, total), np.int32)])
+        self.values[self.filled : self.filled + total] = np.fromiter((x for f in found for x in f), np.int32, total)
+        begin = self.filled + np.cumsum(size) - size
+        self.filled += total
+        self.held += 8 * total
         return np.stack([begin, size], axis=1)
 
     def expand(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

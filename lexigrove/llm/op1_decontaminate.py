@@ -147,7 +147,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, limit
             free[[r for r, *_ in shipped.value.search(col)]] = False
             return free
 
-        docs = keep(docs, mask)
+        docs = keep(docs, lambda mask=mask: mask)
     return docs
 
 

@@ -208,4 +208,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
 def good(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = SAMPLE) -> DataFrame:
     """Rows of ``docs`` with a score of at least ``least``."""
     net = fit(docs, labels, most)
-    return keep(docs, lambda col: net.scores(col) >= least)
+    return keep(docs, lambda: lambda col: net.scores(col) >= least)

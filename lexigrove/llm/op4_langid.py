@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernel as K
-from lexigrove.llm.common import fold, keep, place, rows, share
+from lexigrove.llm.common import fold, keep, place, rows, sampled_texts, share
 
 DIM = 4096
 SAMPLE = 500
@@ -131,7 +131,7 @@ class Model:
             w = K.Words(data, off, lower=True)
             total = np.zeros((b - a, self.w.shape[1] + 1))
             if len(w.starts):
-                at, values = memo(w.data, w.starts, w.ends, w.hashes())
+                at, values = memo(w.data, w.starts, w.ends)
                 total = w.sums(values[at])
             z = (total[:, :-1] / np.maximum(total[:, -1:], 1) + self.b) * self.slope
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -169,10 +169,9 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
         below = F.when(F.col("lang") == r.lang, share(r["count"], most)).otherwise(below)
     order = Window.partitionBy("lang").orderBy(place(), "doc_id")
     ids = known.where(place() < below).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    picked = docs.sparkSession.createDataFrame([(r.doc_id,) for r in ids.select("doc_id").collect()], "doc_id long").distinct()  # at most `most` ids a language
-    got = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").collect()
-    got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return Model([r.text for r in got], [r.lang for r in got])
+    picked = [(int(r.doc_id), r.lang) for r in ids.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").collect()]  # at most `most` ids a language
+    got = sampled_texts(docs.where(F.col("lang").isNotNull()), sorted(picked), "string")
+    return Model([t for t, _ in got], [lang for _, lang in got])
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -198,9 +197,14 @@ def known_language(docs: DataFrame, least: float = 0.5, short: int = 20, most: i
     """
     model = fit(docs, most)
 
-    def mask(col):
-        names, score = model.predict(col, K.Memo(model.words))
-        n = np.concatenate([K.Words(d, o).counts for _, _, d, o in K.slices(col)]) if len(col) else np.zeros(0)
-        return np.array([c != UND for c in names], bool) & ((score >= least) | (n < short))
+    def make():
+        memo = K.Memo(model.words)
+
+        def mask(col):
+            names, score = model.predict(col, memo)
+            n = np.concatenate([K.Words(d, o).counts for _, _, d, o in K.slices(col)]) if len(col) else np.zeros(0)
+            return np.array([c != UND for c in names], bool) & ((score >= least) | (n < short))
+
+        return mask
 
-    return keep(docs, mask)
+    return keep(docs, make)

@@ -138,7 +138,7 @@ def suspects(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Counter:
     def __init__(self, vocabulary: bytes):
         self.encode = bpe.encoding(vocabulary).encode_ordinary
-        self.memo = K.Memo(self.counts, 600_000)
+        self.memo = K.Memo(self.counts)
 
     def counts(self, strings: list[bytes]) -> np.ndarray:
         encode = self.encode
@@ -148,7 +148,7 @@ class Counter:
         """(row, Document before any edit, its edits) for each text of the column."""
         for a, b, data, off in K.slices(col):
             c = bpe.Chunks(data, off)
-            at, values = self.memo(data, c.starts, c.ends, c.hashes()) if len(c.starts) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            at, values = self.memo(data, c.starts, c.ends) if len(c.starts) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
             n, raw, may = values[at], data.tobytes(), maybe(data, off)
             for i in range(b - a):
                 p, q = c.bounds[i], c.bounds[i + 1]

@@ -123,6 +123,12 @@ class Codec:
         codes, at = _codes(words)
         h = K.Hasher(codes)(at[:-1], at[1:])
         self.key = np.append(h, np.uint64(0))
+        #: Code points of each piece, by which every piece found by its hash is checked.
+        self.spelled = np.zeros((len(words) + 1, self.longest), np.uint32)
+        self.length = np.append(np.diff(at), 0)
+        for k in range(self.longest):
+            has = np.flatnonzero(self.length > k)
+            self.spelled[has, k] = codes[at[has] + k]
         self.value = np.array([self.score[w][0] for w in words] + [-INF])
         self.ident = np.array([self.score[w][1] for w in words] + [-1], np.int32)
         self.first = np.full(1 << 19, len(words), np.int32)
@@ -164,6 +170,9 @@ class Codec:
         for k in range(1, min(longest, high) + 1):
             i = np.flatnonzero(np.arange(len(codes)) + k <= end)
             p = self.find(hasher(i, i + k))
+            hit = np.flatnonzero(self.length[p] > 0)
+            same = (self.length[p[hit]] == k) & (codes[i[hit, None] + np.arange(k)] == self.spelled[p[hit], :k]).all(1)
+            p[hit[~same]] = len(self.key) - 1
             score[k, i], ident[k, i] = self.value[p], self.ident[p]
         order = np.argsort(-size, kind="stable")
         begin, length = at[:-1][order], size[order]
@@ -255,7 +264,7 @@ class Codec:
             if not len(starts):
                 yield a, b, np.zeros(0, np.int32), np.zeros(b - a + 1, np.int64), scores, stream, new, [[] for _ in range(b - a)]
                 continue
-            at, rows_ = self.memo(stream, starts, ends, K.Hasher(stream)(starts, ends))
+            at, rows_ = self.memo(stream, starts, ends)
             ids, size = self.memo.expand(at, rows_)
             bounds = np.searchsorted(starts, new)
             bounds[-1] = len(starts)
@@ -302,11 +311,9 @@ def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Memo(K.Pool):
     """Best ids of each chunk; rows are (offset, length, row in ``best`` and ``loss``)."""
 
-    def __init__(self, codec: Codec, most: int = 1_000_000):
+    def __init__(self, codec: Codec, budget: int = 160 << 20):
         self.codec = codec
-        self.best, self.loss = np.zeros(0), np.zeros(0)
-        self.lists_: dict[int, list[tuple[float, np.ndarray]]] = {}
-        super().__init__(None, most)
+        super().__init__(None, budget)
 
     def fresh(self) -> None:
         super().fresh()
@@ -320,6 +327,7 @@ class Memo(K.Pool):
             # of ways with equal scores, A* may find another one first
             first = best.tolist()
             self.lists_[row] = [(ways[0][0] - w, np.array(i, np.int32)) for w, i in ways if list(i) != first][: NBEST - 1]
+            self.held += 400 + 8 * len(first)
         return self.lists_[row]
 
     def add(self, strings: list[bytes]) -> np.ndarray:

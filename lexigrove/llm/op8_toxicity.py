@@ -215,7 +215,7 @@ class Model:
             w = K.Tokens(data, off)
             if not len(w.starts):
                 continue
-            at, values = memo(w.data, w.starts, w.ends, w.hashes())
+            at, values = memo(w.data, w.starts, w.ends)
             kinds = values[at]
             marked = np.flatnonzero(kinds)
             doc = np.searchsorted(w.bounds, marked, "right") - 1

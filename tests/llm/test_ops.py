@@ -36,6 +36,59 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def test_memo_tells_equal_hashes_apart():
+    """Two words of 1,024 letters with the same polynomial hash modulo 2^64 (Thue-Morse and its complement)."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    col = pa.array([a, f"{b} {a} {b}", ""])
+    for _, _, data, off in K.slices(col):
+        w = K.Words(data, off)
+        assert len(set(w.hashes().tolist())) == 1
+        memo = K.Memo(lambda s: np.array([x == a.encode() for x in s]))
+        at, row = memo(w.data, w.starts, w.ends)
+        assert row[at].tolist() == [True, False, True, False]
+        at, row = memo(w.data, w.starts[::-1][:1], w.ends[::-1][:1])
+        assert row[at].tolist() == [False]
+    c = op6_pieces.Codec(op6_pieces.read())
+    for t in (a, b):
+        for _, _, ids, *_ in c.encode(pa.array([f"{a} {t}"])):
+            assert c.decode(ids) == f"{a} {t}"
+    lines = dict(zip(op10_rules.COUNTS, op10_rules.statistics(pa.array([f"{a}\n{b}\n{a} x y\n{b} x y"]))[0].tolist()))
+    assert lines["n_dup_lines"] == 0 and lines["n_repeat_words"] == 0 and lines["n_distinct"] == 4
+
+
+def test_memo_starts_anew_within_its_budget():
+    memo, made = K.Memo(lambda s: np.array([len(x) for x in s]), budget=2000), []
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        words = [("w" * int(n)).encode() for n in rng.integers(1, 60, 30)]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in words]) - 1
+        at, row = memo(data, ends - [len(x) for x in words], ends)
+        assert row[at].tolist() == [len(x) for x in words]
+        made.append(memo.held)
+    assert max(made) < 20_000 and any(b < a for a, b in zip(made, made[1:]))
+
+
+def test_samples_are_bounded(spark):
+    """An id repeated 100,000 times and a text beyond the room do not reach the driver."""
+    from lexigrove.llm import common
+
+    many = spark.range(100_000).selectExpr("7L AS doc_id", "concat('text ', id) AS text", "1 AS extra")
+    few = spark.createDataFrame([(1, "one"), (2, None), (3, "x" * 2000), (4, "four"), (4, "fore")], "doc_id long, text string").selectExpr("*", "2 AS extra")
+    df = many.unionByName(few)
+    got = common.sampled_texts(df, [(i, i % 2) for i in (1, 2, 3, 4, 7)], "int", room=1000, longest=1000)
+    assert sorted(y for _, y in got) == [0, 1, 1] and sum(t.startswith("text") for t, _ in got) == 1
+    assert len(common.sampled_texts(df, [(1, 0), (4, 0)], "int", room=4)) == 1
+    assert common.labelled(df, spark.createDataFrame([(7, 1), (7, 0)], "doc_id long, quality int"), "quality", 5)[0][1] == 1
+
+
+def test_batch_sizes_of_any_form(spark):
+    from lexigrove.llm.common import in_bytes
+
+    assert [in_bytes(x) for x in ("64m", "8388608b", "1GB", "12", "3kb", "2t")] == [64 << 20, 8388608, 1 << 30, 12, 3 << 10, 2 << 40]
+
+
 def test_kernel():
     col = pa.array(ODD)
     for a, b, data, off in K.slices(col, 64):
@@ -90,49 +143,150 @@ def test_op3_base(spark, docs):
             assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws))
 
 
-def test_op3_is_a_distribution_and_causal():
-    x = op3_lm.ids_of(["the cat sat on the mat and then it sat again " * 5, "a dog"], bpe.read())
-    c = op3_lm.Classes(x.ids, x.before)
-    unigram = np.bincount(x.ids, minlength=op3_lm.VOCABULARY).astype(np.float32)
-    pairs, contexts = np.zeros((op3_lm.ROWS, op3_lm.ROWS), np.float32), np.zeros((op3_lm.CONTEXTS, op3_lm.CLASSES), np.float32)
-    np.add.at(pairs, (c.row[x.before], c.row[x.ids]), 1)
-    np.add.at(contexts, (c.context(x), c.of[x.ids]), 1)
-    m = op3_lm.Model(c, unigram, pairs, contexts).train(x, contexts, steps=5)
-    shares = 10.0 ** (m.share[m.row[bpe.END]][m.row] + m.rest)
-    assert np.allclose(np.bincount(c.of, shares, op3_lm.CLASSES)[np.unique(c.of)], 1, atol=1e-3)
-    y = op3_lm.ids_of(["the cat sat on the mat and then it sat"], bpe.read())
-    z = op3_lm.ids_of(["the cat sat on the mat and then it sat"], bpe.read())
-    assert m.logs(y) == pytest.approx(m.logs(z))
-
-
-def test_op3_every_id_and_context_has_its_own_place():
-    rng, v = np.random.default_rng(3), 6000
-    ids = np.concatenate([np.arange(v), rng.integers(0, v, 300_000)]).astype(np.int32)
-    before = np.concatenate([[bpe.END], ids[:-1]]).astype(np.int32)
-    c = op3_lm.Classes(ids, before)
-    assert len(set(c.row[:v])) == v and (c.row[v:] == c.row[v]).all()
-    x = op3_lm.ids_of([""], bpe.read())
-    x.ids, x.before, x.earlier, x.bounds = ids, before, np.concatenate([[bpe.END], before[:-1]]), np.array([0, len(ids)])
-    contexts = set(zip(x.earlier.tolist(), x.before.tolist(), c.context(x).tolist()))
-    assert len(contexts) == len({(e, b) for e, b, _ in contexts}) == len({at for *_, at in contexts}) > 1 << 18
+def lm_sample(texts):
+    """Windows of texts as op3_lm.sampled cuts them, by a plain loop."""
+    encode, packed, lead = bpe.encoding(bpe.read()).encode_ordinary, [], []
+    for t in texts:
+        tokens = [encode(" " + w) for w in WORD.findall((t or "").translate(UPPER))] + [[bpe.END]]
+        for k in range(0, len(tokens), op3_lm.BLOCK):
+            a = max(0, k - op3_lm.BEFORE - 1)
+            packed.append(np.array([x for w in tokens[a : k + op3_lm.BLOCK] for x in (op3_lm.MARK, *w)], np.uint16).tobytes())
+            lead.append(a - k + op3_lm.BEFORE + 1)
+    return op3_lm.Sample(packed, np.array(lead))
+
+
+def lm_model(texts, steps=60):
+    """A model from texts, by plain loops where the operator uses Spark."""
+    vocabulary, s = bpe.read(), lm_sample(texts)
+    lexicon = op3_lm.Lexicon(s)
+    counts = Counter(w.encode() for t in texts for w in WORD.findall((t or "").translate(UPPER)))
+    encode = bpe.encoding(vocabulary).encode_ordinary
+    lists = [encode(" " + w.decode()) for w in counts]
+    ids, bounds = op3_lm.flat(lists)
+    kind, n = lexicon.kinds(lists, ids, bounds), np.array(list(counts.values()))
+    speller = op3_lm.Speller(*np.unique(op3_lm.transitions(kind, ids, bounds), return_counts=True))
+    speller.measure(lexicon, vocabulary)
+    t = kind >= op3_lm.SINGLE
+    stats = [np.bincount(kind[t] - op3_lm.SINGLE, x[t], op3_lm.TOPICS) for x in (n, np.ones(len(n)), n == 1, n == 2)]
+    attention = op3_lm.Attention(lexicon).train(s, lexicon.kinds(s.lists, s.ids, s.bounds), steps)
+    return op3_lm.Model(lexicon, speller, op3_lm.Shares(*stats), attention), counts, encode
+
+
+def lm_logs(m, counts, encode, texts):
+    out, memo = [], K.Memo(m.words(encode, counts))
+    for _, _, data, off in K.slices(pa.array(texts, pa.string())):
+        w = K.Words(data, off, lower=True)
+        at, row = memo(w.data, w.starts, w.ends) if len(w.starts) else (np.zeros(0, np.int64), np.zeros(0, m.ROW))
+        out += m.score(w, at, row).tolist()
+    return np.array(out)
+
+
+@pytest.fixture(scope="module")
+def lm(docs):
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    return (*lm_model(texts[:150]), texts[150:])
+
+
+def test_op3_shares_sum_to_one_at_most(lm):
+    m, counts, encode, held = lm
+    row = m.words(encode, counts)([*counts])
+    mass = np.bincount(row["kind"], 10.0 ** row["share"], op3_lm.CLASSES)
+    used = np.unique(row["kind"][row["kind"] >= op3_lm.SINGLE])
+    left = 10.0 ** (m.shares.log_open - m.shares.log_norm)[used - op3_lm.SINGLE]  # what new words share
+    assert (mass[used] + left <= 1 + left * 1.001).all() and (mass[used] > 0.1).all() and (mass <= 1 + 1e-9).all()
+    # the spelling model: transitions after any context sum to one
+    for topic, before in ((0, op3_lm.EDGE), (3, 262), (5, 50000)):
+        symbol = np.arange(op3_lm.SYMBOLS)
+        context = np.full(len(symbol), topic * op3_lm.SYMBOLS + before)
+        p = m.speller.topic.share(context, symbol, m.speller.pair.share(context % op3_lm.SYMBOLS, symbol, m.speller.symbol))
+        assert p.sum() == pytest.approx(1)
+
+
+def test_op3_class_probabilities_are_causal_and_windows_do_not_matter(lm):
+    """Each token's logarithm by a plain loop over its own context: later words change nothing, blocks and batches neither."""
+    m, counts, encode, held = lm
+    att = m.attention
+    text = next(t for t in held if 40 < len(WORD.findall(t)) < 400)
+    words = [w.translate(UPPER).encode() for w in WORD.findall(text)]
+    row = m.words(encode, counts)(words)
+    x, kind = np.concatenate([[att.start], row["x"]]), np.append(row["kind"], op3_lm.END)
+    total = row["share"].sum()
+    for t in range(len(kind)):
+        block = t // op3_lm.BLOCK * op3_lm.BLOCK
+        first = max(0, block - op3_lm.BEFORE)
+        o = []
+        for h in range(op3_lm.HEADS):
+            d, v = op3_lm.DIM, op3_lm.VALUE
+            q = x[t, h * d : (h + 1) * d]
+            k = x[first : t + 1, op3_lm.HEADS * d + h * d : op3_lm.HEADS * d + (h + 1) * d]
+            val = x[first : t + 1, 2 * op3_lm.HEADS * d + h * v : 2 * op3_lm.HEADS * d + (h + 1) * v]
+            s = k @ q / math.sqrt(d) + att.p["near"][h][t - np.arange(first, t + 1)]
+            s = np.exp(s - s.max())
+            o.append(s @ val / s.sum())
+        z = np.concatenate(o) @ att.p["out"] + att.p["bias"]
+        total += (z[kind[t]] - np.log(np.exp(z).sum())) / math.log(10)
+    assert lm_logs(m, counts, encode, [text])[0] == pytest.approx(total, rel=1e-4)
+    assert lm_logs(m, counts, encode, ["a b", text, "", text])[[1, 3]] == pytest.approx([total, total], rel=1e-4)
+
+
+def test_op3_gradients(lm):
+    m, *_ = lm
+    s = lm_sample(["the cat sat on the mat and the dog ate " * 4, "un deux trois", ""])
+    lex = op3_lm.Lexicon(s)
+    kind, att = lex.kinds(s.lists, s.ids, s.bounds), op3_lm.Attention(lex)
+    rng = np.random.default_rng(0)
+    att.p = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float64) for k, v in att.p.items()}
+    _, g = att.gradients(s, kind, s.words)
+    for name, at in (("out", (3, 5)), ("bias", (2,)), ("near", (1, 2)), ("near", (0, 0)), ("classes", (int(kind[0]), 4)), ("classes", (op3_lm.CLASSES, 40)), ("ids", (0, 20)), ("ids", (1, 60))):
+        loss = []
+        for step in (1e-3, -1e-3):
+            att.p[name][at] += step
+            loss.append(att.gradients(s, kind, s.words)[0])
+            att.p[name][at] -= step
+        assert g[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, abs=2e-4), name
+
+
+def test_op3_attention_carries_the_score(spark):
+    """On held-out texts of sf0.01: above the base, and far above the same model with its attention cut off."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r for r in op3_lm.lm_scores(docs).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    score, base = sum(r.score for r in got) / tokens, sum(r.base_score for r in got) / tokens
+    assert score > base + 0.02
+    attend = op3_lm.Attention.train
+    try:
+        op3_lm.Attention.train = lambda a, *x: attend(a, *x).__class__.cut(a)
+        op3_lm.Attention.cut = lambda a: (a.p["out"].fill(0), a)[1]
+        cut = sum(r.score for r in op3_lm.lm_scores(docs).collect() if r.held_out) / tokens
+    finally:
+        op3_lm.Attention.train = attend
+        del op3_lm.Attention.cut
+    assert score > cut + 0.3
 
 
 def test_op3_learns_from_all_training_documents(spark, docs, monkeypatch):
-    seen, train = [], op3_lm.Model.train
-    monkeypatch.setattr(op3_lm.Model, "train", lambda m, x, *a: seen.append((m, x)) or train(m, x, *a))
-    rows = [r.text or "" for r in docs.select("doc_id", "text").collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
-    x = op3_lm.ids_of(rows, bpe.read())
+    seen, train = [], op3_lm.Attention.train
+    monkeypatch.setattr(op3_lm.Attention, "train", lambda a, s, *x: seen.append(s) or train(a, s, *x))
+    rows = [r for r in docs.select("doc_id", "text").collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    monkeypatch.setattr(op3_lm, "EVERY", 2)
     more = docs
     for i in range(1, 4):
         more = more.union(docs.withColumn("doc_id", docs.doc_id + 1000 * i))
-    for df, sample in ((docs, 1), (more, 1), (docs, 400)):
+    for df, sample in ((docs, 8), (more, 8), (docs, 100_000)):
         op3_lm.lm_scores(df, sample=sample)
-    (m, few), (_, many), (_, whole) = seen
-    ids = np.unique(x.ids)
-    assert len(set(m.row[ids])) == len(ids) and m.row.max() not in m.row[ids]
-    assert 0 < 1.3 * len(few) < len(many)
-    want = op3_lm.Model.cut(x, *op3_lm.Model.windows(x.bounds))
-    assert sorted(map(bytes, whole)) == sorted(map(bytes, want))
+    few, many, whole = seen
+    assert 0 < 1.3 * len(few.words) < len(many.words)
+    want = lm_sample([r.text for r in rows if r.text is not None])
+    spelled = lambda s: sorted(tuple(tuple(s.lists[x]) if x >= 0 else () for x in w) for w in s.words.tolist())
+    assert spelled(whole) == spelled(want)
+
+
+def test_op3_rare_words_meet_their_counts(spark, docs, monkeypatch):
+    """Scores do not depend on which words are shipped and which come by the join."""
+    whole = {r.doc_id: r for r in op3_lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(op3_lm, "TOP", 50)
+    for r in op3_lm.lm_scores(docs).collect():
+        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-6) and r.base_score == pytest.approx(whole[r.doc_id].base_score)
 
 
 def test_op5_edits_match_recounting():
