@@ -10,8 +10,9 @@ bytes.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased; an item of fewer than five words is
 one shingle of all its words; an item without words matches nothing. Null texts have no words.
-Items are taken in blocks of ``BLOCK`` bytes, each broadcast with that bound, so a larger test set costs more passes and never
-more memory. Repeated items or documents with the same ids give one row.
+Items are taken in blocks of ``BLOCK`` bytes, each broadcast as arrays of about six times that size, so a larger test set costs more
+passes and never more memory. Items without an id are left out of pairs and of ``clean``; no items or no documents give no pairs. Repeated
+items or documents with the same ids give one row, that with most shingles found; extra columns are ignored by ``contained`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -28,40 +29,66 @@ from lexigrove.llm.common import keep, rows
 
 THRESHOLD = 0.8
 SHINGLE = 5
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 _BITS = 22
 
 
 class Sketches:
-    """Sketches and shingles of a block of items."""
+    """Sketches and shingles of a block of items, as arrays: about six bytes for each byte of their texts.
+
+    Shingle j of item i: ``hashes[first[i] + j]`` and the bytes ``begin:end`` of ``data``, where words stand one blank apart.
+    """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
-        self.ids, self.need, self.strings = [], [], []
-        hashes, owner, sketch, self.lengths = {}, {}, {}, []
-        for item_id, text in items:
-            data, off = K.as_arrays(pa.array([text], pa.string()))
-            w = K.Tokens(data, off)
-            k = min(SHINGLE, len(w.starts))
-            if not k:
-                continue
-            g, at = K.shingles(w.hashes(), w.bounds, k)
-            g, first = np.unique(g, return_index=True)
-            n, me = len(g), len(self.ids)
-            upper = 1 << (n - 1).bit_length()  # the partition holds upper/2 < n <= upper
-            size = min(n, upper - ceil(threshold * upper - 1e-9) + 1)
-            self.ids.append(item_id)
-            self.need.append((n, ceil(threshold * n - 1e-9)))
-            self.strings.append({h: w.shingle(at[f], k) for h, f in zip(g.tolist(), first.tolist())})
-            for h in g.tolist():
-                owner.setdefault(k, {}).setdefault(h, []).append(me)
-            for h in g[:size].tolist():
-                sketch.setdefault(k, {}).setdefault(h, []).append(me)
-        self.by_length = {k: (np.array(sorted(sketch[k]), np.uint64), sketch[k], self.bits(sketch[k])) for k in sketch}
+        data, off = K.as_arrays(pa.array([t for _, t in items], pa.string()))
+        w = K.Tokens(data, off)
+        size = w.ends - w.starts
+        ends = np.cumsum(size + 1) - 1
+        self.data = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+        inside = np.ones(len(self.data), bool)
+        inside[ends[:-1]] = False
+        self.data[inside] = w.data[w.inside]
+        self.data = self.data.tobytes()
+        begins, h = ends - size, w.hashes()
+        k_of = np.minimum(w.counts, SHINGLE)
+        parts = []
+        for k in range(1, SHINGLE + 1):
+            g, at = K.shingles(h, w.bounds, k)
+            item = np.searchsorted(w.bounds, at, "right") - 1
+            mine = k_of[item] == k
+            parts.append((item[mine], g[mine], begins[at[mine]], ends[at[mine] + k - 1]))
+        item, g, begin, end = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((g, item))
+        item, g, begin, end = item[order], g[order], begin[order], end[order]
+        keep = np.ones(len(g), bool)
+        known: set[bytes] = set()
+        for i in np.flatnonzero((item[1:] == item[:-1]) & (g[1:] == g[:-1])).tolist():
+            # a shingle that repeats in its item counts once; one that only shares a hash is another
+            if not i or not (item[i - 1] == item[i] and g[i - 1] == g[i]):
+                known = {self.data[begin[i] : end[i]]}
+            text = self.data[begin[i + 1] : end[i + 1]]
+            keep[i + 1] = text not in known
+            known.add(text)
+        item, self.hashes, self.begin, self.end = item[keep], g[keep], begin[keep], end[keep]
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.first = np.searchsorted(item, np.arange(len(items) + 1))
+        n = np.diff(self.first)
+        self.need = np.ceil(threshold * n - 1e-9).astype(np.int64)
+        # the partition of an item holds upper/2 < n <= upper
+        upper = np.array([1 << (int(x) - 1).bit_length() if x else 1 for x in n], np.int64)
+        sketch = np.minimum(n, upper - np.ceil(threshold * upper - 1e-9).astype(np.int64) + 1)
+        low = np.arange(len(item)) - self.first[item] < sketch[item]
+        self.by_length = {}
+        for k in np.unique(k_of[item]).tolist():
+            one = low & (k_of[item] == k)
+            order = np.argsort(self.hashes[one], kind="stable")
+            keys, start = np.unique(self.hashes[one][order], return_index=True)
+            self.by_length[k] = keys, np.append(start, int(one.sum())), item[one][order], self.bits(keys)
 
     @staticmethod
-    def bits(keys) -> np.ndarray:
+    def bits(keys: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << _BITS, bool)
-        table[np.fromiter(keys, np.uint64, len(keys)) >> np.uint64(64 - _BITS)] = True
+        table[keys >> np.uint64(64 - _BITS)] = True
         return table
 
     def search(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
@@ -70,40 +97,47 @@ class Sketches:
         for a, _, data, off in K.slices(col):
             w = K.Tokens(data, off)
             h = w.hashes()
-            for k, (keys, owners, table) in self.by_length.items():
+            for k, (keys, start, owners, table) in self.by_length.items():
                 g, at = K.shingles(h, w.bounds, k)
                 hit = np.flatnonzero(table[g >> np.uint64(64 - _BITS)])
-                hit = hit[np.isin(g[hit], keys)]
+                place = np.minimum(np.searchsorted(keys, g[hit]), len(keys) - 1)
+                same = keys[place] == g[hit]
+                hit, place = hit[same], place[same]
                 if not len(hit):
                     continue
                 doc = np.searchsorted(w.bounds, at[hit], "right") - 1
-                pairs = {(d, i) for d, x in zip(doc.tolist(), g[hit].tolist()) for i in owners[x]}
-                by_doc: dict[int, list[int]] = {}
-                for d, i in sorted(pairs):
-                    by_doc.setdefault(d, []).append(i)
+                pairs = np.unique(doc * len(keys) + place)
+                by_doc: dict[int, set[int]] = {}
+                for d, p in zip((pairs // len(keys)).tolist(), (pairs % len(keys)).tolist()):
+                    by_doc.setdefault(d, set()).update(owners[start[p] : start[p + 1]].tolist())
                 for d, items in by_doc.items():
                     lo, hi = np.searchsorted(at, [w.bounds[d], w.bounds[d + 1]])
-                    mine, where = np.unique(g[lo:hi], return_index=True)
-                    for i in items:
-                        want = np.fromiter(self.strings[i], np.uint64, len(self.strings[i]))
-                        p = np.minimum(np.searchsorted(mine, want), len(mine) - 1)
-                        there = mine[p] == want
-                        n, need = self.need[i]
-                        if there.sum() < need:
+                    order = np.argsort(g[lo:hi], kind="stable")
+                    mine, where = g[lo:hi][order], at[lo:hi][order]
+                    for i in sorted(items):
+                        s, e = self.first[i], self.first[i + 1]
+                        want = self.hashes[s:e]
+                        left, right = np.searchsorted(mine, want), np.searchsorted(mine, want, "right")
+                        need = int(self.need[i])
+                        if (right > left).sum() < need:
                             continue
-                        found = sum(w.shingle(at[lo + where[q]], k) == self.strings[i][x] for x, q in zip(want[there].tolist(), p[there].tolist()))
+                        found = 0
+                        for j in np.flatnonzero(right > left).tolist():
+                            text = self.data[self.begin[s + j] : self.end[s + j]]
+                            # all places with this hash are looked at, should another shingle share it; the first is nearly always it
+                            found += any(w.shingle(x, k) == text for x in where[left[j] : right[j]].tolist())
                         if found >= need:
-                            out.append((a + d, i, n, found))
+                            out.append((a + d, i, int(e - s), found))
         return out
 
 
 def blocks(items: DataFrame, limit: int = BLOCK):
-    """The items as lists whose texts together stay within ``limit`` bytes (a longer item is a block by itself).
+    """The items with an id as lists whose texts together stay within ``limit`` bytes (a longer item is a block by itself).
 
     Only one block at a time is in the driver.
     """
     block, size = [], 0
-    for r in items.select("item_id", "text").where(F.col("text").isNotNull()).distinct().toLocalIterator():
+    for r in items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct().toLocalIterator():
         n = len(r.text.encode())
         if block and size + n > limit:
             yield block
@@ -127,7 +161,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, l
             s = shipped.value
             for b in batches:
                 hits, ids = s.search(b.column(1)), b.column(0)
-                yield pa.RecordBatch.from_arrays([pa.array([s.ids[i] for _, i, _, _ in hits], pa.int64()), ids.take(pa.array([r for r, *_ in hits], pa.int64())).cast(pa.int64()), pa.array([n for *_, n, _ in hits], pa.int64()), pa.array([f for *_, f in hits], pa.int64())], names=["item_id", "doc_id", "n_shingles", "n_found"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(s.ids[i]) for _, i, _, _ in hits], pa.int64()), ids.take(pa.array([r for r, *_ in hits], pa.int64())).cast(pa.int64()), pa.array([n for *_, n, _ in hits], pa.int64()), pa.array([f for *_, f in hits], pa.int64())], names=["item_id", "doc_id", "n_shingles", "n_found"])
 
         part = rows(docs.select("doc_id", "text"), run, SCHEMA)
         out = part if out is None else out.unionByName(part)
