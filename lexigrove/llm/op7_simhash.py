@@ -168,7 +168,7 @@ def links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return rows(ordered, run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with an edge other than to itself.
 
     Alternating stars (Kiveris and others 2014): the large star links a node's larger neighbours to its smallest
@@ -177,7 +177,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # every round but the last shortens the paths, so it ends
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -188,16 +188,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         forget(e)
         e = new
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._lexigrove_path = e._lexigrove_path
+            return out
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def groups(printed: DataFrame) -> DataFrame:
-    """From rows with ``fp``: (fp, root), one row for each fingerprint."""
+    """From rows with ``fp``: (fp, root), one row for each fingerprint, as a saved table."""
     distinct = saved(printed.select("fp").distinct())
     found = components(links(distinct))
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    out = saved(distinct.join(found.select("node", "root"), distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    forget(distinct)
+    forget(found)
+    return out
 
 
 def printed(docs: DataFrame, *also: str) -> DataFrame:
@@ -217,9 +221,11 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row; extra columns are ignored, repeated rows stay."""
     prints = saved(printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = groups(prints).join(least, "fp")
+    linked = groups(prints)
+    roots = linked.join(least, "fp")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     found = saved(roots.join(ids, "root").select("fp", "component_id"))
+    forget(linked)
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -229,16 +235,19 @@ def one_of_each(spark, docs: DataFrame) -> DataFrame:
     A row is known by its id and a hash of its text, so rows without ids and ids used twice are told apart;
     rows that repeat wholly are one.
     """
-    known = docs.withColumn("_t", F.xxhash64("text"))
-    prints = saved(printed(known.select("doc_id", "_t", "text"), "_t"))
+    # the row goes along as one column, so that no name of its own can clash
+    known = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    prints = saved(printed(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), "h"))
     roots = groups(prints)
-    firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("_t").alias("_t"))).alias("s"))
-    kept = firsts.join(roots, "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("_i"), F.col("s._t").alias("_h"))
-    count = prints.groupBy("doc_id", "_t").count()
-    kept = saved(kept.join(count, kept._i.eqNullSafe(count.doc_id) & (kept._h == count._t)).select("_i", "_h", "count"))
-    joined = known.join(kept, known.doc_id.eqNullSafe(kept._i) & (known._t == kept._h))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))).alias("s"))
+    kept = firsts.join(roots, "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("kept_id"), F.col("s.h").alias("kept_h"))
+    count = prints.groupBy("doc_id", "h").count()
+    kept = saved(kept.join(count, kept.kept_id.eqNullSafe(count.doc_id) & (kept.kept_h == count.h)).select("kept_id", "kept_h", "count"))
+    forget(roots)
+    forget(prints)
+    joined = known.join(kept, known.id.eqNullSafe(kept.kept_id) & (known.h == kept.kept_h))
     if not kept.where("count > 1").limit(1).count():
-        return joined.select(*docs.columns)
-    once = joined.where("count = 1").select(*docs.columns)
-    again = joined.where("count > 1").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+        return joined.select("row.*")
+    once = joined.where("count = 1").select("row.*")
+    again = joined.where("count > 1").dropDuplicates(["id", "h"]).select("row.*")
     return once.unionByName(again)
