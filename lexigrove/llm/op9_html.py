@@ -3,10 +3,14 @@
 A page is cut into flat blocks of text at block-level tags. A block is described by its number of words and its link
 density, those of the blocks before and after it, and where it stands (inside article or main; inside a container
 whose tag, class or id names boilerplate; heading). A decision tree (CART, Gini impurity), grown from the small
-labelled table below, decides which blocks are main text.
+labelled table below, decides which blocks are main text. On pages that mark neither an article nor boilerplate, words and link
+density of the neighbours decide: a short line among prose is text, the same line among links belongs to a menu.
 
-Null html counts as empty and gives empty text. Broken markup never fails: unclosed tags end with the page, stray end
-tags are ignored, a lone ``<`` is text. Pages of any length are read whole; repeated rows get equal results.
+Null html counts as empty and gives empty text. Broken markup never fails: what is still open at the end ends with the
+page, stray end tags are ignored, a lone ``<`` is text, and a container whose content is not text (a button, an object...) but which
+is never closed is ignored, so that it drops nothing. Boilerplate inside a paragraph is taken out of it; the
+paragraph stays one block. Pages of any length are read whole, in time linear in their length. Repeated rows get
+equal results, extra columns are ignored, no rows give no rows; ties of splits go to the first in the order of ``grow``.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from lexigrove.llm.common import rows
 # HTML elements by how they are read.
 BLOCK_TAGS = frozenset(["address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
-#: Their content is dropped up to the end tag, whatever it holds.
-RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "button"])
+#: Their content is no markup and is dropped up to the end tag, or to the end of the page.
+RAW = frozenset(["script", "style", "textarea", "title"])
+#: Their content is no text of the article; without an end tag they are ignored.
+EMBEDDED = frozenset(["noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "button"])
 BOILER_TAGS = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"])
 HEADER_TAGS = frozenset(["header", "hgroup"])
 CONTENT_TAGS = frozenset(["article", "main"])
@@ -34,7 +40,8 @@ BOILER_NAMES = frozenset(["ad", "ads", "adv", "advert", "adverts", "advertisemen
 HEADER_NAMES = frozenset(["header", "head", "top"])
 CONTENT_NAMES = frozenset(["article", "content", "post", "entry", "story", "main"])
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<!--|<!\[CDATA\[|<[!?/]")
+MARKS = re.compile("[>\"']")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -42,38 +49,34 @@ NAME = re.compile(r"[a-z]+")
 #: (1 in article or main, 0 outside on a page that has one, 0.5 on a page without), in boilerplate, heading
 #: -> main text or not.
 LABELLED = [
-    ((40, 0.00, 8, 0.00, 35, 0.00, 1, 0, 0), 1), ((120, 0.02, 60, 0.00, 90, 0.05, 1, 0, 0), 1),
-    ((1, 0.00, 50, 0.00, 1, 0.00, 1, 0, 0), 1), ((1, 0.00, 1, 0.00, 0, 0.00, 1, 0, 0), 1),
-    ((7, 0.00, 12, 0.00, 60, 0.00, 1, 0, 1), 1), ((3, 0.00, 6, 1.00, 20, 0.00, 1, 0, 1), 1),
-    ((9, 0.00, 2, 1.00, 80, 0.00, 1, 0, 1), 1), ((15, 0.00, 40, 0.00, 9, 0.00, 1, 0, 0), 1),
-    ((6, 0.00, 30, 0.00, 5, 0.60, 1, 0, 0), 1), ((300, 0.01, 2, 0.00, 4, 0.00, 1, 0, 0), 1),
-    ((25, 0.20, 30, 0.00, 40, 0.10, 1, 0, 0), 1), ((12, 0.33, 50, 0.00, 45, 0.00, 1, 0, 0), 1),
-    ((4, 0.00, 0, 0.00, 3, 0.00, 1, 0, 0), 1), ((2, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0), 1),
-    ((4, 1.00, 3, 1.00, 5, 1.00, 1, 0, 0), 0), ((6, 0.90, 4, 0.95, 6, 1.00, 1, 0, 0), 0),
-    ((2, 1.00, 45, 0.00, 2, 1.00, 1, 0, 0), 0), ((3, 0.85, 3, 0.80, 0, 0.00, 1, 0, 0), 0),
-    ((1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0), 0), ((1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0), 0),
-    ((8, 0.00, 1, 1.00, 9, 0.00, 0, 1, 0), 0), ((60, 0.00, 1, 1.00, 9, 0.00, 0, 1, 0), 0),
-    ((12, 0.00, 80, 0.00, 0, 0.00, 0, 1, 0), 0), ((35, 0.05, 50, 0.00, 12, 0.30, 0, 1, 0), 0),
-    ((10, 0.00, 40, 0.00, 20, 0.00, 1, 1, 0), 0), ((45, 0.00, 60, 0.00, 30, 0.00, 1, 1, 0), 0),
-    ((3, 0.00, 30, 0.00, 25, 0.00, 1, 1, 1), 0), ((20, 0.10, 15, 0.00, 70, 0.00, 1, 1, 0), 0),
-    ((5, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0), 0), ((30, 0.00, 9, 0.00, 50, 0.00, 0, 0, 0), 0),
-    ((4, 0.00, 0, 0.00, 6, 0.00, 0, 0, 1), 0), ((90, 0.02, 4, 0.00, 12, 0.50, 0, 0, 0), 0),
-    ((2, 0.00, 100, 0.00, 0, 0.00, 0, 0, 0), 0), ((14, 0.40, 3, 1.00, 4, 0.00, 0, 0, 0), 0),
-    ((70, 0.00, 6, 0.00, 80, 0.00, .5, 0, 0), 1), ((45, 0.05, 50, 0.00, 60, 0.00, .5, 0, 0), 1),
-    ((22, 0.00, 40, 0.00, 3, 0.00, .5, 0, 0), 1), ((18, 0.10, 20, 0.10, 35, 0.00, .5, 0, 0), 1),
-    ((28, 0.00, 2, 1.00, 2, 1.00, .5, 0, 0), 1), ((8, 0.00, 1, 1.00, 70, 0.00, .5, 0, 1), 1),
-    ((5, 0.00, 60, 0.00, 45, 0.00, .5, 0, 1), 1), ((9, 0.00, 60, 0.00, 55, 0.00, .5, 0, 0), 1),
-    ((3, 0.00, 40, 0.00, 30, 0.00, .5, 0, 0), 1), ((6, 0.00, 45, 0.00, 20, 0.00, .5, 0, 0), 1),
-    ((4, 0.00, 2, 1.00, 3, 0.00, .5, 0, 0), 0), ((2, 0.00, 3, 0.00, 2, 0.00, .5, 0, 0), 0),
-    ((5, 0.00, 2, 0.00, 4, 1.00, .5, 0, 0), 0), ((6, 0.00, 8, 0.60, 0, 0.00, .5, 0, 0), 0),
-    ((1, 1.00, 2, 1.00, 1, 1.00, .5, 0, 0), 0), ((30, 0.80, 5, 1.00, 8, 0.90, .5, 0, 0), 0),
-    ((16, 0.70, 20, 0.00, 18, 0.60, .5, 0, 0), 0), ((3, 0.00, 1, 1.00, 2, 1.00, .5, 0, 1), 0),
-    ((25, 0.00, 30, 0.00, 20, 0.00, .5, 1, 0), 0), ((60, 0.00, 80, 0.00, 12, 0.00, .5, 1, 0), 0),
-    ((4, 0.90, 3, 1.00, 4, 1.00, .5, 1, 0), 0), ((7, 0.00, 50, 0.00, 2, 1.00, .5, 1, 1), 0),
-    ((80, 0.00, 90, 0.00, 70, 0.00, 0, 0, 0), 0), ((35, 0.00, 40, 0.00, 30, 0.00, 0, 0, 0), 0),
-    ((18, 0.00, 25, 0.00, 60, 0.00, 0, 0, 0), 0), ((200, 0.00, 5, 0.00, 2, 0.00, 1, 0, 0), 1),
-    ((5, 0.00, 4, 1.00, 2, 1.00, 1, 0, 0), 1), ((2, 0.00, 5, 1.00, 3, 1.00, 1, 0, 1), 1),
-    ((11, 0.00, 1, 1.00, 0, 0.00, 1, 0, 0), 1), ((1, 0.00, 9, 0.00, 12, 0.00, 1, 0, 0), 1),
+    # in the article: all but what a container names boilerplate
+    ((40, 0.00, 8, 0.00, 35, 0.00, 1, 0, 0), 1), ((1, 0.00, 50, 0.00, 1, 0.00, 1, 0, 0), 1), ((2, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0), 1),
+    ((7, 0.00, 12, 0.00, 60, 0.00, 1, 0, 1), 1), ((3, 0.00, 6, 1.00, 20, 0.00, 1, 0, 1), 1), ((300, 0.01, 2, 0.00, 4, 0.00, 1, 0, 0), 1),
+    ((12, 0.33, 50, 0.00, 45, 0.00, 1, 0, 0), 1), ((9, 0.90, 40, 0.00, 35, 0.00, 1, 0, 0), 1), ((4, 1.00, 3, 1.00, 5, 1.00, 1, 0, 0), 1),
+    ((5, 0.00, 4, 1.00, 2, 1.00, 1, 0, 0), 1), ((11, 0.00, 1, 1.00, 0, 0.00, 1, 0, 0), 1), ((30, 0.80, 5, 1.00, 8, 0.90, 1, 0, 0), 1),
+    ((10, 0.00, 40, 0.00, 20, 0.00, 1, 1, 0), 0), ((45, 0.00, 60, 0.00, 30, 0.00, 1, 1, 0), 0), ((3, 0.00, 30, 0.00, 25, 0.00, 1, 1, 1), 0),
+    ((20, 0.10, 15, 0.00, 70, 0.00, 1, 1, 0), 0), ((2, 1.00, 45, 0.00, 2, 1.00, 1, 1, 0), 0), ((1, 0.00, 60, 0.00, 40, 0.00, 1, 1, 0), 0),
+    # outside it, on a page that has one
+    ((1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0), 0), ((8, 0.00, 1, 1.00, 9, 0.00, 0, 1, 0), 0), ((60, 0.00, 1, 1.00, 9, 0.00, 0, 1, 0), 0),
+    ((12, 0.00, 80, 0.00, 0, 0.00, 0, 1, 0), 0), ((5, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0), 0), ((30, 0.00, 9, 0.00, 50, 0.00, 0, 0, 0), 0),
+    ((4, 0.00, 0, 0.00, 6, 0.00, 0, 0, 1), 0), ((90, 0.02, 4, 0.00, 12, 0.50, 0, 0, 0), 0), ((14, 0.40, 3, 1.00, 4, 0.00, 0, 0, 0), 0),
+    ((80, 0.00, 90, 0.00, 70, 0.00, 0, 0, 0), 0), ((2, 0.00, 100, 0.00, 0, 0.00, 0, 0, 0), 0), ((18, 0.00, 25, 0.00, 60, 0.00, 0, 0, 0), 0),
+    # on a page without one: prose, and short lines beside prose
+    ((70, 0.00, 6, 0.00, 80, 0.00, .5, 0, 0), 1), ((45, 0.05, 50, 0.00, 60, 0.00, .5, 0, 0), 1), ((22, 0.00, 40, 0.00, 3, 0.00, .5, 0, 0), 1),
+    ((28, 0.00, 2, 1.00, 2, 1.00, .5, 0, 0), 1), ((35, 0.00, 3, 1.00, 4, 0.90, .5, 0, 0), 1), ((18, 0.10, 20, 0.10, 35, 0.00, .5, 0, 0), 1),
+    ((8, 0.00, 1, 1.00, 70, 0.00, .5, 0, 1), 1), ((5, 0.00, 2, 1.00, 45, 0.00, .5, 0, 1), 1), ((9, 0.00, 60, 0.00, 55, 0.00, .5, 0, 0), 1),
+    ((3, 0.00, 40, 0.00, 30, 0.00, .5, 0, 0), 1), ((6, 0.00, 45, 0.00, 0, 0.00, .5, 0, 0), 1), ((12, 0.00, 38, 0.00, 0, 0.00, .5, 0, 0), 1),
+    ((4, 0.00, 30, 0.00, 3, 1.00, .5, 0, 0), 1), ((2, 0.00, 5, 0.00, 40, 0.00, .5, 0, 0), 1), ((1, 0.00, 4, 0.00, 3, 0.00, .5, 0, 0), 1),
+    ((7, 0.00, 0, 0.00, 60, 0.00, .5, 0, 0), 1), ((3, 0.00, 0, 0.00, 0, 0.00, .5, 0, 0), 1), ((6, 0.00, 6, 0.00, 5, 0.00, .5, 0, 0), 1),
+    ((16, 0.60, 60, 0.00, 50, 0.00, .5, 0, 0), 1), ((8, 0.90, 45, 0.00, 40, 0.00, .5, 0, 0), 1), ((25, 0.70, 30, 0.00, 35, 0.00, .5, 0, 0), 1),
+    # the same lines among links
+    ((4, 0.00, 2, 1.00, 3, 1.00, .5, 0, 0), 0), ((2, 0.00, 3, 1.00, 2, 1.00, .5, 0, 0), 0), ((5, 0.00, 2, 0.90, 4, 1.00, .5, 0, 1), 0),
+    ((7, 0.00, 4, 1.00, 2, 0.90, .5, 0, 0), 0), ((6, 0.00, 8, 0.80, 0, 0.00, .5, 0, 0), 0), ((3, 0.00, 1, 1.00, 2, 1.00, .5, 0, 1), 0),
+    ((1, 1.00, 2, 1.00, 1, 1.00, .5, 0, 0), 0), ((1, 1.00, 0, 0.00, 1, 1.00, .5, 0, 0), 0), ((30, 0.80, 5, 1.00, 8, 0.90, .5, 0, 0), 0),
+    ((3, 1.00, 2, 1.00, 60, 0.00, .5, 0, 0), 0), ((4, 0.90, 50, 0.00, 4, 1.00, .5, 0, 0), 0), ((2, 1.00, 3, 1.00, 0, 0.00, .5, 0, 0), 0),
+    # named boilerplate there
+    ((25, 0.00, 30, 0.00, 20, 0.00, .5, 1, 0), 0), ((60, 0.00, 80, 0.00, 12, 0.00, .5, 1, 0), 0), ((4, 0.90, 3, 1.00, 4, 1.00, .5, 1, 0), 0),
+    ((7, 0.00, 50, 0.00, 2, 1.00, .5, 1, 1), 0), ((1, 0.00, 40, 0.00, 40, 0.00, .5, 1, 0), 0), ((12, 0.00, 80, 0.00, 0, 0.00, .5, 1, 0), 0),
 ]
 
 
@@ -107,108 +110,197 @@ def classify(tree, row) -> int:
     return tree
 
 
-def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, linked words, in content, in boilerplate, heading) of every block that has text."""
-    out, parts, linked = [], [], 0
-    # open elements: (tag, adds to content, adds to boilerplate, is a heading)
-    stack: list[tuple[str, int, int, int]] = []
-    content = boiler = heading = links = 0
-    at, end = 0, len(html)
-    state = (0, 0, 0)
+class Scanner:
+    """Ends of tags, in time linear in the page: whatever is once not found ahead is not looked for again."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.last = html, True, html.rfind(">")
+        self.gone: set[str] = set()
+        self.closing: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose name ends at ``at``, one in quotes only if there is no other; -1 for none."""
+        if self.last < at:
+            return -1
+        i = at
+        while self.quotes:
+            m = MARKS.search(self.html, i)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                close = self.find(m[0], m.end())
+                i = close + 1 if close >= 0 else m.end()
+        return self.html.find(">", at)
+
+    def closed(self, tag: str, at: int) -> bool:
+        """Whether an end tag of this name stands behind ``at``."""
+        if tag not in self.closing:
+            self.closing[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?![a-z0-9:-])", self.html, re.I)), default=-1)
+        return self.closing[tag] >= at
+
+
+def boilerplate(tag: str, attrs: str, content: bool) -> tuple[int, int]:
+    """(adds to content, adds to boilerplate) by tag, class, id and role."""
+    c, b = int(tag in CONTENT_TAGS), int(tag in BOILER_TAGS or tag in EMBEDDED)
+    if tag in HEADER_TAGS and not content:
+        b = 1
+    if attrs and tag not in ("html", "body"):
+        for name, v1, v2, v3 in ATTR.findall(attrs):
+            name, value = name.lower(), (v1 or v2 or v3).lower()
+            if name in ("class", "id", "role"):
+                words = NAME.findall(value)
+                if not c and any(w in BOILER_NAMES or (w in HEADER_NAMES and not content) for w in words) or value in ("complementary", "contentinfo"):
+                    b = 1
+                elif not b and tag in ("div", "section") and any(w in CONTENT_NAMES for w in words):
+                    c = 1
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                b = 1
+    return c, b
+
+
+class Open:
+    """An open element: what it adds to the counts, and for boilerplate inside a paragraph the text around it."""
+
+    __slots__ = ("tag", "content", "boiler", "heading", "around")
+
+    def __init__(self, tag: str, content: int = 0, boiler: int = 0, heading: int = 0, around=None):
+        self.tag, self.content, self.boiler, self.heading, self.around = tag, content, boiler, heading, around
+
+
+class Blocks:
+    """The flat blocks of a page, built from its tags and texts in order."""
 
-    def flush():
-        nonlocal parts, linked
-        if parts:
-            words = "".join(parts).split()
+    def __init__(self):
+        self.out: list[tuple[str, int, int, int, int, int]] = []
+        self.parts: list[str] = []
+        self.linked = 0
+        self.state = (0, 0, 0)
+        self.stack: list[Open] = []
+        self.open: dict[str, int] = {}
+        self.blocks: list[int] = []  # places of block-level elements in the stack
+        self.content = self.boiler = self.heading = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            words = "".join(self.parts).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), *state))
-            parts, linked = [], 0
+                self.out.append((" ".join(words), len(words), min(self.linked, len(words)), *self.state))
+            self.parts, self.linked = [], 0
 
-    def text(raw: str) -> None:
-        nonlocal linked, state
+    def text(self, raw: str) -> None:
         if not raw:
             return
         t = unescape(raw) if "&" in raw else raw
-        if not parts:
+        if not self.parts:
             if t.isspace():
                 return
-            state = (int(content > 0), int(boiler > 0), int(heading > 0))
-        parts.append(t)
-        if links:
-            linked += len(t.split())
+            self.state = (int(self.content > 0), int(self.boiler > 0), int(self.heading > 0))
+        self.parts.append(t)
+        if self.open.get("a"):
+            self.linked += len(t.split())
+
+    def push(self, tag: str, content: int, boiler: int) -> None:
+        x = Open(tag, content, boiler, int(tag in HEADINGS))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        elif boiler and not self.boiler:  # boilerplate in a line: its text is a block of its own
+            x.around = (self.parts, self.linked, self.state)
+            self.parts, self.linked = [], 0
+        self.stack.append(x)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.content, self.boiler, self.heading = self.content + content, self.boiler + boiler, self.heading + x.heading
+
+    def pop(self) -> str:
+        x = self.stack.pop()
+        if x.around is not None:
+            self.flush()
+            self.parts, self.linked, self.state = x.around
+        self.open[x.tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        self.content, self.boiler, self.heading = self.content - x.content, self.boiler - x.boiler, self.heading - x.heading
+        return x.tag
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost open element of this name and what is open inside it."""
+        if tag in BLOCK_TAGS:
+            self.flush()
+        if self.open.get(tag):
+            while self.pop() != tag:
+                pass
+            if tag in BLOCK_TAGS:
+                self.flush()
+
+    def end_paragraph(self, tag: str) -> None:
+        """A new p or li ends an open one, unless another block-level element was opened since."""
+        if self.blocks and self.stack[self.blocks[-1]].tag == tag:
+            self.close(tag)
 
+
+def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, words, linked words, in content, in boilerplate, heading) of every block that has text."""
+    b, scan = Blocks(), Scanner(html)
+    at, end = 0, len(html)
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
-            text(html[at:])
+            b.text(html[at:])
             break
         m = TAG.match(html, lt)
         if not m:
-            text(html[at : lt + 1])
+            b.text(html[at : lt + 1])
             at = lt + 1
             continue
-        text(html[at:lt])
-        at = m.end()
-        tag = m[2] or m[5]
+        tag = m[2]
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+            b.text(html[at:lt])
+            until = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            close = scan.find(until, m.end())
+            if m[0] == "<![CDATA[":
+                b.text(html[m.end() : close if close >= 0 else end])
+            at = close + len(until) if close >= 0 else end
             continue
-        tag, attrs = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            if tag in BLOCK_TAGS:
-                flush()
-            if any(s[0] == tag for s in stack):
-                while stack:
-                    t, c, b, h = stack.pop()
-                    content, boiler, heading, links = content - c, boiler - b, heading - h, links - (t == "a")
-                    if t == tag:
-                        break
+        close = scan.tag_end(m.end())
+        if close < 0:  # no tag any more
+            b.text(html[at:])
+            break
+        b.text(html[at:lt])
+        tag, attrs, at = tag.lower(), html[m.end() : close], close + 1
+        if m[1]:
+            b.close(tag)
             continue
         if tag in RAW:
             if tag in BLOCK_TAGS:
-                flush()
-            if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = close.end() if close else end
+                b.flush()
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = stop.end() if stop else end
+            continue
+        single = attrs.rstrip().endswith("/")
+        if tag in EMBEDDED and (single or not scan.closed(tag, at)):
             continue
         if tag in BLOCK_TAGS:
-            flush()
+            b.flush()
         elif tag == "br":
-            text(" ")
-        if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK_TAGS:
+            b.text(" ")
+        if tag in VOID or single and tag not in BLOCK_TAGS:
             continue
-        if tag == "p" or tag == "li":  # a new one ends an open one
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
-                if t == tag:
-                    for t, c, b, h in stack[i:]:
-                        content, boiler, heading, links = content - c, boiler - b, heading - h, links - (t == "a")
-                    del stack[i:]
-                    break
-                if t in BLOCK_TAGS:
-                    break
-        c, b, h = int(tag in CONTENT_TAGS), int(tag in BOILER_TAGS), int(tag in HEADINGS)
-        if tag in HEADER_TAGS and not content:
-            b = 1
-        if attrs and tag not in ("html", "body"):
-            for name, v1, v2, v3 in ATTR.findall(attrs):
-                name, value = name.lower(), (v1 or v2 or v3).lower()
-                if name in ("class", "id", "role"):
-                    words = NAME.findall(value)
-                    if not c and any(w in BOILER_NAMES or (w in HEADER_NAMES and not content) for w in words) or value in ("complementary", "contentinfo"):
-                        b = 1
-                    elif not b and tag in ("div", "section") and any(w in CONTENT_NAMES for w in words):
-                        c = 1
-                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                    b = 1
-        if tag in BLOCK_TAGS or b or tag == "a":
-            stack.append((tag, c, b, h))
-            content, boiler, heading, links = content + c, boiler + b, heading + h, links + (tag == "a")
-        elif tag not in VOID:
-            stack.append((tag, 0, 0, 0))
-    flush()
-    return out
+        if tag == "p" or tag == "li":
+            b.end_paragraph(tag)
+        b.push(tag, *boilerplate(tag, attrs, b.content > 0))
+    while b.stack:
+        b.pop()
+    b.flush()
+    return b.out
 
 
 def main_text(html: str | None, tree) -> str:
