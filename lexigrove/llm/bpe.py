@@ -7,6 +7,7 @@ ASCII blanks that follows something that is not white space. ``Chunks`` cuts sli
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import tiktoken
@@ -36,6 +37,29 @@ def encoding(vocabulary: bytes) -> tiktoken.Encoding:
     return _made[key]
 
 
+_BEGINS: dict[int, np.ndarray] = {}
+_OTHER_BLANK = re.compile(r"[^\S ]")
+
+
+def spell(words: list[str], vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, each with a blank before it, one after another, and their bounds.
+
+    Words without white space are encoded in one go: a token that begins with a blank begins a word.
+    """
+    e, key = encoding(vocabulary), hash(vocabulary)
+    if key not in _BEGINS:
+        _BEGINS[key] = np.array([x[:1] == b" " for x in map(e.decode_single_token_bytes, range(END))])
+    text = " " + " ".join(words) if words else ""
+    if words and not _OTHER_BLANK.search(text):
+        ids = np.array(e.encode_ordinary(text), np.int64)
+        begins = np.flatnonzero(_BEGINS[key][ids])
+        if len(begins) == len(words):
+            return ids, np.append(begins, len(ids))
+    lists = [e.encode_ordinary(" " + w) for w in words]
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for one in lists for x in one), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+
+
 def odd_blanks(data: np.ndarray) -> np.ndarray:
     """True at the last byte of every non-ASCII white-space character (and of a few that merely look like one)."""
     out = np.zeros(len(data), bool)

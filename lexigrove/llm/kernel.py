@@ -235,7 +235,7 @@ class Memo:
                 self.rows[n : n + len(new)] = rows
             self.known.update(zip(fresh, range(n, n + len(new))))
             at[new] = np.arange(n, n + len(new))
-            self.held += sum(map(len, fresh)) + self.ENTRY * len(fresh) + 2 * rows.nbytes
+            self.held += sum(map(len, fresh)) + self.ENTRY * len(fresh) + 3 * rows.nbytes // 2
         return at[codes], self.rows
 
 

@@ -161,23 +161,21 @@ def lm_model(texts, steps=60):
     lexicon = op3_lm.Lexicon(s)
     counts = Counter(w.encode() for t in texts for w in WORD.findall((t or "").translate(UPPER)))
     encode = bpe.encoding(vocabulary).encode_ordinary
-    lists = [encode(" " + w.decode()) for w in counts]
-    ids, bounds = op3_lm.flat(lists)
-    kind, n = lexicon.kinds(lists, ids, bounds), np.array(list(counts.values()))
+    ids, bounds = op3_lm.flat([encode(" " + w.decode()) for w in counts])
+    kind, n = lexicon.kinds(ids, bounds), np.array(list(counts.values()))
     speller = op3_lm.Speller(*np.unique(op3_lm.transitions(kind, ids, bounds), return_counts=True))
     speller.measure(lexicon, vocabulary)
     t = kind >= op3_lm.SINGLE
     stats = [np.bincount(kind[t] - op3_lm.SINGLE, x[t], op3_lm.TOPICS) for x in (n, np.ones(len(n)), n == 1, n == 2)]
-    attention = op3_lm.Attention(lexicon).train(s, lexicon.kinds(s.lists, s.ids, s.bounds), steps)
-    return op3_lm.Model(lexicon, speller, op3_lm.Shares(*stats), attention), counts, encode
+    attention = op3_lm.Attention(lexicon).train(s, lexicon.kinds(s.ids, s.bounds), steps)
+    return op3_lm.Model(lexicon, speller, op3_lm.Shares(*stats), attention), counts, vocabulary
 
 
-def lm_logs(m, counts, encode, texts):
-    out, memo = [], K.Memo(m.words(encode, counts))
+def lm_logs(m, counts, vocabulary, texts):
+    out, memo = [], K.Memo(m.words(vocabulary, counts))
     for _, _, data, off in K.slices(pa.array(texts, pa.string())):
         w = K.Words(data, off, lower=True)
-        at, row = memo(w.data, w.starts, w.ends) if len(w.starts) else (np.zeros(0, np.int64), np.zeros(0, m.ROW))
-        out += m.score(w, at, row).tolist()
+        out += m.score(w, *m.look_up(memo, w)).tolist()
     return np.array(out)
 
 
@@ -188,8 +186,8 @@ def lm(docs):
 
 
 def test_op3_shares_sum_to_one_at_most(lm):
-    m, counts, encode, held = lm
-    row = m.words(encode, counts)([*counts])
+    m, counts, vocabulary, held = lm
+    row = m.words(vocabulary, counts)([*counts])
     mass = np.bincount(row["kind"], 10.0 ** row["share"], op3_lm.CLASSES)
     used = np.unique(row["kind"][row["kind"] >= op3_lm.SINGLE])
     left = 10.0 ** (m.shares.log_open - m.shares.log_norm)[used - op3_lm.SINGLE]  # what new words share
@@ -204,11 +202,11 @@ def test_op3_shares_sum_to_one_at_most(lm):
 
 def test_op3_class_probabilities_are_causal_and_windows_do_not_matter(lm):
     """Each token's logarithm by a plain loop over its own context: later words change nothing, blocks and batches neither."""
-    m, counts, encode, held = lm
+    m, counts, vocabulary, held = lm
     att = m.attention
     text = next(t for t in held if 40 < len(WORD.findall(t)) < 400)
     words = [w.translate(UPPER).encode() for w in WORD.findall(text)]
-    row = m.words(encode, counts)(words)
+    row = m.words(vocabulary, counts)(words)
     x, kind = np.concatenate([[att.start], row["x"]]), np.append(row["kind"], op3_lm.END)
     total = row["share"].sum()
     for t in range(len(kind)):
@@ -225,15 +223,28 @@ def test_op3_class_probabilities_are_causal_and_windows_do_not_matter(lm):
             o.append(s @ val / s.sum())
         z = np.concatenate(o) @ att.p["out"] + att.p["bias"]
         total += (z[kind[t]] - np.log(np.exp(z).sum())) / math.log(10)
-    assert lm_logs(m, counts, encode, [text])[0] == pytest.approx(total, rel=1e-4)
-    assert lm_logs(m, counts, encode, ["a b", text, "", text])[[1, 3]] == pytest.approx([total, total], rel=1e-4)
+    assert lm_logs(m, counts, vocabulary, [text])[0] == pytest.approx(total, rel=1e-4)
+    assert lm_logs(m, counts, vocabulary, ["a b", text, "", text])[[1, 3]] == pytest.approx([total, total], rel=1e-4)
+
+
+def test_words_spelled_together_or_alone():
+    v = bpe.read()
+    encode = bpe.encoding(v).encode_ordinary
+    for words in (["the", "cat's", "éa", "x" * 50, "12,5", "<|endoftext|>", "-"], ["a\u00a0b", "c", "\u2003"], ["\x85", "q"], []):
+        ids, bounds = bpe.spell(words, v)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(" " + w) for w in words]
+    rng = np.random.default_rng(1)
+    table, size = rng.normal(size=(30, 4)).astype(np.float32), np.concatenate([rng.integers(0, 6, 300), [0, 90, 1]])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    row = rng.integers(0, 30, bounds[-1])
+    assert np.allclose(op3_lm.gathered(table, row, bounds), [table[row[a:b]].sum(0) for a, b in zip(bounds, bounds[1:])], atol=1e-4)
 
 
 def test_op3_gradients(lm):
     m, *_ = lm
     s = lm_sample(["the cat sat on the mat and the dog ate " * 4, "un deux trois", ""])
     lex = op3_lm.Lexicon(s)
-    kind, att = lex.kinds(s.lists, s.ids, s.bounds), op3_lm.Attention(lex)
+    kind, att = lex.kinds(s.ids, s.bounds), op3_lm.Attention(lex)
     rng = np.random.default_rng(0)
     att.p = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float64) for k, v in att.p.items()}
     _, g = att.gradients(s, kind, s.words)
@@ -277,8 +288,8 @@ def test_op3_learns_from_all_training_documents(spark, docs, monkeypatch):
     few, many, whole = seen
     assert 0 < 1.3 * len(few.words) < len(many.words)
     want = lm_sample([r.text for r in rows if r.text is not None])
-    spelled = lambda s: sorted(tuple(tuple(s.lists[x]) if x >= 0 else () for x in w) for w in s.words.tolist())
-    assert spelled(whole) == spelled(want)
+    spelling = lambda s: sorted(tuple(tuple(s.lists[x]) if x >= 0 else () for x in w) for w in s.words.tolist())
+    assert spelling(whole) == spelling(want)
 
 
 def test_op3_rare_words_meet_their_counts(spark, docs, monkeypatch):
