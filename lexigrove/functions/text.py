@@ -7,6 +7,8 @@ from lexigrove.config import CLAUSE, CYRILLIC_WORD, FURNITURE, LEADER, STOP_WORD
 
 S = Settings()
 _EDGE = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+#: Where a text breaks into lines.
+BREAK = "\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -15,7 +17,7 @@ def strip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(c, "\r\n|\r|\n"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, BREAK), strip), lambda x: x != "")
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -36,8 +38,7 @@ def folded(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(STOP_WORDS))
 
 
 def clause_ids(c: Column) -> Column:
@@ -112,9 +113,9 @@ def lang_hint(c: Column) -> Column:
 
 
 def density_score(chars: Column, area: Column) -> Column:
-    """Characters per 1,000 square points, in bands."""
-    d = chars / (area / 1000)
-    return F.when(chars == 0, 0.0).when(d < 0.3, 0.25).when(d < 2, 0.55).when(d <= 40, 1.0).when(d <= 80, 0.55).otherwise(0.15)
+    """Characters per 1,000 square points, in bands; zero without area."""
+    d = F.try_divide(chars, area / 1000)
+    return F.when((chars == 0) | (area <= 0), 0.0).when(d < 0.3, 0.25).when(d < 2, 0.55).when(d <= 40, 1.0).when(d <= 80, 0.55).otherwise(0.15)
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
