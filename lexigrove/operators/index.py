@@ -1,9 +1,18 @@
-"""Inverted index tables over chunks (chunk_ord, text)."""
+"""Inverted index over chunks: term statistics, and the index as stored tables.
 
-from pyspark.sql import Column, DataFrame
+Chunks: (chunk_ord, text), optionally clause_id, chunk_id and more. Texts are tokenised once, when the index is built;
+search reads columns of ``chunks`` (chunk_ord, clause_id, dl, mush, size, terms, folded) as it needs them.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text as T
+from lexigrove.sources.tables import exists, stored
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -28,3 +37,83 @@ def idf(n: Column, df: Column) -> Column:
 def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf); ``stats`` has one row."""
     return post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+@dataclass
+class Index:
+    """``chunks`` as described above; ``vectors`` (chunk_ord, vector) or None; the model that made them."""
+
+    chunks: DataFrame
+    vectors: DataFrame | None = None
+    model: str | None = None
+
+
+def prepared(chunks: DataFrame) -> DataFrame:
+    clause = F.col("clause_id") if "clause_id" in chunks.columns else F.lit(None).cast("string")
+    folded = T.folded(F.col("text"))
+    return chunks.select("chunk_ord", clause.alias("clause_id"), T.is_mush(F.col("text")).alias("mush"), T.tokens(F.col("text")).alias("terms"), folded.alias("folded")).select(
+        "chunk_ord", "clause_id", F.coalesce("mush", F.lit(False)).alias("mush"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("dl"), F.length("folded").alias("size"), "terms", "folded"
+    )
+
+
+def build(chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> Index:
+    """The index in the shared folder, for the session."""
+    return Index(stored(prepared(chunks)), vectors, model)
+
+
+def write(chunks: DataFrame, path: str, report: dict | None = None, encode=None, model: str | None = None, force: bool = False) -> list[str]:
+    """Writes the index to ``path``: chunks, search columns, vectors, and one row of metadata; returns notes.
+
+    ``encode(frame of (sha256, text)) -> frame of (sha256, vector)`` is a port, called once for the texts whose vectors are not
+    stored yet. Vectors of one index come from one model: another ``model`` is ignored unless ``force`` makes all of them anew.
+    """
+    spark, notes = chunks.sparkSession, []
+    meta = read_meta(spark, path)
+    hashed = chunks.withColumn("sha256", F.sha2("text", 256))
+    known, used = None, None
+    if encode and model:
+        used = model
+        if meta and meta["model"] and meta["model"] != model:
+            if force:
+                notes.append(f"vectors of {meta['model']} dropped, all made by {model}")
+            else:
+                used = meta["model"]
+                notes.append(f"vectors are of {used}; {model} is not used without force")
+        if exists(spark, f"{path}/vectors") and not (force and meta and meta["model"] != model):
+            known = spark.read.parquet(f"{path}/vectors").dropDuplicates(["sha256"])
+        texts = hashed.select("sha256", "text").dropDuplicates(["sha256"])
+        missing = texts.join(known.select("sha256"), "sha256", "left_anti") if known is not None else texts
+        made = stored(encode(missing, used).select("sha256", "vector"))
+        lost = missing.join(made, "sha256", "left_anti").limit(1).count()
+        if lost:
+            notes.append("vectors skipped: the encoder returned too few")
+            used = None
+        else:
+            # written beside the old ones first, which it still reads
+            vectors = stored(made if known is None else made.unionByName(known.join(texts.select("sha256"), "sha256", "left_semi")))
+            stored(vectors, f"{path}/vectors", "overwrite")
+    elif meta and exists(spark, f"{path}/vectors"):
+        used = meta["model"]
+    stored(hashed, f"{path}/chunks", "overwrite")
+    stored(prepared(chunks), f"{path}/search", "overwrite")
+    digest = hashed.agg(F.sum(F.xxhash64("chunk_ord", "sha256").cast("decimal(38,0)")).cast("string").alias("digest"), F.count("*").alias("chunks")).first()
+    row = spark.createDataFrame([(digest.digest, digest.chunks, used, {k: str(v) for k, v in (report or {}).items()}, notes)], "digest string, chunks long, model string, report map<string,string>, notes array<string>")
+    stored(row.withColumn("built_at", F.current_timestamp()), f"{path}/meta", "overwrite")
+    return notes
+
+
+def read_meta(spark: SparkSession, path: str) -> dict | None:
+    return spark.read.parquet(f"{path}/meta").first().asDict() if exists(spark, f"{path}/meta") else None
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """A written index; FileNotFoundError without one. Vectors count only if every chunk has its own."""
+    if not exists(spark, f"{path}/search"):
+        raise FileNotFoundError(f"no index at {path}; write one first")
+    found, vectors, model = spark.read.parquet(f"{path}/search"), None, None
+    if exists(spark, f"{path}/vectors"):
+        chunks = spark.read.parquet(f"{path}/chunks").select("chunk_ord", "sha256")
+        known = spark.read.parquet(f"{path}/vectors")
+        if not chunks.join(known, "sha256", "left_anti").limit(1).count():
+            vectors, model = chunks.join(known, "sha256").select("chunk_ord", "vector"), (read_meta(spark, path) or {}).get("model")
+    return Index(found, vectors, model)
