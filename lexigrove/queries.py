@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrove import samples
 from lexigrove.config import STOP_WORDS, TOKEN
 from lexigrove.functions import text as T
-from lexigrove.operators import evaluate, index, search
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,14 @@ def _docs(spark, d):
     return _t(spark, d, "documents")
 
 
+def _texts(spark, d):
+    """Documents, and our own small texts with what they lack."""
+    own = spark.createDataFrame(samples.TEXTS, "doc_id long, text string")
+    return _docs(spark, d).select("doc_id", "text").union(own)
+
+
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_TEXTS = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_quoted(t)})" for i, t in samples.TEXTS) + ") v(doc_id, text))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _FOLD = "trim(regexp_replace(replace(lower({c}), 'ё', 'е'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _TOK = f"list_filter(regexp_extract_all({_FOLD}, '{TOKEN}'), lambda t: NOT list_contains({_STOP}, t))"
@@ -44,19 +52,19 @@ _tok = lambda c: _TOK.replace("{c}", c)
 _lines = lambda c: _LINES.replace("{c}", c)
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13))) AS h FROM (SELECT doc_id, regexp_replace(replace(text, chr(160), ' '), '[ \\t]+\\n', chr(10), 'g') AS text FROM documents)")
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13))) AS h FROM (SELECT doc_id, regexp_replace(replace(text, chr(160), ' '), '[ \\t]+\\n', chr(10), 'g') AS text FROM {_TEXTS})")
 def normalize_whitespace(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("h"))
+    return _texts(spark, d).select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("h"))
 
 
-@query(f"SELECT doc_id, sha256({_FOLD.replace('{c}', 'text')}) AS h FROM documents")
+@query(f"SELECT doc_id, sha256({_FOLD.replace('{c}', 'text')}) AS h FROM {_TEXTS}")
 def folded_text(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(T.folded(F.col("text")), 256).alias("h"))
+    return _texts(spark, d).select("doc_id", F.sha2(T.folded(F.col("text")), 256).alias("h"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(text, '([A-Za-zА-Яа-яЁё])[ \\t]*-[ \\t]*\\n[ \\t]*([A-Za-zА-Яа-яЁё])', '\\1\\2', 'g')) AS h FROM documents")
+@query(f"SELECT doc_id, sha256(regexp_replace(replace(text, chr(173), ''), '([A-Za-zА-Яа-яЁё])[ \\t]*-[ \\t]*\\n[ \\t]*([A-Za-zА-Яа-яЁё])', '\\1\\2', 'g')) AS h FROM {_TEXTS}")
 def join_hyphens(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(T.join_hyphens(F.col("text")), 256).alias("h"))
+    return _texts(spark, d).select("doc_id", F.sha2(T.join_hyphens(F.col("text")), 256).alias("h"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -74,9 +82,9 @@ def clause_ids_in_text(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(T.clause_ids(F.col("text"))).alias("clause_id"))
 
 
-@query(f"SELECT doc_id, len(l) AS n_lines, len(l) >= 6 AND len(list_filter(l, lambda x: regexp_matches(x, '\\.{{4,}}|…{{2,}}'))) >= 4 AS toc FROM (SELECT doc_id, {_lines('text')} AS l FROM documents)")
+@query(f"SELECT doc_id, len(l) AS n_lines, len(l) >= 6 AND len(list_filter(l, lambda x: regexp_matches(x, '\\.{{4,}}|…{{2,}}'))) >= greatest(4, 0.4 * len(l)) AS toc FROM (SELECT doc_id, {_lines('text')} AS l FROM {_TEXTS})")
 def toc_pages(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.lines(F.col("text"))).cast("long").alias("n_lines"), T.is_toc(F.col("text")).alias("toc"))
+    return _texts(spark, d).select("doc_id", F.size(T.lines(F.col("text"))).cast("long").alias("n_lines"), T.is_toc(F.col("text")).alias("toc"))
 
 
 _MUSH = """(len({l}) >= 4 AND (len(list_filter({l}, lambda x: length(x) < 20)) / len({l}) > 0.5 OR len(list_filter({l}, lambda x: length(x) < 5)) / len({l}) > 0.3
@@ -84,14 +92,24 @@ _MUSH = """(len({l}) >= 4 AND (len(list_filter({l}, lambda x: length(x) < 20)) /
 _mush = lambda c: _MUSH.replace("{l}", _lines(c)).replace("{c}", c)
 
 
-@query(f"SELECT doc_id, {_mush('text')} AS mush FROM documents")
+@query(f"SELECT doc_id, {_mush('text')} AS mush FROM {_TEXTS}")
 def mush_flags(spark, d):
-    return _docs(spark, d).select("doc_id", T.is_mush(F.col("text")).alias("mush"))
+    return _texts(spark, d).select("doc_id", T.is_mush(F.col("text")).alias("mush"))
+
+
+_HTML = f"(SELECT page_id AS doc_id, html AS text FROM pages UNION ALL FROM {_TEXTS})"
+
 
+def _markup(spark, d):
+    return _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).union(_texts(spark, d))
 
-@query("SELECT page_id, len(list_filter(regexp_extract_all(html, '</?([A-Za-z][A-Za-z0-9]*)[^>]*>', 1), lambda x: length(x) >= 4)) > 0 AND len(regexp_extract_all(html, '[А-Яа-яЁё]{5,}')) < 4 AS xml FROM pages")
+
+_XML = "(len(list_filter(regexp_extract_all(text, '</?([A-Za-z][A-Za-z0-9]*)[^>]*>', 1), lambda x: length(x) >= 4)) > 0 AND len(regexp_extract_all(text, '[А-Яа-яЁё]{5,}')) < 4)"
+
+
+@query(f"SELECT doc_id, {_XML} AS xml, count(*) AS n FROM {_HTML} GROUP BY ALL")
 def xml_fragments(spark, d):
-    return _t(spark, d, "pages").select("page_id", T.is_xml_fragment(F.col("html")).alias("xml"))
+    return _markup(spark, d).groupBy("doc_id", T.is_xml_fragment(F.col("text")).alias("xml")).agg(F.count("*").alias("n"))
 
 
 _EQ = f"""list_filter({_lines('text')}, lambda x: NOT regexp_matches(regexp_replace(x, 'https?://[^ \\t\\n\\r]+', ' ', 'g'), '[А-Яа-яЁё]{{5,}}|[A-Za-z]{{12,}}')
@@ -99,16 +117,25 @@ _EQ = f"""list_filter({_lines('text')}, lambda x: NOT regexp_matches(regexp_repl
  AND len(regexp_extract_all(regexp_replace(regexp_replace(x, 'https?://[^ \\t\\n\\r]+', ' ', 'g'), '[ \\t]+', '', 'g'), '[0-9=∫∑∏√∂≤≥≠≈+*/^\\[\\](){{}}-]')) / length(regexp_replace(regexp_replace(x, 'https?://[^ \\t\\n\\r]+', ' ', 'g'), '[ \\t]+', '', 'g')) >= 0.35)"""
 
 
-@query(f"SELECT doc_id, len({_EQ}) AS n FROM documents")
+@query(f"SELECT doc_id, len({_EQ}) AS n FROM {_TEXTS}")
 def equation_lines(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.equation_lines(F.col("text"))).cast("long").alias("n"))
+    return _texts(spark, d).select("doc_id", F.size(T.equation_lines(F.col("text"))).cast("long").alias("n"))
+
+
+_FORMULA = f"(len({_EQ}) > 0 AND list_sum(list_transform({_EQ}, lambda x: length(x))) >= 0.6 * length(text))"
 
 
-@query("""SELECT page_id, regexp_matches(html, '</?([A-Za-z][A-Za-z0-9]{3,})[^>]*>') AND len(regexp_extract_all(html, '[А-Яа-яЁё]{5,}')) < 4
- OR (n >= 20 AND (letters = 0 OR (n - letters - digits) / n > 0.5 OR tags >= 2)) AS garbage FROM (SELECT page_id, html, length(c) AS n, len(regexp_extract_all(c, '\\p{L}')) AS letters,
- len(regexp_extract_all(c, '[0-9]')) AS digits, len(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9_:.-]*[^>]*>')) AS tags FROM (SELECT page_id, html, regexp_replace(html, '[ \\t\\n\\r]+', '', 'g') AS c FROM pages))""")
+@query(f"SELECT doc_id, coalesce({_FORMULA}, false) AS formula FROM {_TEXTS}")
+def formula_chunks(spark, d):
+    return _texts(spark, d).select("doc_id", T.is_formula_chunk(F.col("text")).alias("formula"))
+
+
+@query(f"""SELECT doc_id, {_XML} OR coalesce({_FORMULA}, false)
+ OR (n >= 20 AND (letters = 0 OR (n - letters - digits) / n > 0.5 OR tags >= 2 OR (regexp_matches(text, 'https?://[^ \\t\\n\\r]+') AND len(regexp_extract_all(regexp_replace(text, 'https?://[^ \\t\\n\\r]+', ' ', 'g'), '\\p{{L}}')) < 40))) AS garbage, count(*) AS times
+ FROM (SELECT doc_id, text, length(c) AS n, len(regexp_extract_all(c, '\\p{{L}}')) AS letters, len(regexp_extract_all(c, '[0-9]')) AS digits, len(regexp_extract_all(text, '</?[A-Za-z][A-Za-z0-9_:.-]*[^>]*>')) AS tags
+  FROM (SELECT doc_id, text, regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g') AS c FROM {_HTML})) GROUP BY ALL""")
 def garbage_flags(spark, d):
-    return _t(spark, d, "pages").select("page_id", T.is_garbage(F.col("html")).alias("garbage"))
+    return _markup(spark, d).groupBy("doc_id", T.is_garbage(F.col("text")).alias("garbage")).agg(F.count("*").alias("times"))
 
 
 @query(f"SELECT t AS term, count(*) AS n FROM (SELECT unnest({_tok('text')}) AS t FROM documents) WHERE regexp_matches(t, '\\p{{L}}') AND regexp_matches(t, '[0-9]') GROUP BY t")
@@ -117,20 +144,21 @@ def code_tokens(spark, d):
     return t.where(T.is_code_token(F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_lines('text')}) AS x FROM documents) WHERE regexp_matches(lower(x), '^(?:[0-9]{{1,4}}|страница[ \\t]+[0-9]+[ \\t]+из[ \\t]+[0-9]+|стр\\.?[ \\t]*[ivxlcdm0-9]+|[0-9]+[ \\t]*[-–—][ \\t]*[0-9]+)$') GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_lines('text')}) AS x FROM {_TEXTS}) WHERE regexp_matches(lower(x), '^(?:[0-9]{{1,4}}|страница[ \\t]+[0-9]+[ \\t]+из[ \\t]+[0-9]+|стр\\.?[ \\t]*[ivxlcdm0-9]+|[0-9]+[ \\t]*[-–—][ \\t]*[0-9]+)$') GROUP BY doc_id")
 def furniture_lines(spark, d):
-    t = _docs(spark, d).select("doc_id", F.explode(T.lines(F.col("text"))).alias("x"))
+    t = _texts(spark, d).select("doc_id", F.explode(T.lines(F.col("text"))).alias("x"))
     return t.where(T.is_furniture(F.col("x"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, hint, count(*) AS n FROM (SELECT source, CASE WHEN c + l = 0 THEN 'unknown' WHEN c / (c + l) >= 0.6 THEN 'ru' WHEN c / (c + l) <= 0.2 THEN 'en' ELSE 'mixed' END AS hint FROM (SELECT source, len(regexp_extract_all(text, '[Ѐ-ӿ]')) AS c, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM documents)) GROUP BY ALL")
+@query(f"SELECT own, hint, count(*) AS n FROM (SELECT doc_id < 0 AS own, CASE WHEN c + l = 0 THEN 'unknown' WHEN c / (c + l) >= 0.6 THEN 'ru' WHEN c / (c + l) <= 0.2 THEN 'en' ELSE 'mixed' END AS hint FROM (SELECT doc_id, len(regexp_extract_all(text, '[Ѐ-ӿ]')) AS c, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM {_TEXTS})) GROUP BY ALL")
 def lang_hint_summary(spark, d):
-    return _docs(spark, d).groupBy("source", T.lang_hint(F.col("text")).alias("hint")).agg(F.count("*").alias("n"))
+    return _texts(spark, d).groupBy((F.col("doc_id") < 0).alias("own"), T.lang_hint(F.col("text")).alias("hint")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z]')) / greatest(len(regexp_extract_all(text, '\\p{L}')), 1), 6) AS lat FROM documents")
+@query(f"SELECT doc_id, round(len(regexp_extract_all(text, '[Ѐ-ӿ]')) / n, 6) AS cyr, round(len(regexp_extract_all(text, '[A-Za-z]')) / n, 6) AS lat, round(len(regexp_extract_all(text, '[Ͱ-Ͽ]')) / n, 6) AS greek FROM (SELECT doc_id, text, greatest(len(regexp_extract_all(text, '\\p{{L}}')), 1) AS n FROM {_TEXTS})")
 def script_shares(spark, d):
-    return _docs(spark, d).select("doc_id", F.round(T.script_shares(F.col("text")).lat, 6).alias("lat"))
+    s = T.script_shares(F.col("text"))
+    return _texts(spark, d).select("doc_id", *(F.round(s[k], 6).alias(k) for k in ("cyr", "lat", "greek")))
 
 
 def _pages(spark, d):
@@ -196,87 +224,10 @@ def top8_per_source(spark, d):
     return _docs(spark, d).select("source", "doc_id", F.row_number().over(w).cast("long").alias("rn")).where("rn <= 8")
 
 
-_CHUNKS = f"SELECT doc_id AS chunk_ord, text, {_tok('text')} AS t FROM documents"
-
-
-def _chunks(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("chunk_ord"), "text")
-
-
-def _asked(spark, d):
-    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
-@query(f"WITH c AS ({_CHUNKS}), p AS (SELECT DISTINCT chunk_ord, unnest(t) AS term FROM c) SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM c) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p GROUP BY term")
-def term_df_idf(spark, d):
-    c = _chunks(spark, d)
-    return index.term_stats(index.postings(c), index.corpus_stats(index.doc_lengths(c))).withColumn("idf", F.round("idf", 6))
-
-
-@query(f"WITH c AS ({_CHUNKS}) SELECT chunk_ord, len(t) AS dl FROM c")
-def doc_lengths(spark, d):
-    return index.doc_lengths(_chunks(spark, d))
-
-
-_LEX = f"""WITH c AS ({_CHUNKS}), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM c), p AS (SELECT chunk_ord, dl, term, count(*) AS tf FROM (SELECT chunk_ord, len(t) AS dl, unnest(t) AS term FROM c) GROUP BY ALL),
- df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query_id, text, {_tok('text')} AS t FROM benchmark), qt AS (SELECT query_id, n_terms, term, count(*) AS qtf FROM (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(t) AS term FROM q) GROUP BY ALL),
- h AS (SELECT query_id, chunk_ord, n_terms, count(*) AS m, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN p USING (term) JOIN df USING (term), s GROUP BY ALL),
- g AS (SELECT query_id, chunk_ord, CASE WHEN {_mush('c.text')} THEN score / 2 ELSE score END AS score, {_FOLD.replace('{c}', 'c.text')} AS f, CASE WHEN len(q.t) >= 3 AND length({_FOLD.replace('{c}', 'q.text')}) >= 20 THEN {_FOLD.replace('{c}', 'q.text')} END AS ph
-  FROM h JOIN c USING (chunk_ord) JOIN q USING (query_id) WHERE CASE WHEN n_terms = 1 THEN m = 1 ELSE m >= 2 AND m / n_terms >= 0.5 END),
- r AS (SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(contains(f, ph), false) DESC, CASE WHEN coalesce(contains(f, ph), false) THEN length(f) ELSE 0 END, round(score, 9) DESC, chunk_ord) AS rank FROM g WHERE score > 0)"""
-
-
-@query(_LEX + " SELECT query_id, chunk_ord, round(score, 6) AS score, rank FROM r WHERE rank <= 3")
-def lexical_topk(spark, d):
-    hits = search.lexical(_chunks(spark, d), _asked(spark, d)).where("rank <= 3")
-    return hits.select("query_id", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-_DENSE = """dn AS (SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank FROM
- (SELECT a.vec_id AS query_id, b.vec_id AS chunk_ord, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE {w}))"""
-
-
-@query("WITH " + _DENSE.replace("{w}", "a.vec_id % 50 = 0") + " SELECT query_id, chunk_ord, round(score, 6) AS score, rank FROM dn WHERE rank <= 3")
-def dense_topk(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("vector"))
-    q = e.where("chunk_ord % 50 = 0").select(F.col("chunk_ord").alias("query_id"), "vector")
-    return search.dense(e, q).select("query_id", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-def _vectors(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("vector"))
-    return e, _asked(spark, d).join(e.withColumnRenamed("chunk_ord", "query_id"), "query_id")
-
-
-@query(_LEX + ", " + _DENSE.replace("{w}", "a.vec_id IN (SELECT item_id FROM benchmark)") + """, j AS (SELECT query_id, chunk_ord, coalesce(1 / (10 + a.rank), 0) + coalesce(1 / (10 + b.rank), 0) AS score, a.rank AS lr, b.rank AS dr
- FROM (FROM r WHERE rank <= 50) a FULL JOIN (FROM dn WHERE rank <= 50) b USING (query_id, chunk_ord))
- SELECT query_id, chunk_ord, round(score, 6) AS score, CASE WHEN lr IS NULL THEN 'dense' WHEN dr IS NULL THEN 'lexical' ELSE 'hybrid' END AS method, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, lr NULLS LAST, chunk_ord) AS rank FROM j) WHERE rank <= 3""")
-def rrf_fusion(spark, d):
-    e, q = _vectors(spark, d)
-    out = search.fuse(search.lexical(_chunks(spark, d), _asked(spark, d)), search.dense(e, q.select("query_id", "vector"), 50))
-    return out.select("query_id", "chunk_ord", F.round("score", 6).alias("score"), "method", F.col("rank").cast("long").alias("rank"))
-
-
-@query()
-def hybrid_adaptive(spark, d):
-    e, q = _vectors(spark, d)
-    return search.adaptive(_chunks(spark, d), e, q).withColumn("score", F.round("score", 6))
-
-
-@query(_LEX + """, gold AS (SELECT item_id AS query_id, doc_id AS chunk_ord FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT query_id, min(rank) AS r FROM r JOIN gold USING (query_id, chunk_ord) WHERE rank <= 3 GROUP BY 1),
- x AS (SELECT q.query_id, r, (SELECT count(*) FROM r WHERE r.query_id = q.query_id AND rank <= 3) AS shown, q.query_id IN (SELECT query_id FROM gold) AS has FROM q LEFT JOIN f USING (query_id))
- SELECT count(*) AS questions, round(avg(CASE WHEN NOT has THEN (shown = 0)::INT ELSE coalesce((r <= 1)::INT, 0) END), 6) AS recall_1, round(avg(CASE WHEN NOT has THEN (shown = 0)::INT ELSE coalesce((r <= 3)::INT, 0) END), 6) AS recall_3,
- round(avg(CASE WHEN NOT has THEN (shown = 0)::INT ELSE coalesce(1 / r, 0) END), 6) AS mrr FROM x""")
-def recall_mrr_ndcg(spark, d):
-    q = _asked(spark, d)
-    hits = search.lexical(_chunks(spark, d), q).where("rank <= 3")
-    # whole passages: candidates share the lexical index, so no text meets every query
-    near = search.lexical(_chunks(spark, d), q, cover=0.99).select("query_id", "chunk_ord")
-    gold = near.join(_chunks(spark, d), "chunk_ord").join(F.broadcast(q), "query_id").where(F.col("text").contains(F.col("query"))).select("query_id", "chunk_ord")
-    return evaluate.retrieval_metrics(q, hits, gold).select("questions", "recall_1", "recall_3", "mrr")
-
-
 @query("SELECT o_orderkey, unnest(range(lo, lo + 3)) AS page FROM (SELECT o_orderkey, o_orderkey % 7 + 1 AS lo FROM orders)")
 def page_range_explode(spark, d):
     lo = F.col("o_orderkey") % 7 + 1
     return _t(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(lo, lo + 2)).alias("page"))
+
+
+from lexigrove import queries_more, queries_search  # noqa: E402, F401 - they add their queries

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexigrove import queries as core
 from lexigrove.functions import text as T
-from lexigrove.operators import search
+from lexigrove.operators import index, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +53,7 @@ def test_predicates(spark):
 def test_search_ties_and_refusal(spark):
     c = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "delta")], "chunk_ord long, text string")
     q = spark.createDataFrame([(1, "alpha beta"), (2, "the of"), (3, "omega psi")], "query_id long, query string")
-    assert [(r.query_id, r.chunk_ord, r["rank"]) for r in search.lexical(c, q).orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2)]
+    assert [(r.query_id, r.chunk_ord, r["rank"]) for r in search.lexical(index.build(c), q).orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2)]
 
 
 def test_dense_empty_and_ties(spark):
