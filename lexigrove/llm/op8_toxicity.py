@@ -7,7 +7,7 @@ state is alive. So misspelled terms are caught with one edit, without listing sp
 
 Every hit is weighed by a window of ``WINDOW`` words to each side: between quotation marks or beside a verb of saying
 it is likely a quotation and counts little; beside further hits it counts more. A logistic model fitted on the labelled
-rows turns the sums of exact hits, misspelled terms and misspelled stems into a probability.
+rows turns the sums of exact terms, misspelled terms, misspelled stems and different words with a stem into a probability.
 
 Null and empty texts have no hits and get the model's base score. Whole texts count, whatever their length; repeated
 rows get equal scores. At most ``SAMPLE`` labelled texts of each class are used; without both classes nothing is toxic.
@@ -31,7 +31,12 @@ FUZZY_TERM, FUZZY_STEM = 5, 5
 QUOTES = "\"“”„«»‹›"
 #: Verbs of saying in the languages at hand.
 SAYING = ["said", "says", "wrote", "writes", "quoted", "quote", "called", "cited", "dit", "écrit", "cite", "sagte", "schrieb", "zitiert", "dijo", "escribió", "citó"]
-EXACT, TERM, STEM, SAYS = 1, 2, 3, 4
+#: What a word is: a term, a misspelled term, a misspelled stem, a verb of saying, a word with a stem.
+EXACT, TERM, STEM, SAYS, ROOT = 1, 2, 3, 4, 5
+#: Different words of one text that must share a stem when stems are learned.
+TOGETHER = 2
+#: Words of a text over which words that only have a stem begin to count less.
+SPREAD = 500
 
 
 class Trie:
@@ -104,23 +109,23 @@ class Trie:
             return EXACT
         for k in self.stem_sizes:
             if w[:k] in self.stems:
-                return EXACT
+                return ROOT
         if len(w) >= FUZZY_TERM - 1 and self.possible(w):
             return self.walk(w)
         return SAYS if w in SAYING else 0
 
 
-def learn(sample: list[tuple[str, int]], ratio: float = 30.0, level: float = 0.01) -> Trie:
-    """Terms and stems with at least ``ratio`` times the document frequency in toxic texts, and not by chance.
+def learn(sample: list[tuple[str, int]], ratio: float = 30.0, stem_ratio: float = 10.0, level: float = 0.01) -> Trie:
+    """Terms with at least ``ratio`` times the document frequency in toxic texts, and stems with ``stem_ratio``, and not by chance.
 
     Not by chance: the Chernoff bound of the chance that so many of the texts with the candidate are toxic, times
-    the number of candidates, is at most ``level``. Texts that repeat count once. A stem is the longest prefix that
-    keeps (nearly) all toxic texts of a shorter significant one; it must have five forms at least, none of them in half of those texts.
+    the number of candidates seen often enough, is at most ``level``. Texts that repeat count once. A text counts for a stem if ``TOGETHER``
+    different words of it begin with it, as single such words occur anywhere. Of stems that begin with each other the longest that
+    keeps (nearly) all toxic texts of the shorter is taken.
     """
     df: tuple[Counter, Counter] = (Counter(), Counter())
     prefixes: tuple[Counter, Counter] = (Counter(), Counter())
-    forms: Counter = Counter()
-    n, seen, known, toxic = [0, 0], set(), set(), []
+    n, seen, toxic = [0, 0], set(), []
     for text, y in sample:
         if text in seen:
             continue
@@ -131,42 +136,35 @@ def learn(sample: list[tuple[str, int]], ratio: float = 30.0, level: float = 0.0
         raw = w.data.tobytes()
         words = {raw[s:e].decode("utf-8", "replace").lower() for s, e in zip(w.starts.tolist(), w.ends.tolist())}
         df[y].update(words)
-        prefixes[y].update({w[:k] for w in words for k in range(4, min(8, len(w)))})
+        forms = Counter(w[:k] for w in words for k in range(3, min(9, len(w))))
+        prefixes[y].update(t for t, c in forms.items() if c >= TOGETHER)
         if y:
             toxic.append(words)
-            new = words - known
-            known |= new
-            forms.update(w[:k] for w in new for k in range(4, min(8, len(w))))
     if not n[0] or not n[1]:
         return Trie([], [])
     share = n[1] / (n[0] + n[1])
 
-    def strong(p: int, q: int, candidates: int, level: float = level) -> bool:
-        m = p + q
-        a = p / m
+    def strong(p: int, q: int, candidates: int, ratio: float = ratio, level: float = level) -> bool:
+        a = p / (p + q)
         if p < 3 or p / n[1] < ratio * (q + 0.5) / n[0] or a <= share:
             return False
         kl = a * np.log(a / share) + ((1 - a) * np.log((1 - a) / (1 - share)) if a < 1 else 0)
-        return np.log(candidates) - m * kl <= np.log(level)
-
+        return np.log(candidates) - (p + q) * kl <= np.log(level)
+
+    often = sum(p >= 3 for p in prefixes[1].values())
+    able = {t for t, p in prefixes[1].items() if strong(p, prefixes[0][t], often, stem_ratio)}
+    longer: dict[str, str] = {}  # prefix -> the one longer by a letter that keeps nearly all its toxic texts
+    for t in sorted(able):
+        if prefixes[1][t] >= 0.95 * prefixes[1][t[:-1]]:
+            longer[t[:-1]] = t
     stems: list[str] = []
-    found = sorted((s for s, p in prefixes[1].items() if forms[s] >= 5 and strong(p, prefixes[0][s], len(prefixes[1]))), key=lambda s: (len(s), s))
-    heavy: dict[str, str] = {}  # prefix -> the one longer by a letter that keeps nearly all its toxic texts
-    for t, p in prefixes[1].items():
-        if len(t) > 4 and p >= 0.95 * prefixes[1][t[:-1]]:
-            heavy[t[:-1]] = t
-    single: dict[str, int] = {}  # prefix -> toxic texts with its commonest form
-    for w, p in df[1].items():
-        for k in range(4, min(8, len(w) + 1)):
-            single[w[:k]] = max(p, single.get(w[:k], 0))
-    able = set(found)
-    for s in found:
-        while s in heavy:
-            s = heavy[s]
-        if s in able and single[s] < 0.5 * prefixes[1][s] and not any(s.startswith(t) for t in stems):
-            stems.append(s)
+    for t in sorted(able, key=lambda t: (len(t), t)):
+        while t in longer:
+            t = longer[t]
+        if not any(t.startswith(known) for known in stems):
+            stems.append(t)
     terms = sorted((w for w, p in df[1].items() if len(w) >= 3 and strong(p, df[0][w], len(df[1]))), key=lambda w: (-df[1][w], w))
-    sure = {w for w in terms if strong(df[1][w], df[0][w], len(df[1]), level**20)}
+    sure = {w for w in terms if strong(df[1][w], df[0][w], len(df[1]), level=level**20)}
     terms = own_weight(terms, stems, toxic, sure)
     return Trie(terms, stems)
 
@@ -198,7 +196,7 @@ def own_weight(terms: list[str], stems: list[str], toxic: list[set[str]], sure:
 class Model:
     def __init__(self, sample: list[tuple[str, int]]):
         self.trie = learn(sample)
-        self.w = np.array([-6.0, 0, 0, 0])
+        self.w = np.array([-6.0, 0, 0, 0, 0])
         y = np.array([l for _, l in sample], float)
         if len(y) and y.min() < y.max():
             x = self.features(pa.array([t for t, _ in sample], pa.string()), K.Memo(self.kinds))
@@ -209,7 +207,7 @@ class Model:
         return np.fromiter((kind(s.decode("utf-8", "replace").lower()) for s in strings), np.int8, len(strings))
 
     def features(self, col: pa.Array, memo: K.Memo) -> np.ndarray:
-        x = np.zeros((len(col), 4))
+        x = np.zeros((len(col), 5))
         x[:, 0] = 1
         for a, _, data, off in K.slices(col):
             w = K.Tokens(data, off)
@@ -223,12 +221,12 @@ class Model:
             for d in np.unique(doc[~says]).tolist():
                 mine = doc == d
                 hits, said = marked[mine & ~says], marked[mine & says]
-                x[a + d, 1:] = self.evidence(data, w, d, hits, kinds[hits], said)
+                x[a + d, 1:] = self.evidence(data, w, d, hits, kinds[hits], said, at[hits])
         x[:, 1:] = np.log1p(x[:, 1:])
         return x
 
     @staticmethod
-    def evidence(data: np.ndarray, w: K.Tokens, d: int, hits: np.ndarray, kinds: np.ndarray, said: np.ndarray) -> np.ndarray:
+    def evidence(data: np.ndarray, w: K.Tokens, d: int, hits: np.ndarray, kinds: np.ndarray, said: np.ndarray, words: np.ndarray) -> np.ndarray:
         lo, hi = w.bounds[d], w.bounds[d + 1] - 1
         left, right = np.maximum(lo, hits - WINDOW), np.minimum(hi, hits + WINDOW)
         beside = np.searchsorted(hits, right, "right") - np.searchsorted(hits, left) - 1
@@ -242,7 +240,12 @@ class Model:
                 after = data[w.ends[h] : w.ends[right[i]] if right[i] < hi else end].tobytes().decode("utf-8", "replace")
                 quoted[i] = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
         weight = np.where(quoted, np.where(saying, 0.05, 0.25), np.where(saying, 0.7, 1.0)) * (1 + 0.25 * np.minimum(beside, 4) * ~quoted)
-        return np.array([weight[kinds == k].sum() for k in (EXACT, TERM, STEM)])
+        # a word that only has a stem counts once a text, however often it is repeated
+        root = np.flatnonzero(kinds == ROOT)
+        once = root[np.unique(words[root], return_index=True)[1]]
+        # and in a long text some such words occur anyway
+        spread = np.sqrt(1 + (hi + 1 - lo) / SPREAD)
+        return np.array([*(weight[kinds == k].sum() for k in (EXACT, TERM, STEM)), weight[once].sum() / spread])
 
     def scores(self, col: pa.Array, memo: K.Memo) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(col, memo) @ self.w, -30, 30)))
