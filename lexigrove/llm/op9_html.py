@@ -54,6 +54,8 @@ LABELLED = [
     ((7, 0.00, 12, 0.00, 60, 0.00, 1, 0, 1), 1), ((3, 0.00, 6, 1.00, 20, 0.00, 1, 0, 1), 1), ((300, 0.01, 2, 0.00, 4, 0.00, 1, 0, 0), 1),
     ((12, 0.33, 50, 0.00, 45, 0.00, 1, 0, 0), 1), ((9, 0.90, 40, 0.00, 35, 0.00, 1, 0, 0), 1), ((4, 1.00, 3, 1.00, 5, 1.00, 1, 0, 0), 1),
     ((5, 0.00, 4, 1.00, 2, 1.00, 1, 0, 0), 1), ((11, 0.00, 1, 1.00, 0, 0.00, 1, 0, 0), 1), ((30, 0.80, 5, 1.00, 8, 0.90, 1, 0, 0), 1),
+    ((2, 1.00, 2, 1.00, 1, 0.00, 1, 0, 0), 1), ((3, 1.00, 2, 1.00, 60, 0.00, 1, 0, 0), 1), ((2, 1.00, 40, 0.00, 0, 0.00, 1, 0, 0), 1),
+    ((5, 1.00, 3, 1.00, 0, 0.00, 1, 0, 0), 1), ((1, 1.00, 2, 1.00, 9, 0.00, 1, 0, 0), 1),
     ((10, 0.00, 40, 0.00, 20, 0.00, 1, 1, 0), 0), ((45, 0.00, 60, 0.00, 30, 0.00, 1, 1, 0), 0), ((3, 0.00, 30, 0.00, 25, 0.00, 1, 1, 1), 0),
     ((20, 0.10, 15, 0.00, 70, 0.00, 1, 1, 0), 0), ((2, 1.00, 45, 0.00, 2, 1.00, 1, 1, 0), 0), ((1, 0.00, 60, 0.00, 40, 0.00, 1, 1, 0), 0),
     # outside it, on a page that has one
@@ -69,6 +71,8 @@ LABELLED = [
     ((4, 0.00, 30, 0.00, 3, 1.00, .5, 0, 0), 1), ((2, 0.00, 5, 0.00, 40, 0.00, .5, 0, 0), 1), ((1, 0.00, 4, 0.00, 3, 0.00, .5, 0, 0), 1),
     ((7, 0.00, 0, 0.00, 60, 0.00, .5, 0, 0), 1), ((3, 0.00, 0, 0.00, 0, 0.00, .5, 0, 0), 1), ((6, 0.00, 6, 0.00, 5, 0.00, .5, 0, 0), 1),
     ((16, 0.60, 60, 0.00, 50, 0.00, .5, 0, 0), 1), ((8, 0.90, 45, 0.00, 40, 0.00, .5, 0, 0), 1), ((25, 0.70, 30, 0.00, 35, 0.00, .5, 0, 0), 1),
+    ((45, 0.00, 3, 1.00, 60, 0.00, .5, 0, 0), 1), ((30, 0.00, 2, 1.00, 0, 0.00, .5, 0, 0), 1), ((20, 0.05, 1, 1.00, 40, 0.00, .5, 0, 0), 1),
+    ((60, 0.00, 5, 0.90, 3, 0.00, .5, 0, 0), 1), ((24, 0.10, 4, 1.00, 30, 0.00, .5, 0, 0), 1),
     # the same lines among links
     ((4, 0.00, 2, 1.00, 3, 1.00, .5, 0, 0), 0), ((2, 0.00, 3, 1.00, 2, 1.00, .5, 0, 0), 0), ((5, 0.00, 2, 0.90, 4, 1.00, .5, 0, 1), 0),
     ((7, 0.00, 4, 1.00, 2, 0.90, .5, 0, 0), 0), ((6, 0.00, 8, 0.80, 0, 0.00, .5, 0, 0), 0), ((3, 0.00, 1, 1.00, 2, 1.00, .5, 0, 1), 0),
