@@ -311,7 +311,7 @@ def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Memo(K.Pool):
     """Best ids of each chunk; rows are (offset, length, row in ``best`` and ``loss``)."""
 
-    def __init__(self, codec: Codec, budget: int = 160 << 20):
+    def __init__(self, codec: Codec, budget: int = 96 << 20):
         self.codec = codec
         super().__init__(None, budget)
 
