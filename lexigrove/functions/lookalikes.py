@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,7 +191,6 @@ def normalize_ocr(text: str | None, recover_greek: bool = False) -> str | None:
 def _column(f, kind: str = "string"):
     def apply(c: Column) -> Column:
         """As an Arrow UDF: whole batches cross to Python, null in, null out."""
-        import pandas as pd
 
         @F.pandas_udf(kind)
         def run(s: pd.Series) -> pd.Series:
