@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrove.sources.tables import shared_folder as shared_dir
+
 #: Where the public vocabulary files are; the driver reads them and ships their bytes to the executors.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -60,21 +60,6 @@ def keep(docs: DataFrame, make: Callable[[], Callable[[pa.Array], "pa.Array"]],
     return rows(docs, run, docs.schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir or the context's checkpoint folder.
-
-    Without either, a folder of this machine serves only where driver and executors are one process; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def saved(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends there and survives lost executors."""
     spark = df.sparkSession

@@ -7,7 +7,8 @@ layer to one probability. The smallest value tells what a whole chunk lacks, suc
 
 Null texts count as empty, and an empty text has one window of padding, so every text has a score. Whole texts are
 read whatever their length; repeated rows get equal scores. Fitting uses ``SAMPLE`` texts of each class at most;
-without both classes every score is the share of the class there is (0.5 without labels).
+without both classes every score is the share of the class there is (0.5 without labels). Extra columns are
+ignored by ``quality_scores`` and kept by ``good``; no rows give no rows; of equal pooled values the first window's filter learns.
 """
 
 from __future__ import annotations

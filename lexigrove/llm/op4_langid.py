@@ -5,7 +5,9 @@ the languages of that family. Features are hashed byte 1-, 2- and 3-grams inside
 as shares of the text, so every model is a sum over words and each distinct word is scored once.
 
 Null texts and texts without a letter get ``und`` and score 0. Whole texts of any length count; repeated rows get
-equal results. Fitting uses a bounded sample (``SAMPLE`` documents a language).
+equal results. Fitting uses a bounded sample (``SAMPLE`` documents a language, and see ``sampled_texts``).
+Of equal votes the language later in the alphabet wins; extra columns are ignored (``known_language`` keeps them); no rows give no rows, and
+without rows to learn from every text is ``und``.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@
    round written to the shared folder.
 
 Null or empty texts have fingerprint zero and link like any other. Null ids stay in the result and never become a
-component's id unless the component has no other.
+component's id unless the component has no other. Repeated rows stay (``one_of_each`` keeps one of rows that repeat wholly); extra columns
+of any name are ignored (or kept as they are); no rows give no rows.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ rows turns the sums of exact terms, misspelled terms, misspelled stems and diffe
 
 Null and empty texts have no hits and get the model's base score. Whole texts count, whatever their length; repeated
 rows get equal scores. At most ``SAMPLE`` labelled texts of each class are used; without both classes nothing is toxic.
+Terms of equal frequency are taken in alphabetical order; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations

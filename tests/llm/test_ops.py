@@ -463,6 +463,52 @@ def test_op8_held_out_recall(spark):
     assert hits >= 0.9 * toxic and sum(r.predicted and not r.toxic for r in got) <= 2
 
 
+def plain_quality(net, text):
+    """The network's score by loops over windows, chunks and filters."""
+    q = op2_quality
+    raw = (text or "").encode()
+    n = max(1, -(-(len(raw) + q.WIDTH - q.STRIDE) // q.STRIDE))
+    stream = np.full(n * q.STRIDE + q.WIDTH, q.PAD, np.uint8)
+    stream[q.WIDTH - q.STRIDE : q.WIDTH - q.STRIDE + len(raw)] = np.frombuffer(raw, np.uint8)
+    act = [net.p["emb"][stream[i * q.STRIDE : i * q.STRIDE + q.WIDTH]].reshape(-1) @ net.p["conv"] + net.p["conv_b"] for i in range(n)]
+    halves = -(-n // q.HALF)
+    chunks = [np.max(act[i * q.HALF : (i + 2) * q.HALF], axis=0) for i in range(max(1, halves - 1))]
+    s = np.maximum(chunks, 0)
+    v = np.concatenate([s.max(0), s.min(0), s.mean(0), [np.log(n) / 4]])
+    z = np.tanh(v @ net.p["w1"] + net.p["b1"]) @ net.p["w2"] + net.p["b2"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_op2_forward_against_plain_loops():
+    net = op2_quality.Net()
+    texts = ["", None, "a", "é" * 40, "word " * 60, "some longer text, " * 200, "x" * 256, "x" * 257, "tail"]
+    assert np.allclose(net.scores(pa.array(texts)), [plain_quality(net, t) for t in texts], atol=1e-5)
+
+
+def test_op2_gradients_against_differences():
+    net, rng = op2_quality.Net(), np.random.default_rng(0)
+    fine = op2_quality.Net()
+    fine.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts, y, w = pa.array(["good text, short", "bad!! " * 70, ""]), np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.2])
+    g = net.step(texts, y, w)
+
+    def loss():
+        p = np.array([plain_quality(fine, t) for t in texts.to_pylist()])
+        return float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+
+    for name in net.p:
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in net.p[name].shape)
+            if name == "emb":
+                at = (int(rng.choice([ord("o"), ord("!"), op2_quality.PAD])), at[1])
+            both = []
+            for step in (1e-5, -1e-5):
+                fine.p[name][at] += step
+                both.append(loss())
+                fine.p[name][at] -= step
+            assert g[name][at] == pytest.approx((both[0] - both[1]) / 2e-5, abs=2e-4), (name, at)
+
+
 def test_op2_and_op4_held_out(spark):
     """AUC of quality and accuracy of languages on rows that were not learned from; the network's gradients against differences."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
