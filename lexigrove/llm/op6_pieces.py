@@ -11,6 +11,7 @@ chunks there: N-best lists of distinct chunks are computed once, and the lists o
 As the model prescribes: one blank is put before a text and taken away when decoding; nothing else is normalised, so
 decoding gives back the text exactly (U+2581 in a text is spelled in bytes). Null and empty texts have no pieces.
 Texts of any length are encoded whole; repeated rows get equal results. Equal scores: the longer last piece first.
+Extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -89,11 +90,12 @@ class Codec:
                 top = max(top, best[j - 1])
             edges.append(here)
             best.append(top)
-        # A*: what is pushed has the exact score of one segmentation, so nothing below the n best known is pushed
-        out, agenda, tie = [], [(-best[size], 0, size, 0.0, None)], 0
+        # A*: what is pushed has the exact score of one segmentation, so nothing below the n best known is pushed; of equal
+        # scores the one nearest to the start goes on first, so that ties don't fan out
+        out, agenda, tie = [], [(-best[size], size, 0, 0.0, None)], 0
         known = [best[size]] + [-INF] * (n - 1)
         while agenda and len(out) < n:
-            f, _, at, tail, path = heappop(agenda)
+            f, at, _, tail, path = heappop(agenda)
             if not at:
                 ids: list[int] = []
                 while path:
@@ -114,7 +116,7 @@ class Codec:
                 elif v < known[-1]:
                     continue
                 tie += 1
-                heappush(agenda, (-v, tie, i, tail + sc, (e, path)))
+                heappush(agenda, (-v, i, tie, tail + sc, (e, path)))
         return out
 
     def tables(self) -> None:

@@ -366,6 +366,16 @@ def test_op6_ids_of_every_segmentation(spark):
             assert c.decode(np.array(ids, np.int32)) == t and sum(value.get(i, 0) for i in ids) == pytest.approx(score)
 
 
+def test_op6_long_runs_take_linear_time():
+    import time
+
+    c, began = op6_pieces.Codec(op6_pieces.read()), time.time()
+    for t in ("x" * 100_000, "=-" * 50_000, "aaab" * 25_000, "é" * 50_000, "字" * 50_000):
+        for _, _, ids, _, scores, *_ in c.encode(pa.array([t])):
+            assert c.decode(ids) == t and scores[0][0] >= scores[0][1]
+    assert time.time() - began < 60
+
+
 def fingerprint(text):
     ws = WORD.findall((text or "").translate(UPPER))
     g = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [" ".join(ws)] if ws else []

@@ -72,3 +72,30 @@ def test_run_and_every_stage_against_brute_force(spark):
     for r in out:
         assert r.round_trip and c.decode(np.array(r.ids, np.int32)) == (texts[r.doc_id] or "")
         assert r.scores[0] == pytest.approx(sum(value.get(i, 0) for i in r.ids))
+
+
+def folder(spark, tmp_path, rows):
+    """A small collection: the given documents, and labels and passages of the smallest tables."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, count long, h string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    texts = [None, "", " \n", "a", "x" * 20_000, "The cat sat on the mat and the dog ran over the hill to the river. " * 9, "12 34 !!"]
+    rows = [(i, t, "en" if i % 2 else None, None, None, i, "h") for i, t in enumerate(texts * 2)] + [(5, texts[5], "en", "s", 1, 5, "h"), (None, texts[5], "en", "s", 1, 5, None)]
+    at = folder(spark, tmp_path, rows)
+    docs = table(spark, at, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, at)
+        assert kept.columns == docs.columns and kept.count() <= docs.count(), name
+        docs = kept
+    out = corpus_pipeline.run(spark, at).collect()
+    assert all(r.round_trip for r in out) and Counter(r.doc_id for r in out) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_no_documents_give_no_rows(spark, tmp_path):
+    at = folder(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, at).collect() == []
