@@ -117,3 +117,12 @@ def load(spark: SparkSession, path: str) -> Index:
         if not chunks.join(known, "sha256", "left_anti").limit(1).count():
             vectors, model = chunks.join(known, "sha256").select("chunk_ord", "vector"), (read_meta(spark, path) or {}).get("model")
     return Index(found, vectors, model)
+
+
+def records(chunks: DataFrame) -> DataFrame:
+    """Stored chunk records with their defaults: source file the document, class and text empty, part and parts one."""
+    have = set(chunks.columns)
+    pick = lambda c, default: F.coalesce(F.col(c), default) if c in have else default
+    defaults = {"source_file": F.col("doc_id").cast("string"), "page_class": F.lit(""), "part": F.lit(1), "parts": F.lit(1), "text": F.lit("")}
+    clause = F.col("clause_id") if "clause_id" in have else F.lit(None).cast("string")
+    return chunks.select("chunk_id", "doc_id", *(pick(k, v).alias(k) for k, v in defaults.items()), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), clause.alias("clause_id"))

@@ -265,3 +265,72 @@ def figure_captions(figures: DataFrame, spans: DataFrame) -> DataFrame:
     first = near.groupBy("doc_id", "page", "region_id").agg(F.min_by(F.substring(F.trim("text"), 1, 120), "span_ord").alias("caption"))
     out = figures.select("doc_id", "page", "region_id").join(first, ["doc_id", "page", "region_id"], "left")
     return out.withColumn("number", F.nullif(F.regexp_extract("caption", CAPTION, 0), F.lit("")))
+
+
+# -- recognised formulas, figures and detections of ports ---------------------------------------------------------------
+
+# Order of the attempts to read a formula; reasons that make it a caption or a header.
+FORMULA_ORDER = ("unimernet", "vlm", "vlm_recovery", "unimernet_wider", "unimernet_retry")
+TEXT_REASONS = ("caption_or_header", "figure_caption")
+
+
+def accepted_formula(attempts: DataFrame) -> DataFrame:
+    """Per region of ``attempts`` (region_id, method, confidence, latex_fixed, valid, reason; see ``latex.verdicts``): the reading that counts.
+
+    A later attempt replaces an earlier one if it is valid and the earlier is not, or if the earlier ends at a relation. Status: ok;
+    caption_or_header and suspicious_semantic for valid LaTeX that is no formula; suspicious for what is not valid.
+    """
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in enumerate(FORMULA_ORDER) for x in reversed(kv)]), F.col("method"))
+    cut = F.regexp_replace(F.coalesce("latex_fixed", F.lit("")), r"[\s$]+$", "").rlike(r".[-=/]$")
+    rank = F.when(~F.col("valid"), 2).when(cut, 1).otherwise(0)
+    best = attempts.groupBy("region_id").agg(F.min(F.struct(rank.alias("fault"), order.alias("at"), "method", "confidence", "latex_fixed", "valid", "reason")).alias("b"))
+    b = F.col("b")
+    status = F.when(~b["valid"], "suspicious").when(b["reason"].isin(*TEXT_REASONS), "caption_or_header").when(b["reason"] != "", "suspicious_semantic").otherwise("ok")
+    doubt = F.when(~b["valid"], 0.7).when(b["reason"] != "", 0.6).otherwise(0.0)
+    return best.select("region_id", b["method"].alias("method"), b["confidence"].alias("confidence"), b["latex_fixed"].alias("latex"), status.alias("status"), doubt.alias("suspicion"))
+
+
+def block_quality(status, confidence, gate: float = 0.45):
+    """(structural_ok, suspicion) of a table block."""
+    return F.struct(((status == "ok") & (confidence >= gate)).alias("structural_ok"), F.when(status == "failed", 1.0).when(status == "suspicious", 0.6).otherwise(0.0).alias("suspicion"))
+
+
+def figure_text(vision, recognised, nearby, limit: int = 300):
+    """The caption of a figure: what a vision model says, else what is recognised in the crop, else the span beside it."""
+    tidy = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
+    return F.substring(F.coalesce(tidy(vision), tidy(recognised), tidy(nearby), F.lit("")), 1, limit)
+
+
+def label_name(label):
+    """A layout model's label: picture, caption, or the label in small letters."""
+    name = F.lower(label)
+    return F.when(name.contains("picture") | name.endswith("figure"), "picture").when(name.contains("caption"), "caption").otherwise(name)
+
+
+def cluster_text(cells, limit: int = 200):
+    """Texts of a cluster's cells in a row."""
+    return F.substring(F.array_join(F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: c != ""), " "), 1, limit)
+
+
+def band_spans(lines, offset):
+    """Spans from lines recognised in one band of a page (boxes in points), moved down by the band's offset."""
+    return F.transform(lines, lambda s: F.struct(s["text"].alias("text"), s["x1"].alias("x1"), (s["y1"] + offset).alias("y1"), s["x2"].alias("x2"), (s["y2"] + offset).alias("y2")))
+
+
+def with_detections(pages: DataFrame, *more: str) -> DataFrame:
+    """``pages`` with the arrays of other detectors (columns of REGION arrays, null for none) put to ``regions``, then settled."""
+    none = F.array().cast(pages.schema["regions"].dataType)
+    joined = F.concat(*(F.coalesce(c, none) for c in ("regions", *more)))
+    return settle(pages.withColumn("regions", joined).drop(*more))
+
+
+def longest_run(dense: list[bool], gap: int = 0) -> tuple[int, int] | None:
+    """(start, end) of the longest stretch of trues, holes of up to ``gap`` steps between two of them bridged; the first of equal ones."""
+    at = [i for i, x in enumerate(dense) if x]
+    runs: list[list[int]] = []
+    for i in at:
+        if runs and i - runs[-1][1] <= max(1, gap):
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return max(((a, b + 1) for a, b in runs), key=lambda r: (r[1] - r[0], -r[0]), default=None)

@@ -147,3 +147,47 @@ def test_box_columns(spark):
         B.caption_near(B.box(10.0, 65.0, 90.0, 75.0), b).alias("near"), B.near_figure(B.box(10.0, 70.0, 50.0, 80.0), b).alias("below"), B.crop_ok(b, F.lit("span_fragment_merge"), F.lit(120), F.lit(100)).alias("crop"), B.from_polygon(F.array(F.lit(3.0), F.lit(1.0)), F.array(F.lit(4.0), F.lit(9.0))).x1.alias("poly"),
     ).first()
     assert (one.px, one.flip, one.fault, one.logo, one.near, one.below, one.crop, one.poly) == (220, 40.0, "too_small", True, True, True, False, 1.0)
+
+
+def test_attempts_to_read_formulas(spark):
+    rows = [
+        ("a", "unimernet", 0.9, "x =", True, "truncated"), ("a", "unimernet_wider", 0.8, "x = y", True, ""), ("b", "unimernet", 0.2, "{", False, "x"), ("b", "vlm_recovery", 0.5, "title", True, "caption_or_header"),
+        ("c", "unimernet", 0.9, "12", True, "pure_numbers"), ("d", "unimernet", 0.9, "{x", False, ""), ("e", "unimernet", 0.9, "a = b", True, ""), ("e", "unimernet_retry", 0.9, "a = c", True, ""),
+    ]
+    df = spark.createDataFrame(rows, "region_id string, method string, confidence double, latex_fixed string, valid boolean, reason string")
+    got = {r.region_id: (r.method, r.status) for r in regions.accepted_formula(df).collect()}
+    assert got == {"a": ("unimernet_wider", "ok"), "b": ("vlm_recovery", "caption_or_header"), "c": ("unimernet", "suspicious_semantic"), "d": ("unimernet", "suspicious"), "e": ("unimernet", "ok")}
+
+
+def test_attempts_to_read_tables(spark):
+    rows = [("a", "span_cells", "| x |", 0.3), ("a", "docling", "| y |", 0.6), ("b", "docling", "| x |", 0.3), ("b", "vlm", "", 0.9), ("c", "vlm", " ", 0.1)]
+    df = spark.createDataFrame(rows, "region_id string, method string, markdown string, confidence double")
+    got = regions.accepted_attempt(df, ["span_cells", "cell_ocr", "docling", "ppstructure", "img2table", "vlm"])
+    assert {r.region_id: (r.method, r.status) for r in got.collect()} == {"a": ("docling", "ok"), "b": ("docling", "suspicious"), "c": (None, "failed")}
+    q = {r.region_id: tuple(r.q) for r in got.select("region_id", regions.block_quality(F.col("status"), F.col("confidence")).alias("q")).collect()}
+    assert q["a"] == (True, 0.0) and q["b"] == (False, 0.6) and q["c"][1] == 1.0
+
+
+def test_detections_of_ports(spark):
+    from lexigrove.operators.layout import REGION
+
+    def row(*r):
+        return [tuple(x.values()) for x in r]
+
+    df = spark.createDataFrame([("d", 1, W, H, row(region("formula", (10.0, 10.0, 60.0, 40.0), 0.9)), row(region("table", (0.0, 0.0, 300.0, 300.0))), None)], f"doc_id string, page long, page_w double, page_h double, regions array<{REGION}>, ruled array<{REGION}>, figures array<{REGION}>")
+    assert [r.type for r in regions.with_detections(df, "ruled", "figures").first().regions] == ["table"]
+    c = spark.createDataFrame([("PictureItem", [" a", "", "b"]), ("CAPTION", None), ("sub_figure", []), ("Table", ["x"])], "label string, cells array<string>")
+    assert [(r[0], r[1]) for r in c.select(regions.label_name(F.col("label")), regions.cluster_text(F.col("cells"))).collect()] == [("picture", "a b"), ("caption", None), ("picture", ""), ("table", "x")]
+    t = spark.createDataFrame([(None, " Fig.  1 ", "x"), ("", None, None)], "v string, o string, n string").select(regions.figure_text(F.col("v"), F.col("o"), F.col("n"))).collect()
+    assert [r[0] for r in t] == ["Fig. 1", ""]
+    b = spark.range(1).select(regions.band_spans(F.array(F.struct(F.lit("t").alias("text"), *(F.lit(v).alias(k) for k, v in (("x1", 0.0), ("y1", 1.0), ("x2", 2.0), ("y2", 3.0))))), F.lit(100.0))).first()[0]
+    assert b[0].y1 == 101.0 and b[0].y2 == 103.0
+    assert regions.longest_run([True, False, True, True], 0) == (2, 4) and regions.longest_run([True, False, True, False, False, True], 2) == (0, 3) and regions.longest_run([False]) is None
+
+
+def test_figure_captions_of_a_frame(spark):
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    figures = spark.createDataFrame([("d", 1, "figure_00", (100.0, 100.0, 300.0, 300.0)), ("d", 1, "figure_01", (100.0, 600.0, 300.0, 700.0))], f"doc_id string, page long, region_id string, box {box}")
+    spans = spark.createDataFrame([("d", 1, 0, "see Fig. 9", (100.0, 310.0, 200.0, 320.0)), ("d", 1, 1, "Fig. 1.2 Corona", (100.0, 310.0, 200.0, 320.0)), ("d", 1, 2, "Fig. 3", (100.0, 320.0, 200.0, 330.0))], f"doc_id string, page long, span_ord int, text string, box {box}")
+    got = {r.region_id: (r.caption, r.number) for r in regions.figure_captions(figures, spans).collect()}
+    assert got == {"figure_00": ("Fig. 1.2 Corona", "Fig. 1.2"), "figure_01": (None, None)}
