@@ -20,6 +20,7 @@ FURNITURE = r"^(?:[0-9]{1,4}|страница[ \t]+[0-9]+[ \t]+из[ \t]+[0-9]+|
 CYRILLIC_WORD = r"[А-Яа-яЁё]{5,}"
 
 
+# Thresholds of admission, contents pages, chunks, ranking, gates and fusion.
 @dataclass(frozen=True)
 class Settings:
     min_chars: int = 40
