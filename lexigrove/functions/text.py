@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from lexigrove.config import CLAUSE, CYRILLIC_WORD, FURNITURE, LEADER, STOP_WORDS, TOKEN, URL, XML_NAME, XML_TAG, Settings
 
 S = Settings()
-_EDGE = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+_BLANKS = " \t\n\r\f\x0b"
 #: Where a text breaks into lines.
 BREAK = "\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def lines(c: Column) -> Column:
@@ -34,11 +34,17 @@ def join_hyphens(c: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """Lower case, ё as е, white space to one blank. Texts with Greek letters go through lookalike repair before."""
-    return strip(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[ \t\n\r\f\x0B]+", " "))
+    # a single blank stays as it is, so only other white space is replaced
+    return F.btrim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[ \t\n\r\f\x0B]{2,}|[\t\n\r\f\x0B]", " "), F.lit(" "))
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(STOP_WORDS))
+    return folded_tokens(folded(c))
+
+
+def folded_tokens(c: Column) -> Column:
+    """Tokens of a text that is folded already."""
+    return F.filter(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(STOP_WORDS))
 
 
 def clause_ids(c: Column) -> Column:

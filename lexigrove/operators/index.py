@@ -50,10 +50,9 @@ class Index:
 
 def prepared(chunks: DataFrame) -> DataFrame:
     clause = F.col("clause_id") if "clause_id" in chunks.columns else F.lit(None).cast("string")
-    folded = T.folded(F.col("text"))
-    return chunks.select("chunk_ord", clause.alias("clause_id"), T.is_mush(F.col("text")).alias("mush"), T.tokens(F.col("text")).alias("terms"), folded.alias("folded")).select(
-        "chunk_ord", "clause_id", F.coalesce("mush", F.lit(False)).alias("mush"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("dl"), F.length("folded").alias("size"), "terms", "folded"
-    )
+    one = chunks.select("chunk_ord", clause.alias("clause_id"), T.is_mush(F.col("text")).alias("mush"), T.folded(F.col("text")).alias("folded"))
+    two = one.select("chunk_ord", "clause_id", "mush", "folded", T.folded_tokens(F.col("folded")).alias("terms"))
+    return two.select("chunk_ord", "clause_id", F.coalesce("mush", F.lit(False)).alias("mush"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("dl"), F.length("folded").alias("size"), "terms", "folded")
 
 
 def build(chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> Index:
