@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,7 +39,21 @@ def rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     conf = df.sparkSession.conf
     if in_bytes(conf.get(_BATCH_KEY)) > BATCH:
         conf.set(_BATCH_KEY, f"{BATCH}b")
-    return df.mapInArrow(make, schema)
+
+    def run(batches):
+        yield from make(batches)
+        released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    """Gives memory that a task no longer uses back to the system, as its Python worker lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def in_bytes(size: str) -> int:

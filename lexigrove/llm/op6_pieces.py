@@ -363,7 +363,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def codec(model: bytes) -> Codec:
-    """One codec a Python worker, with the chunks it has met."""
+    """One codec a Python worker; each task has a memo of its own."""
     key = hash(model)
     if key not in _codecs:
         _codecs[key] = Codec(model)
@@ -396,6 +396,7 @@ def encode(docs: DataFrame, path: str = TOKENIZERS) -> DataFrame:
                 inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ways)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ways]), pa.int32()))
                 outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]), pa.int32()), inner)
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * NBEST), flat), pa.array(same), outer], names=["doc_id", "ids", "scores", "round_trip", "others"])
+        c.memo.fresh()  # the worker lives on
 
     return rows(docs.select("doc_id", "text"), run, SCHEMA)
 
