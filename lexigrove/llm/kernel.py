@@ -208,7 +208,7 @@ class Memo:
     #: What a string takes in a dict beside its own bytes.
     ENTRY = 150
 
-    def __init__(self, make, budget: int = 64 << 20):
+    def __init__(self, make, budget: int = 32 << 20):
         self.make, self.budget = make, budget
         self.fresh()
 
