@@ -7,12 +7,14 @@ a public byte-level BPE (with a blank before it). The model gives each word a pr
 
 *The first factor is causal self-attention.* A word comes in as the sum of the embeddings of its subword ids and of its
 class; two heads with learned distances attend over the words before, and a softmax over ``CLASSES`` classes follows.
-All its parameters are trained by Adam on windows of training documents. Scoring cuts the words of a text into blocks of
+All its parameters are trained by Adam: the driver begins with a sample of windows, then every task goes on with all
+windows of its training texts and the parameters of the tasks are averaged (``whole``). Scoring cuts the words of a text into blocks of
 ``BLOCK``; the window of a block also holds the ``BEFORE`` words in front of it, so windows overlap and each word (and
 the end) is scored once, with masked attention over a batch of windows.
 
-*The second factor* does not look at the context. The ``SINGLE`` commonest words are classes of their own. The other classes
-are topics, found by EM over the subword ids of windows; a word's topic is the likeliest for its ids. Within a topic a
+*The second factor* does not look at the context. The ``SINGLE`` commonest words (of all counts) are classes of their own. The
+other classes are topics, found by EM over the subword ids of windows: rounds on the sample, then one over all training texts
+(``topics``), whose expected counts alone are the topics used; a word's topic is the likeliest for its ids. Within a topic a
 word's share is its count in all training documents, discounted (Pitman-Yor), and what the discount sets free goes to
 the topic's spelling model: transitions between subword ids over all distinct training words. A spelling that is no word
 of the topic is no outcome, so the spelling model is divided by the mass of those that are, which is measured on ``DRAWN``
@@ -28,8 +30,13 @@ do not matter, extra columns are ignored, no rows give no rows. Without training
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +56,7 @@ HEADS, DIM, VALUE = 2, 8, 16
 QKV = HEADS * (2 * DIM + VALUE)
 BLOCK, BEFORE = 16, 8
 WINDOW = BLOCK + BEFORE
-#: Attention is trained on windows of ``SAMPLE`` training documents and one in ``EVERY``, one window of up to ``STRIDE`` each.
+#: Training begins with windows of ``SAMPLE`` training documents and one in ``EVERY``, one window of up to ``STRIDE`` each; all windows follow.
 SAMPLE, EVERY, STRIDE = 2400, 100, 8
 #: Stands before each word in a window's ids; a window with more ids than ``LONGEST`` is not trained on.
 MARK, LONGEST = 0xFFFF, 4096
@@ -65,8 +72,12 @@ class Spelling(K.Pool):
     """Subword ids of distinct words, each with a blank before it."""
 
     def __init__(self, vocabulary: bytes, budget: int = 32 << 20):
-        encode = bpe.encoding(vocabulary).encode_ordinary
-        super().__init__(lambda words: [encode(" " + w.decode("utf-8", "replace")) for w in words], budget)
+        def lists(words: list[bytes]) -> list[list[int]]:
+            ids, bounds = spelled(words, vocabulary)
+            ids, bounds = ids.tolist(), bounds.tolist()
+            return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+        super().__init__(lists, budget)
 
 
 def spelled(words: list[bytes], vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +172,20 @@ class Lexicon:
                 post /= post.sum(1, keepdims=True)
                 weight[:] = 1
 
+    def learned(self, single: list[tuple[int, ...]], ids: np.ndarray, n: np.ndarray) -> Lexicon:
+        """The lexicon with these commonest words and topics from ``n`` (id, topic): how often each of ``ids`` (sorted) is expected in each."""
+        out = copy(self)
+        single = [(bpe.END,)] + [t for t in single if len(t) <= 3][: SINGLE - 1]
+        key = np.array([sum((x + 1) << (17 * i) for i, x in enumerate(t)) for t in single], np.int64)
+        out.single_key, out.single_kind = np.sort(key), np.argsort(key).astype(np.int32)
+        out.row = np.full(SYMBOLS, len(ids), np.int32)
+        out.row[ids] = np.arange(len(ids), dtype=np.int32)
+        base = n.sum(1) + 1.0
+        n = n + 20 * (base / base.sum())[:, None]
+        out.theta = np.zeros((len(ids) + 1, TOPICS), np.float32)
+        out.theta[:-1] = np.log(n / n.sum(0))
+        return out
+
     def kinds(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Class of each spelled word; of likeliest topics the first."""
         if len(bounds) < 2:
@@ -330,6 +355,8 @@ class Attention:
         }
         i, j = np.arange(BLOCK)[:, None] + BEFORE, np.arange(WINDOW)[None]
         self.gap = np.where(j <= i, i - j, -1)
+        #: Goes on training after the sample, if set.
+        self.rest: Callable[[Attention], None] | None = None
 
     def inputs(self, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Queries, keys and values of words, one row each."""
@@ -376,68 +403,146 @@ class Attention:
             total += np.bincount(text[b], (part * (at.reshape(-1, BLOCK) < hi)).sum(1, dtype=np.float64), len(total))
         return total
 
-    def gradients(self, sample: Sample, kind: np.ndarray, words: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of a batch of windows (natural logarithm a token) and its gradients."""
-        p, n = self.p, len(words)
-        w = words[:, :-1]
+    def gradients(self, sample: Sample, kind: np.ndarray, words: np.ndarray, part: int = 128) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of a batch of windows (natural logarithm a token) and its gradients, ``part`` windows at a time."""
+        p, size = self.p, np.diff(sample.bounds)
         there = words[:, 1:] >= 0  # a text's start stands where the word before does not exist, but the word itself does
-        size = np.diff(sample.bounds)
-        used, inverse = np.unique(np.maximum(w, 0), return_inverse=True)
-        inverse = inverse.reshape(w.shape)
-        picked = np.repeat(sample.bounds[:-1][used] - np.concatenate([[0], np.cumsum(size[used])[:-1]]), size[used]) + np.arange(int(size[used].sum()))
-        row, bounds = self.row[sample.ids[picked]], np.concatenate([[0], np.cumsum(size[used])])
-        cls = np.where(w >= 0, kind[np.maximum(w, 0)], CLASSES)
-        x = K.sums(p["ids"][row], bounds).astype(np.float32)[inverse]
-        x[w < 0] = 0
-        x += p["classes"][cls]
+        # the words of the batch, -1 (a text's start) the first if it occurs
+        seen = np.zeros(len(size) + 1, bool)
+        seen[words[:, :-1] + 1] = True
+        used = np.flatnonzero(seen) - 1
+        place = (np.cumsum(seen) - 1).astype(np.uint16 if len(used) < 1 << 16 else np.int64)
+        real = int(len(used) > 0 and used[0] < 0)
+        long = size[used[real:]]
+        bounds = np.concatenate([[0], np.cumsum(long)])
+        row = self.row[sample.ids[np.repeat(sample.bounds[:-1][used[real:]] - bounds[:-1], long) + np.arange(bounds[-1])]]
+        cls = np.concatenate([np.full(real, CLASSES), kind[used[real:]]])
+        x = p["classes"][cls]
+        x[real:] += gathered(p["ids"], row, bounds)
+        many = max(1, int(there[:, BEFORE:].sum()))
+        by_word, loss = np.zeros_like(x), 0.0
+        g = {name: np.zeros_like(p[name]) for name in ("out", "bias", "near")}
+        for a in range(0, len(words), part):
+            w = place[words[a : a + part, :-1] + 1]
+            lost, dx = self.shift(x[w], there[a : a + part], kind[np.maximum(words[a : a + part, BEFORE + 1 :], 0)], many, g)
+            loss += lost
+            by_word += added(w.reshape(-1), dx.reshape(-1, QKV), len(x))
+        g["classes"] = added(cls, by_word, CLASSES + 1)
+        g["ids"] = added(row, np.repeat(by_word[real:], long, axis=0), len(p["ids"]))
+        return loss / many, g
+
+    def shift(self, x: np.ndarray, there: np.ndarray, goal: np.ndarray, many: int, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
+        """Sum of the losses of windows with the inputs ``x`` and its gradients by input; those of the other parameters are added to ``g``."""
+        p, n, at = self.p, len(x), HEADS * DIM
         q, k, v, s, o = self.attend(x, there)
-        goal = there[:, BEFORE:]
-        z = o.reshape(-1, HEADS * VALUE) @ p["out"] + p["bias"]
-        y = kind[np.maximum(words[:, BEFORE + 1 :], 0)].reshape(-1)
+        o = o.reshape(-1, HEADS * VALUE)
+        z = o @ p["out"]
+        z += p["bias"]
+        y, live = goal.reshape(-1), there[:, BEFORE:].reshape(-1)
+        line = np.arange(len(y))
         z -= z.max(1, keepdims=True)
-        lse = np.log(np.exp(z).sum(1))
-        line, live = np.arange(len(y)), goal.reshape(-1)
-        loss = float(((lse - z[line, y]) * live).sum() / max(1, live.sum()))
-        d = np.exp(z - lse[:, None])
-        d[line, y] -= 1
-        d *= (live / np.float32(max(1, live.sum())))[:, None]
-        g = {"out": o.reshape(-1, HEADS * VALUE).T @ d, "bias": d.sum(0)}
-        do = (d @ p["out"].T).reshape(n, BLOCK, HEADS, VALUE).transpose(0, 2, 1, 3)
+        hit = z[line, y]
+        np.exp(z, out=z)
+        total = z @ np.ones(CLASSES, z.dtype)
+        z *= (live / (total * z.dtype.type(many))).astype(z.dtype)[:, None]
+        z[line, y] -= (live / many).astype(z.dtype)
+        g["out"] += o.T @ z
+        g["bias"] += np.ones(len(z), z.dtype) @ z
+        do = np.ascontiguousarray((z @ p["out"].T).reshape(n, BLOCK, HEADS, VALUE).transpose(0, 2, 1, 3))
         ds = do @ v.transpose(0, 1, 3, 2)
-        dv = s.transpose(0, 1, 3, 2) @ do
-        ds = s * (ds - (ds * s).sum(3, keepdims=True))
-        g["near"] = np.stack([np.bincount(np.maximum(self.gap, 0).ravel(), np.where(self.gap >= 0, ds[:, h].sum(0), 0).ravel(), WINDOW) for h in range(HEADS)])
-        ds *= np.float32(DIM**-0.5)
-        dx = np.zeros((n, WINDOW, QKV), np.float32)
-        back = lambda y: y.transpose(0, 2, 1, 3).reshape(n, y.shape[2], -1)
-        dx[:, BEFORE:, : HEADS * DIM] = back(ds @ k)
-        dx[:, :, HEADS * DIM : 2 * HEADS * DIM] = back(ds.transpose(0, 1, 3, 2) @ q)
-        dx[:, :, 2 * HEADS * DIM :] = back(dv)
-        dx *= there[:, :, None]
-        g["classes"] = added(cls.reshape(-1), dx.reshape(-1, QKV), CLASSES + 1)
-        dx[w < 0] = 0
-        by_word = added(inverse.reshape(-1), dx.reshape(-1, QKV), len(used))
-        g["ids"] = added(row, np.repeat(by_word, size[used], axis=0), len(p["ids"]))
-        return loss, g
+        ds -= ((do * o.reshape(n, BLOCK, HEADS, VALUE).transpose(0, 2, 1, 3)) @ np.ones(VALUE, x.dtype))[..., None]
+        ds *= s
+        by_gap = ds.sum(0)
+        g["near"] += np.stack([np.bincount(np.maximum(self.gap, 0).ravel(), np.where(self.gap >= 0, by_gap[h], 0).ravel(), WINDOW) for h in range(HEADS)])
+        ds *= ds.dtype.type(DIM**-0.5)
+        dx = np.zeros((n, WINDOW, QKV), x.dtype)
+        dx[:, BEFORE:, :at] = (ds @ k).transpose(0, 2, 1, 3).reshape(n, BLOCK, at)
+        dx[:, :, at : 2 * at] = (ds.transpose(0, 1, 3, 2) @ q).transpose(0, 2, 1, 3).reshape(n, WINDOW, at)
+        dx[:, :, 2 * at :] = (s.transpose(0, 1, 3, 2) @ do).transpose(0, 2, 1, 3).reshape(n, WINDOW, HEADS * VALUE)
+        dx[~there] = 0
+        return float(((np.log(total) - hit) * live).sum()), dx
+
+    def all_gradients(self, code: np.ndarray, counts: np.ndarray, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray, part: int = 128) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss over every window of some texts.
+
+        ``code``: words of the texts (places in ``kind``, ``ids`` and ``bounds``); ``counts`` of words by text.
+        """
+        x, tokens, texts = self.inputs(kind, ids, bounds), counts + 1, np.arange(len(counts))
+        x = np.concatenate([x, self.start[None]])
+        before, goal = np.full(len(code) + len(counts), len(kind), np.int64), np.full(len(code) + len(counts), END, np.int64)
+        at = np.arange(len(code)) + np.repeat(texts, counts)
+        before[at + 1], goal[at] = code, kind[code]
+        begin, text, number = windows(tokens)
+        before[(np.cumsum(tokens) - tokens)] = len(kind)
+        low, high = (np.cumsum(tokens) - tokens)[text], np.cumsum(tokens)[text]
+        g = {name: np.zeros_like(self.p[name]) for name in ("out", "bias", "near")}
+        dx = np.zeros((len(begin), BLOCK, QKV), x.dtype)
+        for a in range(0, len(begin), part):
+            b = slice(a, a + part)
+            at = begin[b, None] + np.arange(-BEFORE, BLOCK)
+            there = (at >= low[b, None]) & (at < high[b, None])
+            _, d = self.shift(x[np.take(before, at, mode="clip")], there, np.take(goal, at[:, BEFORE:], mode="clip"), len(before), g)
+            dx[b] += d[:, BEFORE:]
+            later = np.flatnonzero(number[b] > 0)  # what stands before a block is the end of the block before
+            dx[a + later - 1, BLOCK - BEFORE :] += d[later, :BEFORE]
+        at = begin[:, None] + np.arange(BLOCK)
+        own = np.flatnonzero((at < high[:, None]).reshape(-1))
+        w = before[at.reshape(-1)[own]]
+        order = np.argsort(w.astype(np.uint16) if len(x) <= 1 << 16 else w, kind="stable")
+        first = np.searchsorted(w[order], np.arange(len(x) + 1))
+        by_word = gathered(dx.reshape(-1, QKV), own[order], first)
+        g["classes"] = added(np.append(kind, CLASSES), by_word, CLASSES + 1)
+        row, n = self.row[ids], len(self.p["ids"])
+        order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
+        g["ids"] = gathered(by_word, np.repeat(np.arange(len(kind)), np.diff(bounds))[order], np.searchsorted(row[order], np.arange(n + 1)))
+        return g
 
     def train(self, sample: Sample, kind: np.ndarray, steps: int = 0, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Attention:
-        """Two draws for each window, 250 steps at least, unless ``steps`` are given."""
+        """Begins with two draws for each window of the sample, 250 steps at least, unless ``steps`` are given; then ``rest`` goes on with all windows."""
+        rest, self.rest = self.rest, None
         if not len(sample.words):
             return self
         n = np.bincount(kind, sample.count, CLASSES) + 0.5
         self.p["bias"][:] = np.log(n / n.sum())
         steps = steps or max(250, -(-2 * len(sample.words) // batch))
-        rng, m, v = np.random.default_rng(seed), {}, {}
-        for step in range(1, steps + 1):
-            _, g = self.gradients(sample, kind, sample.words[rng.integers(0, len(sample.words), batch)])
-            lr = rate * min(1, step / 20) * (1 - step / (steps + 1))
-            for name, d in g.items():
-                d = d.astype(np.float32)
-                m[name] = 0.9 * m.get(name, 0) + 0.1 * d
-                v[name] = 0.99 * v.get(name, 0) + 0.01 * d * d
-                self.p[name] -= (lr * (0.3 if name == "ids" else 1) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        rng, adam = np.random.default_rng(seed), Adam()
+        with self.only(sample.ids):
+            for step in range(1, steps + 1):
+                _, g = self.gradients(sample, kind, sample.words[rng.integers(0, len(sample.words), batch)])
+                adam.step(self.p, g, rate * min(1, step / 20) * (1 - step / (steps + 1)))
+        if rest:
+            rest(self)
         return self
 
+    @contextmanager
+    def only(self, ids: np.ndarray):
+        """Inside, only the rows of ``ids`` are there, as no others have gradients."""
+        row, whole = self.row, self.p["ids"]
+        used = np.unique(row[ids])
+        self.row = np.zeros(len(row), np.int32)
+        self.row[ids] = np.searchsorted(used, row[ids])
+        self.p["ids"] = whole[used]
+        try:
+            yield used
+        finally:
+            whole[used] = self.p["ids"]
+            self.row, self.p["ids"] = row, whole
+
+
+class Adam:
+    """Moments of gradients; the rows of subword ids move less."""
+
+    def __init__(self):
+        self.n, self.m, self.v = 0, {}, {}
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        for name, d in g.items():
+            d = d.astype(np.float32)
+            self.m[name] = 0.9 * self.m.get(name, 0) + 0.1 * d
+            self.v[name] = 0.99 * self.v.get(name, 0) + 0.01 * d * d
+            p[name] -= (rate * (0.3 if name == "ids" else 1) * (self.m[name] / (1 - 0.9**self.n)) / (np.sqrt(self.v[name] / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+
 
 def added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by place."""
@@ -530,7 +635,7 @@ def count(train: DataFrame) -> DataFrame:
 
 
 def sampled(train: DataFrame, ends: int, shipped, sample: int = SAMPLE) -> Sample:
-    """Windows of ``sample`` training documents and one in ``EVERY``, or all, those with the smallest hashes of their ids.
+    """Where training begins: windows of ``sample`` training documents and one in ``EVERY``, or all, those with the smallest hashes of their ids.
 
     Of up to ``sample`` / 8 documents every window, of more one in two, and so on up to one in ``STRIDE``. So what comes to the driver
     grows with the training set: about 150 bytes for each of 1 / (EVERY * STRIDE) of all windows.
@@ -590,15 +695,167 @@ def statistics(words: DataFrame, lexicon, shipped) -> tuple[Speller, Shares]:
     return Speller(key[order], times[order]), shares
 
 
+#: Expected numbers of words in topics are counted in units of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 16
+
+
+def topics(train: DataFrame, words: DataFrame, lexicon: Lexicon, shipped) -> Lexicon:
+    """A round of EM over the words of every training text, from ``lexicon``; the commonest words from all counts.
+
+    A text is cut into blocks as for scoring; the words of a block and half a block before tell its topic. To the driver come
+    one row for each subword id.
+    """
+    sent = train.sparkSession.sparkContext.broadcast(lexicon)
+    half = BLOCK // 2
+
+    def run(batches):
+        lexicon, made = sent.value, []
+
+        def make(strings: list[bytes]) -> np.ndarray:
+            ids, bounds = spelled(strings, shipped.value)
+            made.append((ids, np.diff(bounds)))
+            return gathered(lexicon.theta, lexicon.row[ids], bounds)
+
+        memo, part, n = K.Memo(make, 96 << 20), np.zeros((0, TOPICS)), np.zeros((VOCABULARY, TOPICS), np.int64)
+
+        def spread():
+            if made:
+                ids, size = (np.concatenate(x) for x in zip(*made))
+                some = np.flatnonzero(np.bincount(ids, minlength=VOCABULARY))
+                for t in range(TOPICS):
+                    n[some, t] += np.bincount(ids, np.repeat(part[: len(size), t], size), VOCABULARY)[some].astype(np.int64)
+                made.clear()
+
+        for b in batches:
+            for _, _, data, off in K.slices(b.column(0)):
+                w = K.Words(data, off, lower=True)
+                if not len(w.starts):
+                    continue
+                if memo.held > memo.budget:
+                    spread()
+                    memo.fresh()
+                    part[:] = 0
+                at, row = memo(w.data, w.starts, w.ends)
+                if len(part) < len(row):
+                    part = np.concatenate([part, np.zeros((len(row) - len(part), TOPICS))])
+                halves = -(-w.counts // half)
+                text = np.repeat(np.arange(len(halves)), halves)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(halves) - halves, halves)
+                begin = w.bounds[:-1][text] + half * number
+                size = np.diff(np.append(begin, len(at)))
+                score = gathered(row, at, np.append(begin, len(at)))
+                even = np.flatnonzero(number % 2 == 0)  # first half of each block
+                block = np.cumsum(number % 2 == 0) - 1
+                z = score[even]
+                odd = np.flatnonzero(number % 2)
+                z[block[odd]] += score[odd]
+                later = np.flatnonzero(number[even] > 0)
+                z[later] += score[even[later] - 1]
+                z = np.exp(z - z.max(1, keepdims=True))
+                z = np.rint(z * (UNIT / z.sum(1, keepdims=True)))
+                weight = z[block]
+                weight[even[later] - 1] += z[later]
+                for t in range(TOPICS):
+                    part[:, t] += np.bincount(at, np.repeat(weight[:, t], size), len(part))
+        spread()
+        ids = np.flatnonzero(n.any(1))
+        yield batch(["id", *TOPIC], ids.astype(np.int32), *(np.ascontiguousarray(n[ids, t]) for t in range(TOPICS)))
+
+    got = rows(train.select("text"), run, "id int, " + ", ".join(f"{t} long" for t in TOPIC)).groupBy("id").agg(*(F.sum(t).alias(t) for t in TOPIC)).orderBy("id").toArrow()
+    n = np.stack([got[t].to_numpy() for t in TOPIC], axis=1) / UNIT
+    common = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(SINGLE).collect()]
+    ids, bounds = spelled(common, shipped.value)
+    single = [tuple(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    return lexicon.learned(single, got["id"].to_numpy(), n)
+
+
+TOPIC = [f"t{t}" for t in range(TOPICS)]
+#: Rate at which tasks go on training; a task takes one step for each slice of its texts.
+RATE = 0.003
+
+
+def whole(train: DataFrame, lexicon, shipped) -> Callable[[Attention], None]:
+    """Goes on training with every window of every training text.
+
+    Each task begins with the attention's parameters and takes steps over its own texts; the parameters of all tasks are averaged, those of a
+    subword id by how often tasks met it, the others by their tokens. What tasks pass on is summed by parameter row in an exchange; one row
+    for each parameter row comes to the driver.
+    """
+
+    def go(attention: Attention) -> None:
+        sent = train.sparkSession.sparkContext.broadcast(attention)
+        few = {"classes": CLASSES + 1, "out": HEADS * VALUE, "bias": 1, "near": HEADS}
+        first = dict(zip(few, np.cumsum([0, *few.values()]).tolist()))
+        edge = sum(few.values())
+
+        def packed(p: dict[str, np.ndarray]) -> np.ndarray:
+            """All but the rows of ids, as rows of one width."""
+            out = np.zeros((edge, QKV))
+            for name, at in first.items():
+                x = np.atleast_2d(p[name])
+                out[at : at + len(x), : x.shape[1]] = x
+            return out
+
+        def run(batches):
+            a, known, adam = copy(sent.value), lexicon.value, Adam()
+            a.p = {k: v.copy() for k, v in a.p.items()}
+            begin = {k: v.copy() for k, v in a.p.items()}
+            met, tokens, spelling = np.zeros(len(a.p["ids"]), np.int64), 0, Spelling(shipped.value, 96 << 20)
+            for b in batches:
+                for i, j, data, off in K.slices(b.column(0)):
+                    w = K.Words(data, off, lower=True)
+                    code, times, ids, size = np.zeros(0, np.int64), *np.zeros((3, 0), np.int64)
+                    if len(w.starts):
+                        at, row = spelling(w.data, w.starts, w.ends)
+                        times = np.bincount(at, minlength=len(row))
+                        here = np.flatnonzero(times)
+                        code, times = (np.cumsum(times > 0) - 1)[at], times[here]
+                        ids, size = spelling.expand(here, row)
+                    bounds = np.concatenate([[0], np.cumsum(size)])
+                    adam.step(a.p, a.all_gradients(code, w.counts, known.kinds(ids, bounds), ids, bounds), RATE)
+                    met += np.bincount(a.row[ids], np.repeat(times, size), len(met)).astype(np.int64)
+                    tokens += len(code) + j - i
+            if tokens:
+                at = np.flatnonzero(met)
+                moved = np.concatenate([(packed(a.p) - packed(begin)) * tokens, (a.p["ids"][at] - begin["ids"][at]) * met[at, None].astype(np.float64)]).astype(np.float32)
+                place = np.concatenate([np.arange(edge), edge + at])
+                weight = np.concatenate([np.full(edge, tokens), met[at]])
+                yield batch(["at", "task", "weight", "moved"], place.astype(np.int32), np.full(len(place), TaskContext.get().partitionId(), np.int32), weight, pa.FixedSizeListArray.from_arrays(moved.ravel(), QKV).cast(pa.list_(pa.float32())))
+
+        def total(batches):
+            weight, moved = {}, {}
+            for b in batches:  # sorted by place and task
+                values = b.column(3).flatten().to_numpy().reshape(-1, QKV).astype(np.float64)
+                for i, (at, n) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                    weight[at] = weight.get(at, 0) + n
+                    moved[at] = moved.get(at, 0) + values[i]
+            yield batch(["at", "moved"], np.array(list(moved), np.int32), pa.array([(moved[k] / weight[k]).tolist() for k in moved], pa.list_(pa.float64())))
+
+        got = rows(train.select("text"), run, "at int, task int, weight long, moved array<float>")
+        got = rows(got.repartition("at").sortWithinPartitions("at", "task"), total, "at int, moved array<double>").toArrow()
+        at, moved = got["at"].to_numpy(), np.array(got["moved"].combine_chunks().flatten()).reshape(-1, QKV)
+        attention.p["ids"][at[at >= edge] - edge] += moved[at >= edge].astype(np.float32)
+        shared = np.zeros((edge, QKV))
+        shared[at[at < edge]] = moved[at < edge]
+        for name, i in first.items():
+            p = attention.p[name]
+            x = shared[i : i + few[name], : p.shape[-1]].astype(np.float32)
+            p += x.reshape(p.shape)
+
+    return go
+
+
 def fit(train: DataFrame, words: DataFrame, ends: int, shipped, sample: int = SAMPLE) -> Model:
     spark = train.sparkSession
     windows_ = sampled(train, ends, shipped, sample)
-    lexicon = Lexicon(windows_)
+    lexicon = topics(train, words, Lexicon(windows_), shipped)
     sent = spark.sparkContext.broadcast(lexicon)
     speller, shares = statistics(words, sent, shipped)
     speller.measure(lexicon, shipped.value)
     kind = lexicon.kinds(windows_.ids, windows_.bounds)
-    return Model(lexicon, speller, shares, Attention(lexicon).train(windows_, kind))
+    attention = Attention(lexicon)
+    attention.rest = whole(train, sent, shipped)
+    return Model(lexicon, speller, shares, attention.train(windows_, kind))
 
 
 class Counts:

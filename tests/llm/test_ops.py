@@ -292,6 +292,39 @@ def test_op3_learns_from_all_training_documents(spark, docs, monkeypatch):
     assert spelling(whole) == spelling(want)
 
 
+def test_op3_model_comes_from_every_training_text(spark, docs):
+    """With a sample of a few texts, ids, commonest words and the embeddings still come from all of them."""
+    train = docs.where(op3_lm.fold("doc_id", 7) != 2)
+    texts = [r.text or "" for r in train.select("text").collect()]
+    counts = Counter(w.encode() for t in texts for w in WORD.findall(t.translate(UPPER)))
+    words = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    shipped = spark.sparkContext.broadcast(bpe.read())
+    few = op3_lm.sampled(train, len(texts), shipped, 4)
+    m = op3_lm.fit(train, words, len(texts), shipped, 4)
+    ids, bounds = op3_lm.spelled(list(counts), shipped.value)
+    unseen = np.setdiff1d(ids, few.ids)
+    row = m.lexicon.row[unseen]
+    assert len(unseen) > 100 and (row < len(m.lexicon.theta) - 1).all()
+    assert (np.abs(m.lexicon.theta[row]).max(1) > 0).all() and (np.abs(m.attention.p["ids"][row]).max(1) > 0).all()
+    common = sorted(counts, key=lambda w: (-counts[w], w))[: op3_lm.SINGLE]
+    one = [m.lexicon.kinds(*op3_lm.spelled([w], shipped.value))[0] for w in common if len(op3_lm.spelled([w], shipped.value)[0]) <= 3]
+    assert one[: op3_lm.SINGLE - 1] == list(range(1, len(one[: op3_lm.SINGLE - 1]) + 1))
+
+
+def test_op3_gradients_of_whole_texts(lm):
+    """Slices of texts give the gradients of all their windows."""
+    m, *_ = lm
+    texts = ["The cat sat on the mat and the dog ate " * 9, "un deux trois", "", "a " * 15, "b c " * 8]
+    s = lm_sample(texts)
+    _, want = m.attention.gradients(s, m.lexicon.kinds(s.ids, s.bounds), s.words)
+    w = next(K.Words(data, off, lower=True) for _, _, data, off in K.slices(pa.array(texts)))
+    code, found = K.distinct(w.data, w.starts, w.ends)
+    ids, bounds = op3_lm.spelled(found.to_pylist(), bpe.read())
+    got = m.attention.all_gradients(code, w.counts, m.lexicon.kinds(ids, bounds), ids, bounds, 3)
+    for name in want:
+        assert np.allclose(got[name], want[name], atol=1e-6), name
+
+
 def test_op3_rare_words_meet_their_counts(spark, docs, monkeypatch):
     """Scores do not depend on which words are shipped and which come by the join."""
     whole = {r.doc_id: r for r in op3_lm.lm_scores(docs).collect()}
