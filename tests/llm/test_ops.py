@@ -686,6 +686,28 @@ def test_op10_forest_and_counts_against_plain_loops():
     assert np.allclose(op10_rules.IsolationForest.c(np.array([1, 2, 256])), [0, 1, 2 * (np.log(255) + np.euler_gamma) - 2 * 255 / 256])
 
 
+def test_op10_learns_from_every_labelled_row(spark):
+    """More labelled rows than 1,500 of a class, and texts over 4 MB: all of them set the threshold, as a plain loop does."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(400)])
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(5200)] + [" ".join(rng.choice(words[:30], 60)) + " #$%" * int(rng.integers(0, 9)) for _ in range(2600)]
+    # what is first by the hash of its id is not like the rest
+    texts[7] = " ".join(f"{w}x{i % 50}" for i, w in enumerate(rng.choice(words, 700_000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 5200)) for i in range(len(texts))], "doc_id long, quality int")
+    got = {r.doc_id: r for r in op10_rules.quality_rules(df, labels).collect()}
+    learn = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1 and not got[i].base_failed]
+    assert 7 in got and len(texts[7]) > 4 << 20 and sum(i < 5200 for i in learn) > 3000
+    counts = spark.createDataFrame([(i, i, False, [0.1, 0.2, 0.3, 0.4]) for i in range(len(texts))], "doc_id long, hash long, base_failed boolean, x array<double>")
+    assert op10_rules.labelled(counts, labels).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(len(texts)))
+    good, bad = (np.array([got[i].anomaly for i in learn if (i < 5200) == y]) for y in (True, False))
+    gain = [(10 * (good <= c).mean() - (bad <= c).mean(), c) for c in np.unique(np.concatenate([good, bad]))]
+    best = max(c for g, c in gain if g >= max(gain)[0] - 1e-12)
+    after = [c for _, c in gain if c > best]
+    cut = (best + min(after)) / 2 if after else best
+    assert all(r.kept == (not r.base_failed and r.anomaly <= cut) for r in got.values())
+
+
 def test_op10_counts():
     t = "a b c a b c\nx y\nx y\n\n#tag"
     c = dict(zip(op10_rules.COUNTS, op10_rules.statistics(pa.array([t, None]))[0].tolist()))
