@@ -46,18 +46,32 @@ def spell(words: list[str], vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     Words without white space are encoded in one go: a token that begins with a blank begins a word.
     """
+    got = spell_joined(" " + " ".join(words) if words else "", len(words), vocabulary)
+    if got:
+        return got
+    # words that hold white space of other kinds are encoded one by one
+    odd = [bool(_OTHER_BLANK.search(w)) for w in words]
+    plain = [w for w, o in zip(words, odd) if not o]
+    got = spell_joined(" " + " ".join(plain), len(plain), vocabulary) if len(plain) < len(words) else None
+    if got:
+        ids, bounds = (x.tolist() for x in got)
+        rest = iter([ids[a:b] for a, b in zip(bounds, bounds[1:])])
+    e = encoding(vocabulary)
+    lists = [e.encode_ordinary(" " + w) if o or not got else next(rest) for w, o in zip(words, odd)]
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for one in lists for x in one), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+
+
+def spell_joined(text: str, n: int, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """``spell`` for a text that is ``n`` words with a blank before each; None if its tokens do not show where words begin."""
     e, key = encoding(vocabulary), hash(vocabulary)
     if key not in _BEGINS:
         _BEGINS[key] = np.array([x[:1] == b" " for x in map(e.decode_single_token_bytes, range(END))])
-    text = " " + " ".join(words) if words else ""
-    if words and not _OTHER_BLANK.search(text):
-        ids = np.array(e.encode_ordinary(text), np.int64)
-        begins = np.flatnonzero(_BEGINS[key][ids])
-        if len(begins) == len(words):
-            return ids, np.append(begins, len(ids))
-    lists = [e.encode_ordinary(" " + w) for w in words]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for one in lists for x in one), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+    if _OTHER_BLANK.search(text):
+        return None
+    ids = np.array(e.encode_ordinary(text), np.int64)
+    begins = np.flatnonzero(_BEGINS[key][ids])
+    return (ids, np.append(begins, len(ids))) if len(begins) == n else None
 
 
 def odd_blanks(data: np.ndarray) -> np.ndarray:

@@ -30,12 +30,13 @@ do not matter, extra columns are ignored, no rows give no rows. Without training
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,8 @@ SAMPLE, EVERY, STRIDE = 2400, 100, 8
 #: Stands before each word in a window's ids; a window with more ids than ``LONGEST`` is not trained on.
 MARK, LONGEST = 0xFFFF, 4096
 TOP = 1 << 18
-#: Bytes of words a task counts before it passes them on.
-HELD = 48 << 20
+#: Slices whose distinct words are taken together, and how many distinct words these may be.
+WIDE, MANY = 8, 300_000
 #: Spellings drawn for each topic.
 DRAWN = 6000
 DISCOUNT = 0.5
@@ -80,8 +81,50 @@ class Spelling(K.Pool):
         super().__init__(lists, budget)
 
 
-def spelled(words: list[bytes], vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return bpe.spell([w.decode("utf-8", "replace") for w in words], vocabulary)
+def spelled(words: list[bytes] | pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words, each with a blank before it, one after another, and their bounds."""
+    found = words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+    found = found.cast(pa.large_binary())
+    data, off = stored(found)
+    text = np.full(len(data) + len(found), 32, np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[off[:-1] + np.arange(len(found))] = False
+    text[inside] = data
+    got = bpe.spell_joined(text.tobytes().decode("utf-8", "replace"), len(found), vocabulary)
+    return got or bpe.spell([w.decode("utf-8", "replace") for w in found.to_pylist()], vocabulary)
+
+
+def stored(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a large_binary column."""
+    if not len(found):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, off, data = found.buffers()
+    off = np.frombuffer(off, np.int64)[found.offset : found.offset + len(found) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[off[0] : off[-1]], off - off[0]
+
+
+def parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, K.Words, np.ndarray, pa.Array]]:
+    """(first row, row after the last, bounds of its slices in rows, words, code of each word, the distinct words) of consecutive rows.
+
+    Up to ``WIDE`` slices share their distinct words, so that what depends on the word alone is made once for them; a slice
+    stands alone where they would hold more than ``MANY``.
+    """
+    cuts = [(a, z) for a, z, _, _ in K.slices(col)]
+
+    def part(some: list[tuple[int, int]]):
+        a, z = some[0][0], some[-1][1]
+        w = K.Words(*K.as_arrays(col.slice(a, z - a)), lower=True)
+        code, found = K.distinct(w.data, w.starts, w.ends)
+        return a, z, np.array([a, *(y for _, y in some)]) - a, w, code, found
+
+    for i in range(0, len(cuts), WIDE):
+        some = cuts[i : i + WIDE]
+        one = part(some)
+        if len(some) == 1 or len(one[-1]) <= MANY:
+            yield one
+        else:
+            del one
+            yield from (part([x]) for x in some)
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +234,7 @@ class Lexicon:
         if len(bounds) < 2:
             return np.zeros(0, np.int32)
         out = SINGLE + gathered(self.theta, self.row[ids], bounds).argmax(1).astype(np.int32)
-        size = np.diff(bounds)
+        size, ids = np.diff(bounds), ids.astype(np.int64, copy=False)
         key = np.zeros(len(size), np.int64)
         for i in range(3):
             at = np.flatnonzero(size > i)
@@ -211,9 +254,9 @@ def gathered(table: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.ndarr
         n = int(np.searchsorted(falling, -j, "left"))  # ranges of more than j
         if not n:
             break
-        if n < 64:  # few long ones are left
-            for i in range(n):
-                out[i] += table[row[begin[i] + j : begin[i] - falling[i]]].sum(0)
+        if n < 64 or n < 1024 and j >= 64:  # few long ones are left
+            for i in range(n):  # one after another as below, so that a sum does not depend on the other ranges
+                out[i] = np.concatenate([out[i : i + 1], table[row[begin[i] + j : begin[i] - falling[i]]]]).sum(0)
             break
         out[:n] += table[row[begin[:n] + j]]
         j += 1
@@ -281,11 +324,12 @@ class Speller:
     def logs(self, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of each word's spelling in its topic, against all spellings that are words of the topic."""
         topic = np.maximum(kind.astype(np.int64) - SINGLE, 0)
-        key = transitions(topic + SINGLE, ids, bounds)
+        found = pa.array(transitions(topic + SINGLE, ids, bounds)).dictionary_encode()
+        key = found.dictionary.to_numpy()
         symbol, context = key % SYMBOLS, key // SYMBOLS
         p = self.pair.share(context % SYMBOLS, symbol, self.symbol[symbol])
         p = self.topic.share(context, symbol, p)
-        return K.sums(np.log10(p), bounds + np.arange(len(bounds))) - self.log_mass[topic]
+        return K.sums(np.log10(p)[found.indices.to_numpy()], bounds + np.arange(len(bounds))) - self.log_mass[topic]
 
     def draw(self, topic: np.ndarray, rng, steps: int = 40) -> list[list[int]]:
         """A spelling of each topic; unfinished ones after ``steps`` ids are empty."""
@@ -366,42 +410,65 @@ class Attention:
     def start(self) -> np.ndarray:
         return self.p["classes"][CLASSES]
 
-    def attend(self, x: np.ndarray, there: np.ndarray):
-        """``x`` (windows, WINDOW, QKV): the words before those to predict; ``there``: which exist."""
-        n = len(x)
-        heads = lambda a, d, y: np.ascontiguousarray(y[..., a : a + HEADS * d].reshape(n, -1, HEADS, d).transpose(0, 2, 1, 3))
-        q, k, v = heads(0, DIM, x[:, BEFORE:]), heads(HEADS * DIM, DIM, x), heads(2 * HEADS * DIM, VALUE, x)
+    def attend(self, now: np.ndarray, every: np.ndarray, front: np.ndarray):
+        """``now`` (windows, BLOCK, QKV): the words before those to predict; ``every`` (windows, WINDOW, QKV): these and the BEFORE in front; ``front``: which of those exist.
+
+        What stands behind a text's end is seen by nothing that counts, as the mask is causal.
+        """
+        n = len(now)
+        heads = lambda a, d, y: y[..., a : a + HEADS * d].reshape(n, -1, HEADS, d).transpose(0, 2, 1, 3)
+        q, k, v = heads(0, DIM, now) * now.dtype.type(DIM**-0.5), heads(HEADS * DIM, DIM, every), heads(2 * HEADS * DIM, VALUE, every)
         s = q @ k.transpose(0, 1, 3, 2)
-        s *= np.float32(DIM**-0.5)
         s += np.where(self.gap >= 0, self.p["near"][:, np.maximum(self.gap, 0)], np.float32(-60))
-        if not there.all():
-            s += np.where(there, np.float32(0), np.float32(-60))[:, None, None]
         np.clip(s, -60, 30, out=s)
         np.exp(s, out=s)
-        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(*s.shape[:3], 1) + np.float32(1e-30)
-        return q, k, v, s, np.ascontiguousarray((s @ v).transpose(0, 2, 1, 3)).reshape(n, BLOCK, HEADS * VALUE)
+        bad = np.flatnonzero(~front.all(1))
+        if len(bad):
+            s[bad, :, :, :BEFORE] *= front[bad, None, None]
+        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)).reshape(*s.shape[:3], 1) + np.float32(1e-30)
+        o = np.empty((n, BLOCK, HEADS, VALUE), s.dtype)
+        np.matmul(s, v, out=o.transpose(0, 2, 1, 3))
+        return q, k, v, s, o.reshape(-1, HEADS * VALUE)
 
-    def logs(self, x: np.ndarray, before: np.ndarray, kind: np.ndarray, counts: np.ndarray, batch: int = 1024) -> np.ndarray:
+    @staticmethod
+    def laid(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each token when every text fills whole blocks and BEFORE places stand in front of all, text of each block, which blocks do not begin a text)."""
+        n = -(-counts // BLOCK)
+        text = np.repeat(np.arange(len(n)), n)
+        first = np.cumsum(n) - n
+        later = np.ones(len(text), bool)
+        later[first[n > 0]] = False
+        return np.arange(int(counts.sum())) + np.repeat(BEFORE + first * BLOCK - (np.cumsum(counts) - counts), counts), text, later[:, None]
+
+    @staticmethod
+    def views(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``now`` and ``every`` of blocks one after another, BEFORE rows in front; nothing is copied."""
+        n = (len(x) - BEFORE) // BLOCK
+        return x[BEFORE:].reshape(n, BLOCK, -1), np.lib.stride_tricks.as_strided(x, (n, WINDOW, x.shape[1]), (BLOCK * x.strides[0], *x.strides))
+
+    def logs(self, x: np.ndarray, before: np.ndarray, kind: np.ndarray, counts: np.ndarray, batch: int = 128) -> np.ndarray:
         """Sum of log10 class probabilities by text.
 
         ``x``: inputs of words; by token (the end last in its text) ``before``, the place of its input in ``x``, and ``kind``; ``counts`` of tokens.
         """
-        begin, text, _ = windows(counts)
-        low, high = (np.cumsum(counts) - counts)[text], np.cumsum(counts)[text]
-        total, ones = np.zeros(len(counts)), np.ones(CLASSES, np.float32)
-        for a in range(0, len(begin), batch):
-            b = slice(a, a + batch)
-            at = begin[b, None] + np.arange(-BEFORE, BLOCK)
-            lo, hi = low[b, None], high[b, None]
-            y = x[np.take(before, at, mode="clip")].astype(np.float32)
-            z = self.attend(y, (at >= lo) & (at < hi))[4].reshape(-1, HEADS * VALUE) @ self.p["out"]
+        place, text, later = self.laid(counts)
+        size = BEFORE + len(text) * BLOCK
+        at, goal, live = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.float32)
+        at[place], goal[place], live[place] = before, kind, np.log10(np.e)
+        goal += np.arange(-BEFORE, size - BEFORE) % (batch * BLOCK) * CLASSES
+        part, ones = np.zeros(len(text)), np.ones(CLASSES, np.float32)
+        for a in range(0, len(text), batch):
+            z_ = min(a + batch, len(text))
+            new = slice(BEFORE + a * BLOCK, BEFORE + z_ * BLOCK)
+            y = x[at[a * BLOCK : new.stop]].astype(np.float32, copy=False)
+            z = self.attend(*self.views(y), later[a:z_])[4] @ self.p["out"]
             z += self.p["bias"]
-            at = at[:, BEFORE:].reshape(-1)
-            hit = np.take(z.reshape(-1), np.arange(len(at)) * CLASSES + np.take(kind, at, mode="clip"))
+            hit = z.reshape(-1)[goal[new]]
             np.exp(z, out=z)
-            part = ((hit - np.log(z @ ones)) * np.float32(np.log10(np.e))).reshape(-1, BLOCK)
-            total += np.bincount(text[b], (part * (at.reshape(-1, BLOCK) < hi)).sum(1, dtype=np.float64), len(total))
-        return total
+            hit -= np.log(z @ ones)
+            hit *= live[new]
+            part[a:z_] = hit.reshape(-1, BLOCK).sum(1, dtype=np.float64)
+        return np.bincount(text, part, len(counts))
 
     def gradients(self, sample: Sample, kind: np.ndarray, words: np.ndarray, part: int = 128) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of a batch of windows (natural logarithm a token) and its gradients, ``part`` windows at a time."""
@@ -424,74 +491,83 @@ class Attention:
         g = {name: np.zeros_like(p[name]) for name in ("out", "bias", "near")}
         for a in range(0, len(words), part):
             w = place[words[a : a + part, :-1] + 1]
-            lost, dx = self.shift(x[w], there[a : a + part], kind[np.maximum(words[a : a + part, BEFORE + 1 :], 0)], many, g)
+            y, dx = x[w], np.zeros((len(w), WINDOW, QKV), x.dtype)
+            here = there[a : a + part]
+            lost, *d = self.shift(y[:, BEFORE:], y, here[:, :BEFORE], here[:, BEFORE:], kind[np.maximum(words[a : a + part, BEFORE + 1 :], 0)], many, g)
+            dx[:, BEFORE:, : HEADS * DIM], dx[:, :, HEADS * DIM : 2 * HEADS * DIM], dx[:, :, 2 * HEADS * DIM :] = d
             loss += lost
             by_word += added(w.reshape(-1), dx.reshape(-1, QKV), len(x))
         g["classes"] = added(cls, by_word, CLASSES + 1)
         g["ids"] = added(row, np.repeat(by_word[real:], long, axis=0), len(p["ids"]))
         return loss / many, g
 
-    def shift(self, x: np.ndarray, there: np.ndarray, goal: np.ndarray, many: int, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
-        """Sum of the losses of windows with the inputs ``x`` and its gradients by input; those of the other parameters are added to ``g``."""
-        p, n, at = self.p, len(x), HEADS * DIM
-        q, k, v, s, o = self.attend(x, there)
-        o = o.reshape(-1, HEADS * VALUE)
+    def shift(self, now: np.ndarray, every: np.ndarray, front: np.ndarray, live: np.ndarray, goal: np.ndarray, many: int, g: dict[str, np.ndarray]):
+        """Sum of the losses of windows (as in ``attend``) and its gradients by queries, keys and values; those of the other parameters are added to ``g``.
+
+        ``live``: which tokens there are to predict; ``goal``: their classes.
+        """
+        p, n = self.p, len(now)
+        q, k, v, s, o = self.attend(now, every, front)
         z = o @ p["out"]
         z += p["bias"]
-        y, live = goal.reshape(-1), there[:, BEFORE:].reshape(-1)
-        line = np.arange(len(y))
-        z -= z.max(1, keepdims=True)
-        hit = z[line, y]
+        at, live = np.arange(n * BLOCK) * CLASSES + goal.reshape(-1), live.reshape(-1)
+        if max(z.max(), -z.min()) > 60:
+            z -= z.max(1, keepdims=True)
+        flat_ = z.reshape(-1)
+        hit = flat_[at]
         np.exp(z, out=z)
         total = z @ np.ones(CLASSES, z.dtype)
         z *= (live / (total * z.dtype.type(many))).astype(z.dtype)[:, None]
-        z[line, y] -= (live / many).astype(z.dtype)
+        flat_[at] -= (live / many).astype(z.dtype)
         g["out"] += o.T @ z
         g["bias"] += np.ones(len(z), z.dtype) @ z
-        do = np.ascontiguousarray((z @ p["out"].T).reshape(n, BLOCK, HEADS, VALUE).transpose(0, 2, 1, 3))
+        do = z @ p["out"].T
+        own = ((do * o).reshape(-1, VALUE) @ np.ones(VALUE, z.dtype)).reshape(n, BLOCK, HEADS).transpose(0, 2, 1)[..., None]
+        do = do.reshape(n, BLOCK, HEADS, VALUE).transpose(0, 2, 1, 3)
         ds = do @ v.transpose(0, 1, 3, 2)
-        ds -= ((do * o.reshape(n, BLOCK, HEADS, VALUE).transpose(0, 2, 1, 3)) @ np.ones(VALUE, x.dtype))[..., None]
+        ds -= own
         ds *= s
-        by_gap = ds.sum(0)
+        by_gap = (np.ones(n, ds.dtype) @ ds.reshape(n, -1)).reshape(HEADS, BLOCK, WINDOW)
         g["near"] += np.stack([np.bincount(np.maximum(self.gap, 0).ravel(), np.where(self.gap >= 0, by_gap[h], 0).ravel(), WINDOW) for h in range(HEADS)])
-        ds *= ds.dtype.type(DIM**-0.5)
-        dx = np.zeros((n, WINDOW, QKV), x.dtype)
-        dx[:, BEFORE:, :at] = (ds @ k).transpose(0, 2, 1, 3).reshape(n, BLOCK, at)
-        dx[:, :, at : 2 * at] = (ds.transpose(0, 1, 3, 2) @ q).transpose(0, 2, 1, 3).reshape(n, WINDOW, at)
-        dx[:, :, 2 * at :] = (s.transpose(0, 1, 3, 2) @ do).transpose(0, 2, 1, 3).reshape(n, WINDOW, HEADS * VALUE)
-        dx[~there] = 0
-        return float(((np.log(total) - hit) * live).sum()), dx
+        dq, dk, dv = (np.empty((n, size, HEADS, d), z.dtype) for size, d in ((BLOCK, DIM), (WINDOW, DIM), (WINDOW, VALUE)))
+        np.matmul(ds, k, out=dq.transpose(0, 2, 1, 3))
+        dq *= dq.dtype.type(DIM**-0.5)
+        np.matmul(ds.transpose(0, 1, 3, 2), q, out=dk.transpose(0, 2, 1, 3))
+        np.matmul(s.transpose(0, 1, 3, 2), do, out=dv.transpose(0, 2, 1, 3))
+        return float(((np.log(total) - hit) * live).sum()), dq.reshape(n, BLOCK, -1), dk.reshape(n, WINDOW, -1), dv.reshape(n, WINDOW, -1)
 
     def all_gradients(self, code: np.ndarray, counts: np.ndarray, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray, part: int = 128) -> dict[str, np.ndarray]:
         """Gradients of the mean loss over every window of some texts.
 
         ``code``: words of the texts (places in ``kind``, ``ids`` and ``bounds``); ``counts`` of words by text.
         """
-        x, tokens, texts = self.inputs(kind, ids, bounds), counts + 1, np.arange(len(counts))
-        x = np.concatenate([x, self.start[None]])
-        before, goal = np.full(len(code) + len(counts), len(kind), np.int64), np.full(len(code) + len(counts), END, np.int64)
-        at = np.arange(len(code)) + np.repeat(texts, counts)
-        before[at + 1], goal[at] = code, kind[code]
-        begin, text, number = windows(tokens)
-        before[(np.cumsum(tokens) - tokens)] = len(kind)
-        low, high = (np.cumsum(tokens) - tokens)[text], np.cumsum(tokens)[text]
+        start, tokens = len(kind), counts + 1
+        x = np.concatenate([self.inputs(kind, ids, bounds), self.start[None]])
+        where, text, later = self.laid(tokens)
+        size = BEFORE + len(text) * BLOCK
+        ends = np.cumsum(tokens) - 1
+        word = np.ones(len(where), bool)
+        word[ends] = False
+        at, goal, live = np.full(size, start, np.int64), np.full(size, END, np.int64), np.zeros(size, bool)
+        own = where[word]
+        at[own + 1], goal[own], live[where] = code, kind[code], True
+        at[where[ends - counts]] = start
         g = {name: np.zeros_like(self.p[name]) for name in ("out", "bias", "near")}
-        dx = np.zeros((len(begin), BLOCK, QKV), x.dtype)
-        for a in range(0, len(begin), part):
-            b = slice(a, a + part)
-            at = begin[b, None] + np.arange(-BEFORE, BLOCK)
-            there = (at >= low[b, None]) & (at < high[b, None])
-            _, d = self.shift(x[np.take(before, at, mode="clip")], there, np.take(goal, at[:, BEFORE:], mode="clip"), len(before), g)
-            dx[b] += d[:, BEFORE:]
-            later = np.flatnonzero(number[b] > 0)  # what stands before a block is the end of the block before
-            dx[a + later - 1, BLOCK - BEFORE :] += d[later, :BEFORE]
-        at = begin[:, None] + np.arange(BLOCK)
-        own = np.flatnonzero((at < high[:, None]).reshape(-1))
-        w = before[at.reshape(-1)[own]]
-        order = np.argsort(w.astype(np.uint16) if len(x) <= 1 << 16 else w, kind="stable")
-        first = np.searchsorted(w[order], np.arange(len(x) + 1))
-        by_word = gathered(dx.reshape(-1, QKV), own[order], first)
-        g["classes"] = added(np.append(kind, CLASSES), by_word, CLASSES + 1)
+        dx, a1, a2 = np.zeros((size, QKV), x.dtype), HEADS * DIM, 2 * HEADS * DIM
+        for a in range(0, len(text), part):
+            z = min(a + part, len(text))
+            new = slice(BEFORE + a * BLOCK, BEFORE + z * BLOCK)
+            _, dq, dk, dv = self.shift(*self.views(x[at[a * BLOCK : new.stop]]), later[a:z], live[new], goal[new], len(where), g)
+            d = dx[new].reshape(z - a, BLOCK, QKV)
+            d[..., :a1], d[..., a1:a2], d[..., a2:] = dq, dk[:, BEFORE:], dv[:, BEFORE:]
+            d = dx[a * BLOCK : z * BLOCK].reshape(z - a, BLOCK, QKV)[:, :BEFORE]  # what stands before a block is the end of the block before
+            d[..., a1:a2] += dk[:, :BEFORE]
+            d[..., a2:] += dv[:, :BEFORE]
+        w = at[where]
+        first = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(x)))])
+        by_word = gathered(dx, where[np.argsort(w.astype(np.uint16) if len(x) <= 1 << 16 else w, kind="stable")], first)
+        cls = np.append(kind, CLASSES)
+        g["classes"] = gathered(by_word, np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES + 1))]))
         row, n = self.row[ids], len(self.p["ids"])
         order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
         g["ids"] = gathered(by_word, np.repeat(np.arange(len(kind)), np.diff(bounds))[order], np.searchsorted(row[order], np.arange(n + 1)))
@@ -562,22 +638,24 @@ class Model:
         self.lexicon, self.speller, self.shares, self.attention = lexicon, speller, shares, attention
 
     #: Class, count among the shipped words (-1: not among them), log10 of the share without a count, log10 share, attention's input.
-    ROW = np.dtype([("kind", np.int32), ("count", np.int64), ("open", np.float64), ("share", np.float64), ("x", np.float16, (QKV,))])
-
-    def words(self, vocabulary: bytes, counts: dict[bytes, int]):
-        """For a memo: one ROW for each of some distinct words; the empty string stands for a text's start."""
-
-        def make(strings: list[bytes]) -> np.ndarray:
-            ids, bounds = spelled([s or b"." for s in strings], vocabulary)
-            out = np.zeros(len(strings), self.ROW)
-            if len(strings):
+    ROW = np.dtype([("kind", np.int32), ("count", np.int64), ("open", np.float64), ("share", np.float64), ("x", np.float32, (QKV,))])
+
+    def words(self, vocabulary: bytes, counts: Counts | dict[bytes, int]):
+        """Gives one ROW for each of some distinct words; the empty string stands for a text's start."""
+        counts = counts if isinstance(counts, Counts) else Counts(pa.table({"word": pa.array(list(counts), pa.binary()), "n": np.array(list(counts.values()), np.int64)}))
+
+        def make(found: list[bytes] | pa.Array) -> np.ndarray:
+            found = pa.array(found, pa.large_binary())
+            start = np.flatnonzero(np.diff(stored(found)[1]) == 0)
+            ids, bounds = spelled(pc.if_else(pc.equal(found, b""), b".", found) if len(start) else found, vocabulary)
+            out = np.zeros(len(found), self.ROW)
+            if len(found):
                 out["kind"] = kind = self.lexicon.kinds(ids, bounds)
-                out["count"] = np.fromiter((counts.get(s, -1) for s in strings), np.int64, len(strings))
+                out["count"] = counts.find(found)
                 out["open"] = self.shares.open(kind, self.speller.logs(kind, ids, bounds))
                 out["share"] = self.shares.logs(kind, np.maximum(out["count"], 0), out["open"])
                 out["x"] = self.attention.inputs(kind, ids, bounds)
-                if b"" in strings:
-                    out["x"][strings.index(b"")] = self.attention.start
+                out["x"][start] = self.attention.start
             return out
 
         return make
@@ -603,33 +681,56 @@ def batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
 
 
-def count(train: DataFrame) -> DataFrame:
-    """(word, n): counts of all words of ``train``, by their bytes."""
+#: Expected numbers of words in topics are counted in units of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 16
+#: Begins the keys of topics among those of words, which hold no blank.
+BLANK = b" "
 
-    def run(batches):
-        held, known = 0, {}
 
-        def passed():
-            for keys in np.array_split(np.arange(len(known)), max(1, len(known) // 100_000)):
-                some = [words[i] for i in keys.tolist()]
-                yield batch(["word", "n"], pa.array(some, pa.binary()), np.array([known[k] for k in some], np.int64))
+def count(train: DataFrame, lexicon, shipped) -> DataFrame:
+    """(word, n): counts of all words of ``train``, by their bytes, and a round of EM over all its texts, from ``lexicon``.
 
+    For the latter a text is cut into blocks as for scoring; the words of a block and half a block before tell its topic. How often
+    (in units of 1 / UNIT) a subword id is expected in a topic is the ``n`` of a key that begins with BLANK, the topic and the id behind it.
+    """
+    half = BLOCK // 2
+
+    def run(batches):
+        known, n = lexicon.value, np.zeros((TOPICS, VOCABULARY), np.int64)
         for b in batches:
-            for _, _, data, off in K.slices(b.column(0)):
-                w = K.Words(data, off, lower=True)
-                code, found = K.distinct(w.data, w.starts, w.ends)
-                for k, n in zip(found.to_pylist(), np.bincount(code, minlength=len(found)).tolist()):
-                    if k in known:
-                        known[k] += n
-                    else:
-                        known[k] = n
-                        held += len(k) + 150
-                if held > HELD:
-                    words = list(known)
-                    yield from passed()
-                    held, known = 0, {}
-        words = list(known)
-        yield from passed()
+            for *_, w, at, found in parts(b.column(0)):
+                if not len(at):
+                    continue
+                times = np.bincount(at, minlength=len(found))
+                yield batch(["word", "n"], found.cast(pa.binary()), times)
+                ids, bounds = spelled(found, shipped.value)
+                row = gathered(known.theta, known.row[ids], bounds)
+                halves = -(-w.counts // half)
+                text = np.repeat(np.arange(len(halves)), halves)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(halves) - halves, halves)
+                begin = w.bounds[:-1][text] + half * number
+                size = np.diff(np.append(begin, len(at)))
+                score = gathered(row, at, np.append(begin, len(at)))
+                even = np.flatnonzero(number % 2 == 0)  # first half of each block
+                block = np.cumsum(number % 2 == 0) - 1
+                z = score[even]
+                odd = np.flatnonzero(number % 2)
+                z[block[odd]] += score[odd]
+                later = np.flatnonzero(number[even] > 0)
+                z[later] += score[even[later] - 1]
+                z = np.exp(z - z.max(1, keepdims=True))
+                z = np.rint(z * (UNIT / z.sum(1, keepdims=True)))
+                weight = z[block].astype(np.float64)
+                weight[even[later] - 1] += z[later]
+                by_word = gathered(weight, np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(at.astype(np.int32))], np.concatenate([[0], np.cumsum(times)]))
+                some, place = np.unique(ids, return_inverse=True)
+                by_word = np.repeat(by_word, np.diff(bounds), axis=0)
+                for t in range(TOPICS):
+                    n[t, some] += np.bincount(place, by_word[:, t], len(some)).astype(np.int64)
+        topic, ids = np.nonzero(n)
+        key = np.zeros((len(ids), 4), np.uint8)
+        key[:, 0], key[:, 1], key[:, 2], key[:, 3] = BLANK[0], topic, ids >> 8, ids & 255
+        yield batch(["word", "n"], pa.array([k.tobytes() for k in key], pa.binary()), n[topic, ids])
 
     return rows(train.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -680,7 +781,7 @@ def statistics(words: DataFrame, lexicon, shipped) -> tuple[Speller, Shares]:
     def run(batches):
         for b in batches:
             n = b.column(1).to_numpy()
-            ids, bounds = spelled(b.column(0).to_pylist(), shipped.value)
+            ids, bounds = spelled(b.column(0), shipped.value)
             kind = lexicon.value.kinds(ids, bounds)
             key, times = np.unique(transitions(kind, ids, bounds), return_counts=True)
             t, n = kind[kind >= SINGLE] - SINGLE, n[kind >= SINGLE]
@@ -695,81 +796,22 @@ def statistics(words: DataFrame, lexicon, shipped) -> tuple[Speller, Shares]:
     return Speller(key[order], times[order]), shares
 
 
-#: Expected numbers of words in topics are counted in units of 1 / UNIT, so that sums do not depend on their order.
-UNIT = 1 << 16
-
+def topics(seen: DataFrame, words: DataFrame, lexicon: Lexicon, shipped) -> Lexicon:
+    """The lexicon that a round of EM from ``lexicon`` gives, by what ``count`` found; the commonest words from all counts.
 
-def topics(train: DataFrame, words: DataFrame, lexicon: Lexicon, shipped) -> Lexicon:
-    """A round of EM over the words of every training text, from ``lexicon``; the commonest words from all counts.
-
-    A text is cut into blocks as for scoring; the words of a block and half a block before tell its topic. To the driver come
-    one row for each subword id.
+    To the driver come up to TOPICS rows for each subword id.
     """
-    sent = train.sparkSession.sparkContext.broadcast(lexicon)
-    half = BLOCK // 2
-
-    def run(batches):
-        lexicon, made = sent.value, []
-
-        def make(strings: list[bytes]) -> np.ndarray:
-            ids, bounds = spelled(strings, shipped.value)
-            made.append((ids, np.diff(bounds)))
-            return gathered(lexicon.theta, lexicon.row[ids], bounds)
-
-        memo, part, n = K.Memo(make, 96 << 20), np.zeros((0, TOPICS)), np.zeros((VOCABULARY, TOPICS), np.int64)
-
-        def spread():
-            if made:
-                ids, size = (np.concatenate(x) for x in zip(*made))
-                some = np.flatnonzero(np.bincount(ids, minlength=VOCABULARY))
-                for t in range(TOPICS):
-                    n[some, t] += np.bincount(ids, np.repeat(part[: len(size), t], size), VOCABULARY)[some].astype(np.int64)
-                made.clear()
-
-        for b in batches:
-            for _, _, data, off in K.slices(b.column(0)):
-                w = K.Words(data, off, lower=True)
-                if not len(w.starts):
-                    continue
-                if memo.held > memo.budget:
-                    spread()
-                    memo.fresh()
-                    part[:] = 0
-                at, row = memo(w.data, w.starts, w.ends)
-                if len(part) < len(row):
-                    part = np.concatenate([part, np.zeros((len(row) - len(part), TOPICS))])
-                halves = -(-w.counts // half)
-                text = np.repeat(np.arange(len(halves)), halves)
-                number = np.arange(len(text)) - np.repeat(np.cumsum(halves) - halves, halves)
-                begin = w.bounds[:-1][text] + half * number
-                size = np.diff(np.append(begin, len(at)))
-                score = gathered(row, at, np.append(begin, len(at)))
-                even = np.flatnonzero(number % 2 == 0)  # first half of each block
-                block = np.cumsum(number % 2 == 0) - 1
-                z = score[even]
-                odd = np.flatnonzero(number % 2)
-                z[block[odd]] += score[odd]
-                later = np.flatnonzero(number[even] > 0)
-                z[later] += score[even[later] - 1]
-                z = np.exp(z - z.max(1, keepdims=True))
-                z = np.rint(z * (UNIT / z.sum(1, keepdims=True)))
-                weight = z[block]
-                weight[even[later] - 1] += z[later]
-                for t in range(TOPICS):
-                    part[:, t] += np.bincount(at, np.repeat(weight[:, t], size), len(part))
-        spread()
-        ids = np.flatnonzero(n.any(1))
-        yield batch(["id", *TOPIC], ids.astype(np.int32), *(np.ascontiguousarray(n[ids, t]) for t in range(TOPICS)))
-
-    got = rows(train.select("text"), run, "id int, " + ", ".join(f"{t} long" for t in TOPIC)).groupBy("id").agg(*(F.sum(t).alias(t) for t in TOPIC)).orderBy("id").toArrow()
-    n = np.stack([got[t].to_numpy() for t in TOPIC], axis=1) / UNIT
+    got = seen.where(F.startswith("word", F.lit(BLANK))).toArrow()
+    key, n = np.frombuffer(b"".join(got["word"].to_pylist()), np.uint8).reshape(-1, 4).astype(np.int64), got["n"].to_numpy() / UNIT
+    ids, place = np.unique(key[:, 2] * 256 + key[:, 3], return_inverse=True)
+    by_id = np.zeros((len(ids), TOPICS))
+    by_id[place, key[:, 1]] = n
     common = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(SINGLE).collect()]
-    ids, bounds = spelled(common, shipped.value)
-    single = [tuple(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
-    return lexicon.learned(single, got["id"].to_numpy(), n)
+    spelling, bounds = spelled(common, shipped.value)
+    single = [tuple(spelling[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    return lexicon.learned(single, ids, by_id)
 
 
-TOPIC = [f"t{t}" for t in range(TOPICS)]
 #: Rate at which tasks go on training; a task takes one step for each slice of its texts.
 RATE = 0.003
 
@@ -800,21 +842,21 @@ def whole(train: DataFrame, lexicon, shipped) -> Callable[[Attention], None]:
             a, known, adam = copy(sent.value), lexicon.value, Adam()
             a.p = {k: v.copy() for k, v in a.p.items()}
             begin = {k: v.copy() for k, v in a.p.items()}
-            met, tokens, spelling = np.zeros(len(a.p["ids"]), np.int64), 0, Spelling(shipped.value, 96 << 20)
+            met, tokens = np.zeros(len(a.p["ids"]), np.int64), 0
             for b in batches:
-                for i, j, data, off in K.slices(b.column(0)):
-                    w = K.Words(data, off, lower=True)
-                    code, times, ids, size = np.zeros(0, np.int64), *np.zeros((3, 0), np.int64)
-                    if len(w.starts):
-                        at, row = spelling(w.data, w.starts, w.ends)
-                        times = np.bincount(at, minlength=len(row))
+                for *_, cuts, w, code, found in parts(b.column(0)):
+                    ids, bounds = spelled(found, shipped.value)
+                    kind, size = known.kinds(ids, bounds), np.diff(bounds)
+                    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        own = code[w.bounds[i] : w.bounds[j]]
+                        times = np.bincount(own, minlength=len(size))
                         here = np.flatnonzero(times)
-                        code, times = (np.cumsum(times > 0) - 1)[at], times[here]
-                        ids, size = spelling.expand(here, row)
-                    bounds = np.concatenate([[0], np.cumsum(size)])
-                    adam.step(a.p, a.all_gradients(code, w.counts, known.kinds(ids, bounds), ids, bounds), RATE)
-                    met += np.bincount(a.row[ids], np.repeat(times, size), len(met)).astype(np.int64)
-                    tokens += len(code) + j - i
+                        long = size[here]
+                        edges = np.concatenate([[0], np.cumsum(long)])
+                        some = ids[np.repeat(bounds[here] - edges[:-1], long) + np.arange(edges[-1])]
+                        adam.step(a.p, a.all_gradients((np.cumsum(times > 0) - 1)[own], w.counts[i:j], kind[here], some, edges), RATE)
+                        met += np.bincount(a.row[some], np.repeat(times[here], long), len(met)).astype(np.int64)
+                        tokens += len(own) + j - i
             if tokens:
                 at = np.flatnonzero(met)
                 moved = np.concatenate([(packed(a.p) - packed(begin)) * tokens, (a.p["ids"][at] - begin["ids"][at]) * met[at, None].astype(np.float64)]).astype(np.float32)
@@ -845,11 +887,17 @@ def whole(train: DataFrame, lexicon, shipped) -> Callable[[Attention], None]:
     return go
 
 
-def fit(train: DataFrame, words: DataFrame, ends: int, shipped, sample: int = SAMPLE) -> Model:
-    spark = train.sparkSession
+def begin(train: DataFrame, ends: int, shipped, sample: int = SAMPLE) -> tuple[Sample, Lexicon, DataFrame]:
+    """Where training begins: windows, the lexicon from them, and what ``count`` finds with it in every training text."""
     windows_ = sampled(train, ends, shipped, sample)
-    lexicon = topics(train, words, Lexicon(windows_), shipped)
-    sent = spark.sparkContext.broadcast(lexicon)
+    lexicon = Lexicon(windows_)
+    return windows_, lexicon, saved(count(train, train.sparkSession.sparkContext.broadcast(lexicon), shipped))
+
+
+def fit(train: DataFrame, words: DataFrame, ends: int, shipped, sample: int = SAMPLE, begun: tuple[Sample, Lexicon, DataFrame] | None = None) -> Model:
+    windows_, lexicon, seen = begun or begin(train, ends, shipped, sample)
+    lexicon = topics(seen, words, lexicon, shipped)
+    sent = train.sparkSession.sparkContext.broadcast(lexicon)
     speller, shares = statistics(words, sent, shipped)
     speller.measure(lexicon, shipped.value)
     kind = lexicon.kinds(windows_.ids, windows_.bounds)
@@ -859,13 +907,15 @@ def fit(train: DataFrame, words: DataFrame, ends: int, shipped, sample: int = SA
 
 
 class Counts:
-    """The shipped words with their counts; a task makes the dict once for all its batches."""
+    """The shipped words with their counts."""
 
     def __init__(self, words: pa.Table):
-        self.words, self.n = words["word"].combine_chunks(), words["n"].to_numpy()
+        self.words, self.n = pa.array(words["word"].combine_chunks(), pa.large_binary()), words["n"].to_numpy()
 
-    def found(self) -> dict[bytes, int]:
-        return dict(zip(self.words.to_pylist(), self.n.tolist()))
+    def find(self, found: pa.Array) -> np.ndarray:
+        """Count of each word, -1 if it is not among them."""
+        at = pc.index_in(found, self.words)
+        return np.append(self.n, -1)[at.fill_null(len(self.n)).to_numpy()]
 
 
 RARE = "array<struct<word:binary,times:int,open:double,less:double>>"
@@ -880,7 +930,9 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
     train = docs.where(~F.col("held_out"))
     shipped = spark.sparkContext.broadcast(bpe.read(path))
     ends = train.count()
-    words = saved(count(train))
+    begun = begin(train, ends, shipped, sample)
+    seen = begun[-1]
+    words = seen.where(~F.startswith("word", F.lit(BLANK)))
     # words by the size of their count, a few hundred rows at most
     size = F.floor(4 * F.log2("n")).cast("int")
     sizes = sorted(((r.b, r.v, r.n) for r in words.groupBy(size.alias("b")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
@@ -891,7 +943,7 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
             break
         room -= v
     distinct, total = sum(v for _, v, _ in sizes) + (1 if ends else 0), sum(n for *_, n in sizes) + ends
-    model = fit(train, words, ends, shipped, sample)
+    model = fit(train, words, ends, shipped, sample, begun)
     # at most TOP words; the long ones (seldom frequent) stay in the join
     top = words.where((size >= least) & (F.octet_length("word") <= 64)).select("word", "n").toArrow()
     whole = top.num_rows == distinct - (1 if ends else 0)
@@ -900,26 +952,25 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
 
     def run(batches):
         model, counts = pack.value
-        memo = K.Memo(model.words(shipped.value, counts.found()), 128 << 20)
-        less = model.shares.discount
+        make, less = model.words(shipped.value, counts), model.shares.discount
         for b in batches:
-            for a, z, data, off in K.slices(b.column(2)):
-                w = K.Words(data, off, lower=True)
-                start, at, row = model.look_up(memo, w)
-                n = np.maximum(row["count"][at], 0)
-                hit = n > 0
-                known, part = w.sums(hit.astype(np.int64)), w.sums(np.log10(n + 1.0))
+            for a, z, _, w, at, found in parts(b.column(2)):
+                start = len(found)
+                found = pa.concat_arrays([found, pa.array([b""], pa.large_binary())])
+                row = make(found)
+                n = np.maximum(row["count"], 0)
+                hit = (n > 0)[at]
+                known, part = w.sums(hit.astype(np.int64)), w.sums(np.log10(n + 1.0)[at])
                 s = model.score(w, start, at, row)
                 bounds = np.zeros(z - a + 1, np.int32)
                 flat_ = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
                 if not whole and len(at):
                     miss = np.flatnonzero(~hit)
-                    pair, first, times = np.unique(w.docs()[miss] * (len(row) + 1) + at[miss], return_index=True, return_counts=True)
-                    miss, kept = miss[first], at[miss[first]]
-                    bounds = np.searchsorted(pair // (len(row) + 1), np.arange(z - a + 1)).astype(np.int32)
-                    raw = w.data.tobytes()
+                    pair, times = np.unique(w.docs()[miss] * len(row) + at[miss], return_counts=True)
+                    kept = pair % len(row)
+                    bounds = np.searchsorted(pair // len(row), np.arange(z - a + 1)).astype(np.int32)
                     kind = row["kind"][kept]
-                    flat_ = pa.array([raw[i:j] for i, j in zip(w.starts[miss].tolist(), w.ends[miss].tolist())], pa.binary()), times.astype(np.int32), row["open"][kept], np.where(kind < SINGLE, -1.0, less[np.maximum(kind - SINGLE, 0)])
+                    flat_ = found.take(pa.array(kept)).cast(pa.binary()), times.astype(np.int32), row["open"][kept], np.where(kind < SINGLE, -1.0, less[np.maximum(kind - SINGLE, 0)])
                 rare = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in flat_], ["word", "times", "open", "less"]))
                 yield batch(_NAMES, b.column(0).slice(a, z - a).cast(pa.int64()), b.column(1).slice(a, z - a), w.counts.astype(np.int64), known, part, s, rare)
 
@@ -935,7 +986,7 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
         scored = scored.drop("rare").join(seen, "at", "left")
         extra_known, extra_part, extra = F.coalesce("more", F.lit(0)), F.coalesce("add", F.lit(0.0)), F.coalesce("raise", F.lit(0.0))
     else:
-        forget(words)
+        forget(seen)
     n_tokens = F.col("n_words") + 1
     end = float(np.log10(ends + 1.0))
     return scored.select("doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known") + extra_known + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("part") + extra_part + F.lit(end) - n_tokens * F.lit(base)).alias("base_score"), (F.col("score") + extra).alias("score"))

@@ -333,6 +333,68 @@ def test_op3_rare_words_meet_their_counts(spark, docs, monkeypatch):
         assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-6) and r.base_score == pytest.approx(whole[r.doc_id].base_score)
 
 
+def test_op3_class_of_a_word_depends_on_its_ids_alone(lm):
+    """Neither the integers' width nor the words beside it decide the class; training on all windows once met other classes than scoring."""
+    m, counts, vocabulary, _ = lm
+    ids, bounds = op3_lm.spelled(["don't".encode(), "cat's".encode(), *counts, b"x1" * 300], vocabulary)
+    single = [tuple(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:]) if b - a in (2, 3)][: op3_lm.SINGLE - 1]
+    lexicon = m.lexicon.learned(single, np.arange(50), np.ones((50, op3_lm.TOPICS)))
+    kind = lexicon.kinds(ids, bounds)
+    assert (kind[np.diff(bounds) > 1] < op3_lm.SINGLE).sum() >= len(single) > 3
+    assert (lexicon.kinds(ids.astype(np.int32), bounds) == kind).all()
+    table = np.random.default_rng(0).normal(size=(1000, 16)).astype(np.float32)
+    row, bounds = np.arange(90_000) * 7 % 1000, np.arange(0, 90_001, 300)
+    every = op3_lm.gathered(table, row, bounds)
+    assert (op3_lm.gathered(table, row[:300], bounds[:2]) == every[:1]).all()
+
+
+def test_op3_reads_training_texts_three_times(spark, docs, monkeypatch):
+    """Once for the sample, once for counts and topics, once to train; and all texts once to score them."""
+    texts, rows = [], op3_lm.rows
+    monkeypatch.setattr(op3_lm, "rows", lambda df, *x: texts.append("text" in df.columns) or rows(df, *x))
+    op3_lm.lm_scores(docs)
+    assert sum(texts) == 4
+
+
+def test_op3_counts_and_topics_against_a_plain_loop(spark, lm):
+    m, _, vocabulary, held = lm
+    texts = [*held[:20], "", "The cat\u00a0sat on THE mat", None, "a " * 100]
+    want, ids = Counter(w.encode() for t in texts for w in WORD.findall((t or "").translate(UPPER))), Counter()
+    for t in texts:
+        words = [op3_lm.spelled([w.encode()], vocabulary)[0] for w in WORD.findall((t or "").translate(UPPER))]
+        for k in range(0, len(words), op3_lm.BLOCK):
+            near = words[max(0, k - op3_lm.BLOCK // 2) : k + op3_lm.BLOCK]
+            z = sum(m.lexicon.theta[m.lexicon.row[w]].astype(float).sum(0) for w in near)
+            z = np.exp(z - z.max())
+            for w in near:
+                for i in w.tolist():
+                    ids[i] += z / z.sum()
+    train = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    sent, shipped = spark.sparkContext.broadcast(m.lexicon), spark.sparkContext.broadcast(vocabulary)
+    got = {bytes(r.word): r.n for r in op3_lm.count(train, sent, shipped).collect()}
+    assert {w: n for w, n in got.items() if w[:1] != op3_lm.BLANK} == want
+    by_id = Counter()
+    for w, n in got.items():
+        if w[:1] == op3_lm.BLANK:
+            by_id[w[2] * 256 + w[3]] += n / op3_lm.UNIT * np.eye(op3_lm.TOPICS)[w[1]]
+    assert set(by_id) == set(ids) and all(np.allclose(by_id[i], ids[i], atol=1e-2 * ids[i].sum()) for i in ids)
+
+
+def test_op3_slices_share_words_or_not(monkeypatch):
+    """The same words and slices either way."""
+    texts = ["The cat sat", None, "", "a " * 50, "on the mat"] * 40
+    cut = K.slices
+    monkeypatch.setattr(K, "slices", lambda col, limit=200: cut(col, limit))
+    want = [(a, z) for a, z, *_ in K.slices(pa.array(texts))]
+    for many in (op3_lm.MANY, 1):
+        monkeypatch.setattr(op3_lm, "MANY", many)
+        parts = list(op3_lm.parts(pa.array(texts).slice(0)))
+        assert [(a + i, a + j) for a, _, cuts, *_ in parts for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())] == want
+        assert len(parts) == (len(want) if many == 1 else -(-len(want) // op3_lm.WIDE))
+        words = [[found[c].as_py() for c in code[w.bounds[i] : w.bounds[i + 1]].tolist()] for a, z, _, w, code, found in parts for i in range(z - a)]
+        assert words == [(t or "").lower().encode().split() for t in texts]
+
+
 def test_op5_edits_match_recounting():
     counter = op5_tokens.Counter(bpe.read())
     rng = np.random.default_rng(1)
