@@ -63,7 +63,7 @@ SAMPLE, EVERY, STRIDE = 2400, 100, 8
 MARK, LONGEST = 0xFFFF, 4096
 TOP = 1 << 18
 #: Slices whose distinct words are taken together, and how many distinct words these may be.
-WIDE, MANY = 8, 300_000
+WIDE, MANY = 4, 200_000
 #: Spellings drawn for each topic.
 DRAWN = 6000
 DISCOUNT = 0.5
@@ -103,6 +103,10 @@ def stored(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[off[0] : off[-1]], off - off[0]
 
 
+def edges(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
 def parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, K.Words, np.ndarray, pa.Array]]:
     """(first row, row after the last, bounds of its slices in rows, words, code of each word, the distinct words) of consecutive rows.
 
@@ -244,25 +248,27 @@ class Lexicon:
 
 
 def gathered(table: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of rows of ``table`` over consecutive ranges, the first of all ranges, then the second..."""
+    """Sums of rows of ``table`` over consecutive ranges, the first of all ranges, then the second..., some ranges of like length at a time."""
     size = np.diff(bounds)
-    order = np.argsort(-size, kind="stable")
-    out, n, j = np.zeros((len(size), table.shape[1]), table.dtype), len(size), 0
-    begin = bounds[:-1][order]
-    falling = -size[order]
-    while True:
-        n = int(np.searchsorted(falling, -j, "left"))  # ranges of more than j
-        if not n:
-            break
-        if n < 64 or n < 1024 and j >= 64:  # few long ones are left
-            for i in range(n):  # one after another as below, so that a sum does not depend on the other ranges
-                out[i] = np.concatenate([out[i : i + 1], table[row[begin[i] + j : begin[i] - falling[i]]]]).sum(0)
-            break
-        out[:n] += table[row[begin[:n] + j]]
-        j += 1
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    out, many = np.zeros((len(size), table.shape[1]), table.dtype), int(np.count_nonzero(size))
+    order = np.argsort(65535 - size.astype(np.uint16) if len(size) and size.max() < 1 << 16 else -size, kind="stable")
+    step = max(512, (1 << 18) // table.shape[1])
+    for a in range(0, many, step):
+        some = order[a : min(a + step, many)]
+        begin, falling = bounds[some], -size[some]
+        part, n, j = table[row[begin]], len(some), 0
+        while True:
+            j += 1
+            n = int(np.searchsorted(falling[:n], -j, "left"))  # ranges of more than j
+            if not n:
+                break
+            if n < 64 or n < 1024 and j >= 64:  # few long ones are left
+                for i in range(n):  # one after another as below, so that a sum does not depend on the other ranges
+                    part[i] = np.concatenate([part[i : i + 1], table[row[begin[i] + j : begin[i] - falling[i]]]]).sum(0)
+                break
+            part[:n] += table[row[begin[:n] + j]]
+        out[some] = part
+    return out
 
 
 def transitions(kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -446,7 +452,7 @@ class Attention:
         n = (len(x) - BEFORE) // BLOCK
         return x[BEFORE:].reshape(n, BLOCK, -1), np.lib.stride_tricks.as_strided(x, (n, WINDOW, x.shape[1]), (BLOCK * x.strides[0], *x.strides))
 
-    def logs(self, x: np.ndarray, before: np.ndarray, kind: np.ndarray, counts: np.ndarray, batch: int = 128) -> np.ndarray:
+    def logs(self, x: np.ndarray, before: np.ndarray, kind: np.ndarray, counts: np.ndarray, batch: int = 256) -> np.ndarray:
         """Sum of log10 class probabilities by text.
 
         ``x``: inputs of words; by token (the end last in its text) ``before``, the place of its input in ``x``, and ``kind``; ``counts`` of tokens.
@@ -488,7 +494,7 @@ class Attention:
         x[real:] += gathered(p["ids"], row, bounds)
         many = max(1, int(there[:, BEFORE:].sum()))
         by_word, loss = np.zeros_like(x), 0.0
-        g = {name: np.zeros_like(p[name]) for name in ("out", "bias", "near")}
+        g = self.zeros()
         for a in range(0, len(words), part):
             w = place[words[a : a + part, :-1] + 1]
             y, dx = x[w], np.zeros((len(w), WINDOW, QKV), x.dtype)
@@ -497,10 +503,18 @@ class Attention:
             dx[:, BEFORE:, : HEADS * DIM], dx[:, :, HEADS * DIM : 2 * HEADS * DIM], dx[:, :, 2 * HEADS * DIM :] = d
             loss += lost
             by_word += added(w.reshape(-1), dx.reshape(-1, QKV), len(x))
+        g["near"] = self.by_gap(g.pop("gap"))
         g["classes"] = added(cls, by_word, CLASSES + 1)
         g["ids"] = added(row, np.repeat(by_word[real:], long, axis=0), len(p["ids"]))
         return loss / many, g
 
+    def zeros(self) -> dict[str, np.ndarray]:
+        """Where ``shift`` adds; "gap" becomes "near" in the end (``by_gap``)."""
+        return {name: np.zeros_like(self.p[name]) for name in ("out", "bias")} | {"gap": np.zeros((HEADS, *self.gap.shape), self.p["near"].dtype)}
+
+    def by_gap(self, ds: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(np.maximum(self.gap, 0).ravel(), np.where(self.gap >= 0, d, 0).ravel(), WINDOW) for d in ds])
+
     def shift(self, now: np.ndarray, every: np.ndarray, front: np.ndarray, live: np.ndarray, goal: np.ndarray, many: int, g: dict[str, np.ndarray]):
         """Sum of the losses of windows (as in ``attend``) and its gradients by queries, keys and values; those of the other parameters are added to ``g``.
 
@@ -527,8 +541,7 @@ class Attention:
         ds = do @ v.transpose(0, 1, 3, 2)
         ds -= own
         ds *= s
-        by_gap = (np.ones(n, ds.dtype) @ ds.reshape(n, -1)).reshape(HEADS, BLOCK, WINDOW)
-        g["near"] += np.stack([np.bincount(np.maximum(self.gap, 0).ravel(), np.where(self.gap >= 0, by_gap[h], 0).ravel(), WINDOW) for h in range(HEADS)])
+        g["gap"] += (np.ones(n, ds.dtype) @ ds.reshape(n, -1)).reshape(HEADS, BLOCK, WINDOW)
         dq, dk, dv = (np.empty((n, size, HEADS, d), z.dtype) for size, d in ((BLOCK, DIM), (WINDOW, DIM), (WINDOW, VALUE)))
         np.matmul(ds, k, out=dq.transpose(0, 2, 1, 3))
         dq *= dq.dtype.type(DIM**-0.5)
@@ -536,7 +549,7 @@ class Attention:
         np.matmul(s.transpose(0, 1, 3, 2), do, out=dv.transpose(0, 2, 1, 3))
         return float(((np.log(total) - hit) * live).sum()), dq.reshape(n, BLOCK, -1), dk.reshape(n, WINDOW, -1), dv.reshape(n, WINDOW, -1)
 
-    def all_gradients(self, code: np.ndarray, counts: np.ndarray, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray, part: int = 128) -> dict[str, np.ndarray]:
+    def all_gradients(self, code: np.ndarray, counts: np.ndarray, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray, part: int = 256) -> dict[str, np.ndarray]:
         """Gradients of the mean loss over every window of some texts.
 
         ``code``: words of the texts (places in ``kind``, ``ids`` and ``bounds``); ``counts`` of words by text.
@@ -552,8 +565,9 @@ class Attention:
         own = where[word]
         at[own + 1], goal[own], live[where] = code, kind[code], True
         at[where[ends - counts]] = start
-        g = {name: np.zeros_like(self.p[name]) for name in ("out", "bias", "near")}
-        dx, a1, a2 = np.zeros((size, QKV), x.dtype), HEADS * DIM, 2 * HEADS * DIM
+        g = self.zeros()
+        dx, a1, a2 = np.empty((size, QKV), x.dtype), HEADS * DIM, 2 * HEADS * DIM
+        dx[:BEFORE] = 0
         for a in range(0, len(text), part):
             z = min(a + part, len(text))
             new = slice(BEFORE + a * BLOCK, BEFORE + z * BLOCK)
@@ -566,7 +580,7 @@ class Attention:
         w = at[where]
         first = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(x)))])
         by_word = gathered(dx, where[np.argsort(w.astype(np.uint16) if len(x) <= 1 << 16 else w, kind="stable")], first)
-        cls = np.append(kind, CLASSES)
+        g["near"], cls = self.by_gap(g.pop("gap")), np.append(kind, CLASSES)
         g["classes"] = gathered(by_word, np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES + 1))]))
         row, n = self.row[ids], len(self.p["ids"])
         order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
@@ -644,22 +658,28 @@ class Model:
         """Gives one ROW for each of some distinct words; the empty string stands for a text's start."""
         counts = counts if isinstance(counts, Counts) else Counts(pa.table({"word": pa.array(list(counts), pa.binary()), "n": np.array(list(counts.values()), np.int64)}))
 
-        def make(found: list[bytes] | pa.Array) -> np.ndarray:
-            found = pa.array(found, pa.large_binary())
-            start = np.flatnonzero(np.diff(stored(found)[1]) == 0)
-            ids, bounds = spelled(pc.if_else(pc.equal(found, b""), b".", found) if len(start) else found, vocabulary)
-            out = np.zeros(len(found), self.ROW)
-            if len(found):
-                out["kind"] = kind = self.lexicon.kinds(ids, bounds)
-                out["count"] = counts.find(found)
-                out["open"] = self.shares.open(kind, self.speller.logs(kind, ids, bounds))
-                out["share"] = self.shares.logs(kind, np.maximum(out["count"], 0), out["open"])
-                out["x"] = self.attention.inputs(kind, ids, bounds)
-                out["x"][start] = self.attention.start
-            return out
+        def make(strings: list[bytes]) -> np.ndarray:
+            out = self.rows(pa.array(strings, pa.large_binary()), *spelled([x or b"." for x in strings], vocabulary), counts)
+            if b"" in strings:
+                out[strings.index(b"")] = out[-1]
+            return out[:-1]
 
         return make
 
+    def rows(self, found: pa.Array, ids: np.ndarray, bounds: np.ndarray, counts: Counts) -> np.ndarray:
+        """One ROW for each of some distinct words, spelled as ``ids`` within ``bounds``, and one for a text's start."""
+        n, step = len(found), 1 << 14
+        kind, count = self.lexicon.kinds(ids, bounds), counts.find(found)
+        opened = self.shares.open(kind, self.speller.logs(kind, ids, bounds))
+        out = np.zeros(n + 1, self.ROW)
+        out["kind"][:n], out["count"][:n], out["open"][:n] = kind, count, opened
+        out["share"][:n] = self.shares.logs(kind, np.maximum(count, 0), opened)
+        for a in range(0, n, step):  # inputs are wide
+            edge = bounds[a : min(a + step, n) + 1]
+            out["x"][a : a + len(edge) - 1] = self.attention.inputs(kind[a : a + step], ids[edge[0] : edge[-1]], edge - edge[0])
+        out["x"][n] = self.attention.start
+        return out
+
     @staticmethod
     def look_up(memo: K.Memo, w: K.Words) -> tuple[int, np.ndarray, np.ndarray]:
         """(place of a text's start, places of the words, rows)."""
@@ -724,9 +744,8 @@ def count(train: DataFrame, lexicon, shipped) -> DataFrame:
                 weight[even[later] - 1] += z[later]
                 by_word = gathered(weight, np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(at.astype(np.int32))], np.concatenate([[0], np.cumsum(times)]))
                 some, place = np.unique(ids, return_inverse=True)
-                by_word = np.repeat(by_word, np.diff(bounds), axis=0)
                 for t in range(TOPICS):
-                    n[t, some] += np.bincount(place, by_word[:, t], len(some)).astype(np.int64)
+                    n[t, some] += np.bincount(place, np.repeat(by_word[:, t], np.diff(bounds)), len(some)).astype(np.int64)
         topic, ids = np.nonzero(n)
         key = np.zeros((len(ids), 4), np.uint8)
         key[:, 0], key[:, 1], key[:, 2], key[:, 3] = BLANK[0], topic, ids >> 8, ids & 255
@@ -852,9 +871,9 @@ def whole(train: DataFrame, lexicon, shipped) -> Callable[[Attention], None]:
                         times = np.bincount(own, minlength=len(size))
                         here = np.flatnonzero(times)
                         long = size[here]
-                        edges = np.concatenate([[0], np.cumsum(long)])
-                        some = ids[np.repeat(bounds[here] - edges[:-1], long) + np.arange(edges[-1])]
-                        adam.step(a.p, a.all_gradients((np.cumsum(times > 0) - 1)[own], w.counts[i:j], kind[here], some, edges), RATE)
+                        own_bounds = edges(long)
+                        some = ids[np.repeat(bounds[here] - own_bounds[:-1], long) + np.arange(own_bounds[-1])]
+                        adam.step(a.p, a.all_gradients((np.cumsum(times > 0) - 1)[own], w.counts[i:j], kind[here], some, own_bounds), RATE)
                         met += np.bincount(a.row[some], np.repeat(times[here], long), len(met)).astype(np.int64)
                         tokens += len(own) + j - i
             if tokens:
@@ -952,12 +971,10 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
 
     def run(batches):
         model, counts = pack.value
-        make, less = model.words(shipped.value, counts), model.shares.discount
+        less = model.shares.discount
         for b in batches:
             for a, z, _, w, at, found in parts(b.column(2)):
-                start = len(found)
-                found = pa.concat_arrays([found, pa.array([b""], pa.large_binary())])
-                row = make(found)
+                start, row = len(found), model.rows(found, *spelled(found, shipped.value), counts)
                 n = np.maximum(row["count"], 0)
                 hit = (n > 0)[at]
                 known, part = w.sums(hit.astype(np.int64)), w.sums(np.log10(n + 1.0)[at])
