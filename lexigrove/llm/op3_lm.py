@@ -14,7 +14,7 @@ the end) is scored once, with masked attention over a batch of windows.
 
 *The second factor* does not look at the context. The ``SINGLE`` commonest words (of all counts) are classes of their own. The
 other classes are topics, found by EM over the subword ids of windows: rounds on the sample, then one over all training texts
-(``topics``), whose expected counts alone are the topics used; a word's topic is the likeliest for its ids. Within a topic a
+(with their counts, ``count``), whose expected counts alone are the topics used (``topics``); a word's topic is the likeliest for its ids. Within a topic a
 word's share is its count in all training documents, discounted (Pitman-Yor), and what the discount sets free goes to
 the topic's spelling model: transitions between subword ids over all distinct training words. A spelling that is no word
 of the topic is no outcome, so the spelling model is divided by the mass of those that are, which is measured on ``DRAWN``
