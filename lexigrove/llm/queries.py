@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.llm import op1_decontaminate, op2_quality, op3_lm, op4_langid, op5_tokens, op6_pieces, op7_simhash, op8_toxicity, op9_html, op10_rules
+from lexigrove.llm import op1_decontaminate, op2_quality, op3_lm, op4_langid, op5_tokens, op6_pieces, op7_simhash, op8_toxicity, op9_html, op10_rules, op11_importance, op12_alignment, op13_digest
 from lexigrove.llm.common import table
 
 
@@ -58,5 +58,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate_containment, op2_quality_classifier, op3_lm_scoring, op4_language_id, op5_token_counts, op6_sentencepiece, op7_simhash_dedup, op8_toxicity_scores, op9_html_extraction, op10_quality_rules)}
-ORACLE_SQL = {"op1_decontaminate_containment": op1_decontaminate.ORACLE_SQL}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against the benchmark texts."""
+    return op11_importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups, links and their corpus-wide counts of every document."""
+    return op12_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return op13_digest.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate_containment, op2_quality_classifier, op3_lm_scoring, op4_language_id, op5_token_counts, op6_sentencepiece, op7_simhash_dedup, op8_toxicity_scores, op9_html_extraction, op10_quality_rules, op11_importance_resampling, op12_cross_tokenizer_alignment, op13_document_fingerprints)}
+ORACLE_SQL = {"op1_decontaminate_containment": op1_decontaminate.ORACLE_SQL, "op11_importance_resampling": op11_importance.ORACLE_SQL}
