@@ -11,8 +11,9 @@ explains, by the most that could be common. Each filter of the text with fewer f
 the best counts; a text's likeness is the mean over its features. Equal texts have likeness 1, an empty and another text 0.
 
 ``edited`` makes a version of each document whose last half comes from the next one by ascending doc_id. Texts are
-range-partitioned by (doc_id, hash of the text, row number), so neither long runs of one id nor copies meet in one task, and
-each partition is read in order; its first and last text are kept with the results, and the partitions are then linked by these.
+range-partitioned by (doc_id, hash of the text, row number), so neither long runs of one id nor copies meet in one task; they are
+moved compressed. Each partition is read in order; its first and last text are kept with the results, and the partitions are
+then linked by these.
 
 Null texts are empty; a null doc_id comes first. Repeated rows are documents of their own, equal ids in the order of their
 texts' hashes. A single document is its own next one. Texts are walked in blocks, so windows of a very long text take bounded
@@ -28,6 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,6 +180,18 @@ class Prints:
         n, filters = self.of(i)
         return f"{n}:{base64.b64encode(filters.tobytes()).decode()}"
 
+    def packed(self, i: int) -> bytes:
+        """Number of features in 8 bytes, the filters."""
+        n, filters = self.of(i)
+        return n.to_bytes(8, "big") + filters.tobytes()
+
+
+def shown(packed: str) -> F.Column:
+    """What ``Prints.text`` gives, of a column of what ``Prints.packed`` gives."""
+    number = F.conv(F.hex(F.substring(F.col(packed), 1, 8)), 16, 10)
+    filters = F.expr(f"substring({packed}, 9)")
+    return F.concat(number, F.lit(":"), F.translate(F.base64(filters), "\r\n", "")).alias(packed)  # one line
+
 
 def read(fingerprint: str) -> tuple[int, np.ndarray]:
     n, filters = fingerprint.split(":")
@@ -220,9 +234,9 @@ def changed(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-_FIELDS = "part int, head string, tail string, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = "part int, head string, tail string, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
-_TYPES = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in _FIELDS.split(", ")]
+_TYPES = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[f.split()[1]] for f in _FIELDS.split(", ")]
 
 
 def batch(found: list[tuple]) -> pa.RecordBatch:
@@ -242,7 +256,7 @@ def results(pairs: list[tuple[int, str, str]], rank: np.ndarray) -> list[tuple]:
         after = min(i + 1, n) if same else n + i
         after = after if same and after < n else (2 * n if same else 2 * n + i)
         me, ed = made.of(i), made.of(n + i)
-        out.append((None, None, None, doc, len(t), hashlib.sha256(edits[i]).hexdigest(), made.text(i), made.text(n + i), likeness(me, ed), likeness(me, made.of(after))))
+        out.append((None, None, None, doc, len(t), hashlib.sha256(edits[i]).hexdigest(), made.packed(i), made.packed(n + i), likeness(me, ed), likeness(me, made.of(after))))
     return out
 
 
@@ -252,11 +266,16 @@ def digests(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rank = ranks(level_counts(own))
 
+    def pack(batches):
+        small = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([small(t.as_py().encode()) for t in b.column(3)], pa.binary())], ["doc_id", "h", "row", "text"])
+
     def walk(batches):
-        part, wait, held, first = TaskContext.get().partitionId(), [], 0, True
+        part, wait, held, first, whole = TaskContext.get().partitionId(), [], 0, True, zstandard.ZstdDecompressor().decompress
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
+                text = whole(text.as_py()).decode()
                 if first:
                     yield batch([(part, text, None, *[None] * 7)])
                     first = False
@@ -271,7 +290,8 @@ def digests(docs: DataFrame) -> DataFrame:
             yield batch([(part, None, wait[-1][1], wait[-1][0], *[None] * 6)])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
-    put = own.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    put = own.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
+    put = rows(put, pack, "doc_id long, h long, row long, text binary").repartitionByRange(*order).sortWithinPartitions(*order)
     done = saved(rows(put.select("doc_id", "text"), walk, _FIELDS))
     # one first and one last text a partition; only the partitions' numbers come to the driver
     heads = done.where(F.col("head").isNotNull()).select(F.col("part").alias("after"), "head")
@@ -284,7 +304,7 @@ def digests(docs: DataFrame) -> DataFrame:
             for doc, text, after in zip(*(b.column(i).to_pylist() for i in range(3))):
                 yield batch(results([(doc, text, after)], rank))
 
-    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    out = ["doc_id", "n_chars", "edited_sha256", shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next"]
     return done.where("head IS NULL AND tail IS NULL").select(*out).unionByName(rows(tails.select("doc_id", "tail", "head"), link, _FIELDS).select(*out))
 
 
