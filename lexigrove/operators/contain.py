@@ -5,16 +5,16 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexigrove.sources.tables import stored
+
 #: Bytes of passages in one automaton.
 BLOCK = 8 << 20
 
 
 def _finder(passages: list[tuple[int, str]]):
     """A function from a text to the ids of the passages it holds, in one pass over the text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {i for i, p in passages if p in text}
+    import ahocorasick
+
     ids: dict[str, list[int]] = {}
     for i, p in passages:
         ids.setdefault(p, []).append(i)
@@ -28,7 +28,8 @@ def _finder(passages: list[tuple[int, str]]):
 def containing(texts: DataFrame, passages: DataFrame, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_ord) for every text (chunk_ord, text) that holds a passage (query_id, query) letter by letter.
 
-    Passages are shipped in blocks of bounded size, each in one scan of the texts; null and empty ones are in no text.
+    Passages are shipped in blocks of bounded size, each in one scan of the texts; the driver holds one block at a time and the
+    results of several are written. Null and empty passages are in no text.
     """
     spark, schema = texts.sparkSession, "query_id long, chunk_ord long"
     out, held, size = spark.createDataFrame([], schema), [], 0
@@ -44,14 +45,13 @@ def containing(texts: DataFrame, passages: DataFrame, block: int = BLOCK) -> Dat
 
         return texts.select("chunk_ord", "text").mapInArrow(run, schema)
 
-    blocks = []
-    for r in passages.select("query_id", "query").toLocalIterator():
-        if r.query:
-            if held and size + len(r.query) > block:
-                blocks.append(held)
-                held, size = [], 0
-            held.append((r.query_id, r.query))
-            size += len(r.query)
-    for n, one in enumerate([*blocks, held] if held else blocks):
-        out = search(one) if not n else out.union(search(one))
+    parts = []
+    for r in passages.where("query <> ''").select("query_id", "query").toLocalIterator():
+        if held and size + len(r.query) > block:
+            parts.append(stored(search(held)))
+            held, size = [], 0
+        held.append((r.query_id, r.query))
+        size += len(r.query)
+    for one in [*parts, search(held)] if held else parts:
+        out = out.union(one)
     return out.distinct()

@@ -1,7 +1,11 @@
 """Inverted index over chunks: term statistics, and the index as stored tables.
 
-Chunks: (chunk_ord, text), optionally clause_id, chunk_id and more. Texts are tokenised once, when the index is built;
-search reads columns of ``chunks`` (chunk_ord, clause_id, dl, mush, size, terms, folded) as it needs them.
+Chunks: (chunk_ord, text), optionally clause_id, chunk_id and more. Texts are tokenised once, when the index is built. Stored are
+
+- ``postings`` (term, df, chunk_ord, tf, dl, clause_id, mush, size) in one folder for each ``bucket`` of terms, sorted by term, with
+  all that ranking needs of a chunk, so that a search reads the folders of its own terms and no chunk;
+- ``texts`` (chunk_ord, folded, clause_id) in one folder for each ``slot`` of chunks, read for the few hits that may hold a phrase;
+- ``stats``: one row with the number of chunks, their mean length, and how many buckets and slots there are.
 """
 
 from __future__ import annotations
@@ -12,7 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text as T
-from lexigrove.sources.tables import exists, stored
+from lexigrove.sources.tables import deleted, exists, place, stored
+
+#: Postings a bucket holds about, postings of one term in one file about, and bytes of texts in one slot about.
+BUCKET, SLICE, SLOT = 20_000_000, 4_000_000, 256 << 20
+#: Bounds of the number of buckets and slots, which are folders.
+FEWEST, MOST = 16, 4096
+#: Terms of a batch of queries up to which a scan is told which ones are asked; chunks up to which it is told their slots.
+TOLD = 10_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -41,23 +52,96 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """``chunks`` as described above; ``vectors`` (chunk_ord, vector) or None; the model that made them."""
+    """Stored tables as described above; ``vectors`` (chunk_ord, vector) or None; the model that made them."""
 
-    chunks: DataFrame
+    postings: DataFrame
+    texts: DataFrame
+    stats: DataFrame
     vectors: DataFrame | None = None
     model: str | None = None
 
+    @property
+    def size(self) -> tuple[int, int]:
+        """How many buckets and slots there are."""
+        row = self.stats.first()
+        return row.buckets, row.slots
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of ``terms`` (term, distinct); only folders of their buckets are read.
+
+        At most one number a bucket, or TOLD terms, come to the driver.
+        """
+        buckets = self.size[0]
+        told = [r.term for r in terms.select("term").limit(TOLD + 1).collect()]
+        if len(told) <= TOLD:
+            spark = terms.sparkSession
+            asked = sorted({r.b for r in spark.createDataFrame([(t,) for t in told], "term string").select(_bucket("term", buckets).alias("b")).collect()})
+            return self.postings.where(F.col("bucket").isin(asked) & F.col("term").isin(told)).drop("bucket")
+        asked = sorted(r.b for r in terms.select(_bucket("term", buckets).alias("b")).distinct().collect())
+        return self.postings.where(F.col("bucket").isin(asked)).drop("bucket").join(terms.select("term"), "term", "left_semi")
+
+    def of_chunks(self, ords: DataFrame, column: str = "folded") -> DataFrame:
+        """(chunk_ord, column) of the chunks in ``ords`` (chunk_ord, distinct); only folders of their slots are read."""
+        slots = self.size[1]
+        asked = sorted(r.s for r in ords.select(_slot("chunk_ord", slots).alias("s")).distinct().collect())
+        return self.texts.where(F.col("slot").isin(asked)).select("chunk_ord", column).join(ords, "chunk_ord", "left_semi")
+
+
+def _bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _slot(chunk_ord: str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(chunk_ord), F.lit(slots)).cast("int")
+
 
 def prepared(chunks: DataFrame) -> DataFrame:
+    """(chunk_ord, clause_id, mush, dl, size, terms, folded): what the index needs of a chunk, its text folded once."""
     clause = F.col("clause_id") if "clause_id" in chunks.columns else F.lit(None).cast("string")
     one = chunks.select("chunk_ord", clause.alias("clause_id"), T.is_mush(F.col("text")).alias("mush"), T.folded(F.col("text")).alias("folded"))
     two = one.select("chunk_ord", "clause_id", "mush", "folded", T.folded_tokens(F.col("folded")).alias("terms"))
     return two.select("chunk_ord", "clause_id", F.coalesce("mush", F.lit(False)).alias("mush"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("dl"), F.length("folded").alias("size"), "terms", "folded")
 
 
-def build(chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> Index:
-    """The index in the shared folder, for the session."""
-    return Index(stored(prepared(chunks)), vectors, model)
+def _between(n: int) -> int:
+    return max(FEWEST, min(MOST, n))
+
+
+def put(chunks: DataFrame, path: str) -> None:
+    """Writes postings, texts and stats under ``path``.
+
+    A term's postings are one key only up to SLICE of them; more are dealt to several tasks by chunk.
+    """
+    spark = chunks.sparkSession
+    search = stored(prepared(chunks))
+    size = search.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms"), F.coalesce(F.sum(F.octet_length("folded")), F.lit(0)).alias("bytes")).first()
+    buckets, slots = _between(-(-size.terms // BUCKET)), _between(-(-size.bytes // SLOT))
+    search.select("chunk_ord", "folded", "clause_id", _slot("chunk_ord", slots).alias("slot")).repartition("slot").write.partitionBy("slot").mode("overwrite").parquet(f"{path}/texts")
+    of_chunk = ["chunk_ord", "dl", "clause_id", "mush", "size"]
+    post = stored(search.select(*of_chunk, F.explode("terms").alias("term")).groupBy("term", *of_chunk).agg(F.count("*").alias("tf")))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    part = F.pmod(F.xxhash64("chunk_ord"), F.ceil(F.col("df") / SLICE))
+    laid = post.join(df, "term").withColumn("bucket", _bucket("term", buckets)).repartition("bucket", part).sortWithinPartitions("bucket", "term", "chunk_ord")
+    laid.select("bucket", "term", "df", "chunk_ord", "tf", "dl", "clause_id", "mush", "size").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    spark.createDataFrame([(size.n, size.avgdl, buckets, slots)], "n long, avgdl double, buckets int, slots int").write.mode("overwrite").parquet(f"{path}/stats")
+    deleted(post)
+    deleted(search)
+
+
+_POSTINGS = "term string, df long, chunk_ord long, tf long, dl long, clause_id string, mush boolean, size int, bucket int"
+
+
+def opened(spark: SparkSession, path: str, vectors: DataFrame | None = None, model: str | None = None) -> Index:
+    """The tables under ``path``; an index of no chunks has no files of postings."""
+    texts = spark.read.schema("chunk_ord long, folded string, clause_id string, slot int").parquet(f"{path}/texts")
+    return Index(spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), texts, spark.read.parquet(f"{path}/stats"), vectors, model)
+
+
+def build(chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None, path: str | None = None) -> Index:
+    """The index at ``path``, else at a new place in the shared folder."""
+    path = path or place(chunks.sparkSession)
+    put(chunks.withColumn("chunk_ord", F.col("chunk_ord").cast("long")), path)
+    return opened(chunks.sparkSession, path, vectors, model)
 
 
 def write(chunks: DataFrame, path: str, report: dict | None = None, encode=None, model: str | None = None, force: bool = False) -> list[str]:
@@ -94,7 +178,7 @@ def write(chunks: DataFrame, path: str, report: dict | None = None, encode=None,
     elif meta and exists(spark, f"{path}/vectors"):
         used = meta["model"]
     stored(hashed, f"{path}/chunks", "overwrite")
-    stored(prepared(chunks), f"{path}/search", "overwrite")
+    put(chunks.withColumn("chunk_ord", F.col("chunk_ord").cast("long")), path)
     digest = hashed.agg(F.sum(F.xxhash64("chunk_ord", "sha256").cast("decimal(38,0)")).cast("string").alias("digest"), F.count("*").alias("chunks")).first()
     row = spark.createDataFrame([(digest.digest, digest.chunks, used, {k: str(v) for k, v in (report or {}).items()}, notes)], "digest string, chunks long, model string, report map<string,string>, notes array<string>")
     stored(row.withColumn("built_at", F.current_timestamp()), f"{path}/meta", "overwrite")
@@ -107,15 +191,15 @@ def read_meta(spark: SparkSession, path: str) -> dict | None:
 
 def load(spark: SparkSession, path: str) -> Index:
     """A written index; FileNotFoundError without one. Vectors count only if every chunk has its own."""
-    if not exists(spark, f"{path}/search"):
+    if not exists(spark, f"{path}/stats"):
         raise FileNotFoundError(f"no index at {path}; write one first")
-    found, vectors, model = spark.read.parquet(f"{path}/search"), None, None
+    vectors, model = None, None
     if exists(spark, f"{path}/vectors"):
         chunks = spark.read.parquet(f"{path}/chunks").select("chunk_ord", "sha256")
         known = spark.read.parquet(f"{path}/vectors")
         if not chunks.join(known, "sha256", "left_anti").limit(1).count():
             vectors, model = chunks.join(known, "sha256").select("chunk_ord", "vector"), (read_meta(spark, path) or {}).get("model")
-    return Index(found, vectors, model)
+    return opened(spark, path, vectors, model)
 
 
 def records(chunks: DataFrame) -> DataFrame:

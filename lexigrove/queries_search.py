@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.operators import contain, evaluate, index, search
 from lexigrove.queries import _FOLD, _docs, _mush, _t, _tok, query
+from lexigrove.sources.tables import place, version
 
 _CHUNKS = f"SELECT doc_id AS chunk_ord, text, {_tok('text')} AS t FROM documents"
 
@@ -14,8 +15,17 @@ def _chunks(spark, d):
     return _docs(spark, d).select(F.col("doc_id").alias("chunk_ord"), "text")
 
 
+_built: dict[tuple, str] = {}
+
+
 def _index(spark, d, vectors=None):
-    return index.build(_chunks(spark, d), vectors)
+    """The stored index of the documents, written once a session for each state of their files."""
+    key = (spark.sparkContext.applicationId, *version(spark, f"{d}/documents.parquet"))
+    if key not in _built:
+        path = place(spark)
+        index.put(_chunks(spark, d), path)
+        _built[key] = path
+    return index.opened(spark, _built[key], vectors)
 
 
 def _asked(spark, d):

@@ -21,12 +21,35 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/lexigrove-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
     """The frame written as Parquet (to ``path``, else to a new place in the shared folder) and read again."""
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/lexigrove-{uuid.uuid4().hex}"
-    df.write.mode(mode).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = path or place(spark)
+    df.write.mode(mode).parquet(own)
+    out = spark.read.schema(df.schema).parquet(own)
+    out._lexigrove_own = None if path else own
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote to a place of its own, once nothing reads it any more."""
+    own = getattr(df, "_lexigrove_own", None)
+    if own:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(own)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def version(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """Path, bytes and time of change of a file or folder: differs once its files were written anew."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return path, fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
