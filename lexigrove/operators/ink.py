@@ -387,3 +387,69 @@ def grids(across: DataFrame, down: DataFrame, pages: DataFrame) -> DataFrame:
     out = out.where((F.col("n_h") >= GRID_LINES) & (F.col("n_v") >= GRID_LINES) & (mean("ink_h") >= GRID_INK) & (mean("ink_v") >= GRID_INK))
     score = F.least(F.lit(1.0), 0.35 + 0.08 * F.least(F.col("n_h"), F.lit(8)) + 0.08 * F.least(F.col("n_v"), F.lit(8)) + (mean("ink_h") + mean("ink_v")) / 50)
     return out.select(*KEY, B.box(*(F.col(x) for x in "abcd")).alias("box"), "n_h", "n_v", score.alias("score"))
+
+
+# -- figures at their captions, and all ways together -----------------------------------------------------------------------
+
+# How far a figure reaches above and below its caption (share of the page, points), least window, what counts as the same.
+ABOVE, BELOW, WINDOW_LEAST, SAME, ON_ROW = (0.52, 400.0), (0.40, 280.0), (40.0, 50.0), 0.35, 20.0
+_WINDOW = "struct<caption:int,text:string,lead:boolean,cap:struct<y1:double,y2:double>,box:struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
+def caption_windows(spans: list, width: float, height: float) -> tuple[list[dict]]:
+    """Where the figure of each caption may be: above and below it, up to the next body text and halfway to captions beside it."""
+    from lexigrove.operators import regions as R
+
+    captions = [g for g in R.caption_groups(spans) if R._CAPTION.match(g[0])]
+    own = {id(s) for *_, group in captions for s in group}
+    blockers = [s for s in spans if id(s) not in own and (sum(c.isalpha() for c in s.text) >= 15 or s.x2 - s.x1 >= 0.40 * width)]
+    left, right = R.body_bounds(spans, width)
+    out = []
+    for n, (text, cap, _) in enumerate(captions):
+        _, y1, _, y2 = cap
+        beside = [b for _, b, _ in captions if b != cap and abs((b[1] + b[3]) / 2 - (y1 + y2) / 2) < ON_ROW]
+        low, high = R.neighbour_bounds(cap, beside, width)
+        a, z = max(left, low), min(right, high)
+        if z - a < WINDOW_LEAST[0]:
+            a, z = left, right
+        top = max([s.y2 for s in blockers if s.y2 < y1 - 1], default=8.0)
+        foot = min([s.y1 for s in blockers if s.y1 > y2 + 1], default=height - 8)
+        above = max(top + 6, y1 - min(ABOVE[0] * height, ABOVE[1]), 8.0), max(y1 - 3, 12.0)
+        below = min(height - 12, y2 + 3), min(foot - 6, y2 + min(BELOW[0] * height, BELOW[1]), height - 8)
+        for b, c in (above, below):
+            if c - b >= WINDOW_LEAST[1] and z - a >= WINDOW_LEAST[0]:
+                out.append({"caption": n, "text": text, "lead": bool(R._MARK.match(text)), "cap": {"y1": y1, "y2": y2}, "box": {"x1": a, "y1": b, "x2": z, "y2": c}})
+    return (out,)
+
+
+def caption_figures(found: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, box in points, score, method, text) of figures found from their captions, ``spans`` as in layout.page_rows.
+
+    Of the windows above and below, the one whose dense ink stands closer to the caption counts, then the one that shrinks more.
+    Of figures that overlap, the one closer to its caption stays.
+    """
+    from lexigrove.operators import layout
+
+    seen = layout.per_page(layout.page_rows(spans), caption_windows, f"windows array<{_WINDOW}>")
+    w = seen.select(*KEY, "page_w", "page_h", F.posexplode("windows").alias("box_id", "w")).select(*KEY, "page_w", "page_h", "box_id", "w.*")
+    tight = tightened(found, w.select(*KEY, "box_id", "box"), pages).withColumnRenamed("box", "tight")
+    t, b, cap = F.col("tight"), F.col("box"), F.col("cap")
+    j = w.join(tight, [*KEY, "box_id"]).where(B.figure_fault(t, F.col("page_w"), F.col("page_h")).isNull())
+    gap = F.when(t["y2"] <= cap["y1"], cap["y1"] - t["y2"]).when(t["y1"] >= cap["y2"], t["y1"] - cap["y2"]).otherwise(0.0)
+    before, after = F.greatest(B.width(b), F.lit(1.0)) * F.greatest(B.height(b), F.lit(1.0)), F.greatest(B.width(t), F.lit(0.0)) * F.greatest(B.height(t), F.lit(0.0))
+    order = F.struct((~F.col("lead")).alias("a"), gap.alias("b"), ((after - before) / before).alias("c"), *(t[k].alias(k) for k in ("x1", "y1", "x2", "y2")), F.col("text"))
+    chosen = j.withColumn("order", order).groupBy(*KEY, "caption").agg(F.min("order").alias("order"))
+    # at most one row a caption, so a page's list is short
+    listed = chosen.groupBy(*KEY).agg(F.sort_array(F.collect_list("order")).alias("all"))
+    fold = lambda kept, x: F.when(F.exists(kept, lambda k: B.iou(k, x) >= SAME), kept).otherwise(F.concat(kept, F.array(x)))
+    kept = listed.select(*KEY, F.explode(F.aggregate("all", F.slice("all", 1, 0), fold)).alias("o"))
+    o = F.col("o")
+    return kept.select(*KEY, B.box(*(o[k] for k in ("x1", "y1", "x2", "y2"))).alias("box"), F.lit(0.74).alias("score"), F.lit("caption_anchor").alias("method"), o["text"].alias("text"))
+
+
+def as_regions(figures: DataFrame, kind: str = "figure") -> DataFrame:
+    """(doc_id, page, found): figures of a page as an array of layout.REGION, for ``regions.with_detections``."""
+    b = F.col("box")
+    note = F.array(F.concat(F.lit("caption="), F.substring("text", 1, 80))) if "text" in figures.columns else F.array().cast("array<string>")
+    one = F.struct(F.lit(kind).alias("type"), *(b[k].cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")), F.col("score").cast("double").alias("score"), F.col("method"), note.alias("notes"))
+    return figures.groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("found"))

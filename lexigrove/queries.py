@@ -230,4 +230,4 @@ def page_range_explode(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(lo, lo + 2)).alias("page"))
 
 
-from lexigrove import queries_more, queries_pages, queries_search  # noqa: E402, F401 - they add their queries
+from lexigrove import queries_ink, queries_more, queries_pages, queries_search  # noqa: E402, F401 - they add their queries

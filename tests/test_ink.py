@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.functions import pixels
 from lexigrove.functions.linked import roots
+from lexigrove.operators import images as images_
 from lexigrove.operators import ink
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -184,7 +186,7 @@ def test_figures_by_ink(spark):
     got = ink.ink_figures(found, spans, pages(spark, [g])).collect()
     assert [(tuple(r.box), r.method) for r in got] == [((94.0, 94.0, 356.0, 306.0), "nontext_ink_cc")] and got[0].score == pytest.approx(200 * 250 / (0.15 * 480000))
     images = spark.createDataFrame([("d", 0, 0, (80.0, 80.0, 380.0, 330.0)), ("d", 0, 1, (0.0, 0.0, 600.0, 800.0)), ("d", 0, 2, (80.0, 720.0, 380.0, 690.0))], f"doc_id string, page long, box_id long, box {BOX}")
-    assert [tuple(r.box) for r in ink.embedded_figures(images, found, pages(spark, [g])).collect()] == [(94.0, 94.0, 356.0, 306.0)]
+    assert [tuple(r.box) for r in ink.embedded_figures(images, found, pages(spark, [g])).collect()] == [(94.0, 94.0, 356.0, 306.0)] * 2
 
 
 def test_bars_between_numerators_and_denominators(spark):
@@ -222,3 +224,41 @@ def test_ruled_grids(spark):
     r = rasters(spark, [g])
     got = ink.grids(ink.strokes(r, ink.below_median(15)), ink.strokes(r, ink.below_median(15), True), pages(spark, [g])).collect()
     assert [(tuple(x.box), x.n_h, x.n_v) for x in got] == [((100, 100, 401, 222), 4, 4)] and 0.9 < got[0].score <= 1
+
+
+def test_figures_from_their_captions(spark):
+    g = np.full((800, 600), 255, np.uint8)
+    g[110:290, 120:330] = 20  # above the first caption
+    g[430:560, 60:280] = 20  # below a caption whose other side is body text
+    text = [("Фиг. 1. Схема", 120.0, 300.0, 330.0, 312.0), ("Body text that is long enough to block", 40.0, 340.0, 560.0, 352.0), ("Another body line that blocks windows", 40.0, 380.0, 560.0, 392.0), ("Рис. 2", 60.0, 410.0, 120.0, 422.0), ("see Fig. 3", 60.0, 700.0, 120.0, 712.0)]
+    spans = spark.createDataFrame([("d", 0, i, t, tuple(b), 600.0, 800.0) for i, (t, *b) in enumerate(text)], f"doc_id string, page long, span_ord int, text string, box {BOX}, page_w double, page_h double")
+    found = ink.strokes(rasters(spark, [g]), ink.below_paper())
+    figures = ink.caption_figures(found, spans, pages(spark, [g]))
+    got = {r.text: tuple(r.box) for r in figures.collect()}
+    assert got == {"Фиг. 1. Схема": (114.0, 104.0, 336.0, 296.0), "Рис. 2": (54.0, 424.0, 286.0, 566.0)}
+    row = ink.as_regions(figures).collect()
+    assert len(row) == 1 and [r.notes for r in row[0].found] and {r.method for r in row[0].found} == {"caption_anchor"}
+
+
+def test_image_measures_and_steps(spark):
+    rng = np.random.default_rng(1)
+    flat = np.full((300, 240), 128, np.uint8)
+    page = np.full((300, 240), 250, np.uint8)
+    for y in range(30, 270, 20):
+        page[y : y + 8, 30:210] = 10
+    tilted = pixels.turned(page, 4.0)
+    noisy = np.clip(page + rng.normal(0, 60, page.shape), 0, 255).astype(np.uint8)
+    rows = [("d", i, g.shape[1], g.shape[0], 200, bytearray(g.tobytes())) for i, g in enumerate((flat, page, tilted, noisy))] + [("d", 9, 3, 3, 200, bytearray(b"x"))]
+    judged = images_.assessed(spark.createDataFrame(rows, "doc_id string, page long, width int, height int, dpi int, gray binary"), True)
+    got = {r.page: r for r in judged.collect()}
+    assert got[0].blur == 0 and got[0].contrast == 0 and got[0].skew == 1 and got[9].score is None and got[9].plan is None
+    assert got[1].contrast == 1 and got[1].blur == 1 and abs(got[1].skew_deg) < 0.5 and 3 < abs(got[2].skew_deg) < 5 and got[3].noise < got[1].noise
+    assert got[1].level == "good" and got[1].plan == ["render", "deskew", "binarize"] and got[0].level != "good"
+    p = page.astype(float)
+    inner = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+    assert (pixels.laplacian(page)[1:-1, 1:-1] == inner).all()
+    done = {r.page: np.frombuffer(r.gray, np.uint8) for r in images_.prepared(judged).collect() if r.page != 9}
+    assert set(np.unique(done[1]).tolist()) <= {0, 255} and len(done[3]) == 300 * 240
+    straight = pixels.turned(tilted, got[2].skew_deg if abs(pixels.skew(pixels.turned(tilted, got[2].skew_deg))) < 1 else -got[2].skew_deg)
+    assert abs(pixels.skew(straight)) < 1
+    assert pixels.smoothed(noisy, 60.0).std() < noisy.std() and (pixels.smoothed(flat, 10.0) == 128).all() and pixels.equalized(tilted, 2.0).shape == tilted.shape
