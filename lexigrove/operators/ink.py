@@ -425,8 +425,8 @@ def caption_windows(spans: list, width: float, height: float) -> tuple[list[dict
 def caption_figures(found: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, box in points, score, method, text) of figures found from their captions, ``spans`` as in layout.page_rows.
 
-    Of the windows above and below, the one whose dense ink stands closer to the caption counts, then the one that shrinks more.
-    Of figures that overlap, the one closer to its caption stays.
+    Of the windows above and below, the one whose dense ink stands closer to the caption counts, then the one that shrinks more;
+    a window without ink is none. Of figures that overlap, the one closer to its caption stays.
     """
     from lexigrove.operators import layout
 
@@ -434,7 +434,7 @@ def caption_figures(found: DataFrame, spans: DataFrame, pages: DataFrame) -> Dat
     w = seen.select(*KEY, "page_w", "page_h", F.posexplode("windows").alias("box_id", "w")).select(*KEY, "page_w", "page_h", "box_id", "w.*")
     tight = tightened(found, w.select(*KEY, "box_id", "box"), pages).withColumnRenamed("box", "tight")
     t, b, cap = F.col("tight"), F.col("box"), F.col("cap")
-    j = w.join(tight, [*KEY, "box_id"]).where(B.figure_fault(t, F.col("page_w"), F.col("page_h")).isNull())
+    j = w.join(tight, [*KEY, "box_id"]).where((t != b) & B.figure_fault(t, F.col("page_w"), F.col("page_h")).isNull())
     gap = F.when(t["y2"] <= cap["y1"], cap["y1"] - t["y2"]).when(t["y1"] >= cap["y2"], t["y1"] - cap["y2"]).otherwise(0.0)
     before, after = F.greatest(B.width(b), F.lit(1.0)) * F.greatest(B.height(b), F.lit(1.0)), F.greatest(B.width(t), F.lit(0.0)) * F.greatest(B.height(t), F.lit(0.0))
     order = F.struct((~F.col("lead")).alias("a"), gap.alias("b"), ((after - before) / before).alias("c"), *(t[k].alias(k) for k in ("x1", "y1", "x2", "y2")), F.col("text"))
