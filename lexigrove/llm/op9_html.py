@@ -38,6 +38,10 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Words in class or id that name what is not the article.
 BOILER_NAMES = frozenset(["ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "widget", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "form", "search", "pagination", "pager", "copyright", "legal", "skip", "masthead", "topbar"])
 HEADER_NAMES = frozenset(["header", "head", "top"])
+#: Of these, words that also stand on articles' own lists, quotes and lines, where links and neighbours decide.
+WEAK_NAMES = HEADER_NAMES | frozenset(["menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "related", "recommended", "share", "sharing", "social", "search", "skip", "toolbar", "topbar", "legal", "copyright", "form", "widget"])
+#: So many words joined in one name say something else than the word alone.
+LONG_NAME = 3
 CONTENT_NAMES = frozenset(["article", "content", "post", "entry", "story", "main"])
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<!--|<!\[CDATA\[|<[!?/]")
@@ -46,7 +50,8 @@ ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?
 NAME = re.compile(r"[a-z]+")
 
 #: Small labelled table: words, link density, words and link density before, words and link density after, place
-#: (1 in article or main, 0 outside on a page that has one, 0.5 on a page without), in boilerplate, heading
+#: (1 in article or main, 0 outside on a page that has one, 0.5 on a page without), boilerplate (1 by its tag or a clear
+#: name, 0.5 by a weak name), heading
 #: -> main text or not.
 LABELLED = [
     # in the article: all but what a container names boilerplate
@@ -63,6 +68,28 @@ LABELLED = [
     ((12, 0.00, 80, 0.00, 0, 0.00, 0, 1, 0), 0), ((5, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0), 0), ((30, 0.00, 9, 0.00, 50, 0.00, 0, 0, 0), 0),
     ((4, 0.00, 0, 0.00, 6, 0.00, 0, 0, 1), 0), ((90, 0.02, 4, 0.00, 12, 0.50, 0, 0, 0), 0), ((14, 0.40, 3, 1.00, 4, 0.00, 0, 0, 0), 0),
     ((80, 0.00, 90, 0.00, 70, 0.00, 0, 0, 0), 0), ((2, 0.00, 100, 0.00, 0, 0.00, 0, 0, 0), 0), ((18, 0.00, 25, 0.00, 60, 0.00, 0, 0, 0), 0),
+    # so too among links, as lists of sources and captions are
+    ((1, 0.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((1, 0.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((1, 0.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((1, 0.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((1, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((1, 1.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((1, 1.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((1, 1.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((3, 0.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((3, 0.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((3, 0.00, 0, 0.00, 5, 1.00, 1, 0, 1), 1), ((3, 0.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((3, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((3, 1.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((3, 1.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((3, 1.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((8, 0.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((8, 0.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((8, 0.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((8, 0.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((8, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((8, 1.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((8, 1.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((8, 1.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((20, 0.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((20, 0.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((20, 0.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((20, 0.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    ((20, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0), 1), ((20, 1.00, 40, 0.00, 3, 1.00, 1, 0, 0), 1), ((20, 1.00, 0, 0.00, 5, 1.00, 1, 0, 0), 1), ((20, 1.00, 6, 1.00, 30, 0.00, 1, 0, 0), 1),
+    # there, with a weak name: prose, quotes and the items of a list of the article; single lines and links are none
+    ((40, 0.00, 35, 0.00, 30, 0.00, 1, .5, 0), 1), ((15, 0.00, 20, 0.00, 40, 0.00, 1, .5, 0), 1), ((25, 0.05, 4, 0.00, 6, 0.00, 1, .5, 0), 1), ((90, 0.00, 3, 1.00, 0, 0.00, 1, .5, 0), 1),
+    ((5, 0.00, 4, 0.00, 6, 0.00, 1, .5, 0), 1), ((3, 0.00, 5, 0.00, 4, 0.00, 1, .5, 0), 1), ((7, 0.00, 6, 0.00, 5, 0.00, 1, .5, 0), 1), ((4, 0.00, 30, 0.00, 5, 0.00, 1, .5, 0), 1),
+    ((4, 0.00, 5, 0.00, 30, 0.00, 1, .5, 0), 1), ((2, 0.00, 3, 0.00, 45, 0.00, 1, .5, 0), 1), ((18, 0.10, 60, 0.00, 2, 0.00, 1, .5, 0), 1), ((2, 0.00, 40, 0.00, 3, 0.00, 1, .5, 1), 1),
+    ((3, 0.00, 18, 0.00, 3, 0.00, 1, .5, 0), 1), ((3, 0.00, 3, 0.00, 2, 0.00, 1, .5, 0), 1), ((2, 0.00, 3, 0.00, 18, 0.00, 1, .5, 0), 1), ((1, 0.00, 1, 0.00, 1, 0.00, 1, .5, 0), 1),
+    ((2, 0.00, 2, 0.00, 2, 0.00, 1, .5, 0), 1), ((3, 0.00, 2, 0.00, 3, 0.00, 1, .5, 0), 1), ((4, 0.00, 60, 0.00, 3, 0.00, 1, .5, 0), 1), ((2, 0.00, 4, 0.00, 4, 0.00, 1, .5, 0), 1),
+    ((2, 0.00, 18, 0.00, 18, 0.00, 1, .5, 0), 0), ((3, 0.00, 12, 0.00, 15, 0.00, 1, .5, 0), 0), ((2, 0.00, 20, 0.00, 25, 0.00, 1, .5, 0), 0), ((5, 0.00, 16, 0.00, 40, 0.00, 1, .5, 0), 0),
+    ((2, 0.00, 50, 0.00, 60, 0.00, 1, .5, 0), 0), ((3, 0.00, 40, 0.00, 30, 0.00, 1, .5, 0), 0), ((5, 0.00, 35, 0.00, 25, 0.00, 1, .5, 0), 0), ((1, 1.00, 45, 0.00, 2, 1.00, 1, .5, 0), 0),
+    ((2, 1.00, 2, 1.00, 1, 1.00, 1, .5, 0), 0), ((4, 1.00, 3, 1.00, 40, 0.00, 1, .5, 0), 0), ((12, 0.80, 5, 1.00, 30, 0.00, 1, .5, 0), 0), ((2, 0.00, 30, 0.00, 2, 1.00, 1, .5, 0), 0),
+    ((3, 0.00, 2, 1.00, 4, 1.00, 1, .5, 0), 0), ((30, 0.90, 40, 0.00, 50, 0.00, 1, .5, 0), 0), ((2, 1.00, 60, 0.00, 50, 0.00, 1, .5, 0), 0), ((6, 1.00, 5, 0.00, 0, 0.00, 1, .5, 0), 0),
+    # with a weak name on a page without an article
+    ((30, 0.00, 40, 0.00, 30, 0.00, .5, .5, 0), 1), ((60, 0.00, 5, 0.00, 50, 0.00, .5, .5, 0), 1), ((20, 0.05, 3, 0.00, 25, 0.00, .5, .5, 0), 1), ((14, 0.00, 0, 0.00, 40, 0.00, .5, .5, 0), 1),
+    ((3, 0.00, 40, 0.00, 30, 0.00, .5, .5, 0), 0), ((2, 1.00, 2, 1.00, 2, 1.00, .5, .5, 0), 0), ((4, 0.00, 2, 1.00, 40, 0.00, .5, .5, 0), 0), ((9, 0.80, 5, 1.00, 0, 0.00, .5, .5, 0), 0),
     # on a page without one: prose, and short lines beside prose
     ((70, 0.00, 6, 0.00, 80, 0.00, .5, 0, 0), 1), ((45, 0.05, 50, 0.00, 60, 0.00, .5, 0, 0), 1), ((22, 0.00, 40, 0.00, 3, 0.00, .5, 0, 0), 1),
     ((28, 0.00, 2, 1.00, 2, 1.00, .5, 0, 0), 1), ((35, 0.00, 3, 1.00, 4, 0.90, .5, 0, 0), 1), ((18, 0.10, 20, 0.10, 35, 0.00, .5, 0, 0), 1),
@@ -84,7 +111,7 @@ LABELLED = [
 ]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """CART: (feature, cut, below or equal, above), or a class. The first best split wins ties."""
     if depth == 0 or y.min() == y.max():
         return int(2 * y.sum() >= len(y))
@@ -153,46 +180,51 @@ class Scanner:
         return self.closing[tag] >= at
 
 
-def boilerplate(tag: str, attrs: str, content: bool) -> tuple[int, int]:
-    """(adds to content, adds to boilerplate) by tag, class, id and role."""
-    c, b = int(tag in CONTENT_TAGS), int(tag in BOILER_TAGS or tag in EMBEDDED)
+def boilerplate(tag: str, attrs: str, content: bool) -> tuple[int, int, int]:
+    """(adds to content, to boilerplate, to what only weak names call so) by tag, class, id and role."""
+    c, b, weak = int(tag in CONTENT_TAGS), int(tag in BOILER_TAGS or tag in EMBEDDED), 0
     if tag in HEADER_TAGS and not content:
         b = 1
     if attrs and tag not in ("html", "body"):
         for name, v1, v2, v3 in ATTR.findall(attrs):
             name, value = name.lower(), (v1 or v2 or v3).lower()
             if name in ("class", "id", "role"):
-                words = NAME.findall(value)
-                if not c and any(w in BOILER_NAMES or (w in HEADER_NAMES and not content) for w in words) or value in ("complementary", "contentinfo"):
+                for one in value.split():
+                    words = NAME.findall(one)
+                    known = [w for w in words if w in BOILER_NAMES or w in HEADER_NAMES and not content]
+                    if known and not c:
+                        clear = len(words) < LONG_NAME and any(w not in WEAK_NAMES for w in known)
+                        b, weak = b or int(clear), weak or int(not clear)
+                    elif not (b or weak) and tag in ("div", "section") and any(w in CONTENT_NAMES for w in words):
+                        c = 1
+                if value in ("complementary", "contentinfo"):
                     b = 1
-                elif not b and tag in ("div", "section") and any(w in CONTENT_NAMES for w in words):
-                    c = 1
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 b = 1
-    return c, b
+    return c, b, 0 if b else weak
 
 
 class Open:
     """An open element: what it adds to the counts, and for boilerplate inside a paragraph the text around it."""
 
-    __slots__ = ("tag", "content", "boiler", "heading", "around")
+    __slots__ = ("tag", "content", "boiler", "weak", "heading", "around")
 
-    def __init__(self, tag: str, content: int = 0, boiler: int = 0, heading: int = 0, around=None):
-        self.tag, self.content, self.boiler, self.heading, self.around = tag, content, boiler, heading, around
+    def __init__(self, tag: str, content: int = 0, boiler: int = 0, weak: int = 0, heading: int = 0, around=None):
+        self.tag, self.content, self.boiler, self.weak, self.heading, self.around = tag, content, boiler, weak, heading, around
 
 
 class Blocks:
     """The flat blocks of a page, built from its tags and texts in order."""
 
     def __init__(self):
-        self.out: list[tuple[str, int, int, int, int, int]] = []
+        self.out: list[tuple[str, int, int, int, float, int]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.state = (0, 0, 0)
         self.stack: list[Open] = []
         self.open: dict[str, int] = {}
         self.blocks: list[int] = []  # places of block-level elements in the stack
-        self.content = self.boiler = self.heading = 0
+        self.content = self.boiler = self.weak = self.heading = 0
 
     def flush(self) -> None:
         if self.parts:
@@ -208,13 +240,13 @@ class Blocks:
         if not self.parts:
             if t.isspace():
                 return
-            self.state = (int(self.content > 0), int(self.boiler > 0), int(self.heading > 0))
+            self.state = (int(self.content > 0), 1 if self.boiler else 0.5 if self.weak else 0, int(self.heading > 0))
         self.parts.append(t)
         if self.open.get("a"):
             self.linked += len(t.split())
 
-    def push(self, tag: str, content: int, boiler: int) -> None:
-        x = Open(tag, content, boiler, int(tag in HEADINGS))
+    def push(self, tag: str, content: int, boiler: int, weak: int) -> None:
+        x = Open(tag, content, boiler, weak, int(tag in HEADINGS))
         if tag in BLOCK_TAGS:
             self.blocks.append(len(self.stack))
         elif boiler and not self.boiler:  # boilerplate in a line: its text is a block of its own
@@ -222,7 +254,7 @@ class Blocks:
             self.parts, self.linked = [], 0
         self.stack.append(x)
         self.open[tag] = self.open.get(tag, 0) + 1
-        self.content, self.boiler, self.heading = self.content + content, self.boiler + boiler, self.heading + x.heading
+        self.content, self.boiler, self.weak, self.heading = self.content + content, self.boiler + boiler, self.weak + weak, self.heading + x.heading
 
     def pop(self) -> str:
         x = self.stack.pop()
@@ -232,7 +264,7 @@ class Blocks:
         self.open[x.tag] -= 1
         if self.blocks and self.blocks[-1] == len(self.stack):
             self.blocks.pop()
-        self.content, self.boiler, self.heading = self.content - x.content, self.boiler - x.boiler, self.heading - x.heading
+        self.content, self.boiler, self.weak, self.heading = self.content - x.content, self.boiler - x.boiler, self.weak - x.weak, self.heading - x.heading
         return x.tag
 
     def close(self, tag: str) -> None:
@@ -251,8 +283,8 @@ class Blocks:
             self.close(tag)
 
 
-def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, linked words, in content, in boilerplate, heading) of every block that has text."""
+def blocks(html: str) -> list[tuple[str, int, int, int, float, int]]:
+    """(text, words, linked words, in content, boilerplate (0.5 by a weak name), heading) of every block that has text."""
     b, scan = Blocks(), Scanner(html)
     at, end = 0, len(html)
     while at < end:
@@ -286,8 +318,13 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
         if tag in RAW:
             if tag in BLOCK_TAGS:
                 b.flush()
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else end
+            if scan.closed(tag, at):
+                stop = re.compile(rf"</{tag}[^>]*>?", re.I).search(html, at)
+                at = stop.end()
+            elif tag in ("title", "textarea"):  # without an end it holds the text up to the next tag
+                at = html.find("<", at) if html.find("<", at) >= 0 else end
+            else:
+                at = end
             continue
         single = attrs.rstrip().endswith("/")
         if tag in EMBEDDED and (single or not scan.closed(tag, at)):
