@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernel as K
-from lexigrove.llm.common import fold, keep, place, rows, sampled_texts, share
+from lexigrove.llm.common import ROOM, fold, keep, place, rows, sampled_texts, share
 
 DIM = 4096
 SAMPLE = 500
@@ -163,16 +163,26 @@ class Model:
         return names.tolist(), score
 
 
+#: Languages that are learned, the commonest ones of the column; texts and bytes of all of them together.
+LANGUAGES, TEXTS, BYTES = 256, 8000, 192 << 20
+
+
 def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """From the ``most`` documents of each language with the smallest hash of their id, outside fold 2 of 4."""
+    """From the ``most`` documents of each language with the smallest hash of their id, outside fold 2 of 4.
+
+    The sample is bounded whatever the column holds: at most LANGUAGES languages, TEXTS texts and BYTES bytes in all, of which
+    each language has its even share.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang")
-    below = F.lit(0)
-    for r in known.groupBy("lang").count().collect():  # one row a language
-        below = F.when(F.col("lang") == r.lang, share(r["count"], most)).otherwise(below)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return Model([], [])
+    most = min(most, max(1, TEXTS // len(sizes)))
+    below = docs.sparkSession.createDataFrame([(r.lang, share(r.n, most)) for r in sizes], "lang string, below long")  # at most LANGUAGES rows
     order = Window.partitionBy("lang").orderBy(place(), "doc_id")
-    ids = known.where(place() < below).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    picked = [(int(r.doc_id), r.lang) for r in ids.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").collect()]  # at most `most` ids a language
-    got = sampled_texts(docs.where(F.col("lang").isNotNull()), sorted(picked), "string")
+    ids = known.join(F.broadcast(below), "lang").where(place() < F.col("below")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    picked = [(int(r.doc_id), r.lang) for r in ids.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").collect()]
+    got = sampled_texts(docs.where(F.col("lang").isNotNull()), sorted(picked), "string", room=min(ROOM, BYTES // len(sizes)))
     return Model([t for t, _ in got], [lang for _, lang in got])
 
 

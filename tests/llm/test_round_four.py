@@ -340,6 +340,19 @@ def test_the_flag_alone_would_be_wrong():
     assert told / len(held) >= 0.8
 
 
+def test_language_sample_is_bounded_whatever_the_column_holds(spark, monkeypatch):
+    from lexigrove.llm import op4_langid
+
+    words = {"en": "the and of that with this", "de": "der und die nicht mit das", "fr": "les des une pour dans est"}
+    rows = [(i, f"{words[lang]} {i}", lang) for i, lang in enumerate(list(words) * 60)] + [(1000 + i, f"dirty {i}", f"x{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(op4_langid, "LANGUAGES", 3)
+    monkeypatch.setattr(op4_langid, "TEXTS", 30)
+    model = op4_langid.fit(df)
+    assert sorted(model.langs) == ["de", "en", "fr"]
+    assert op4_langid.fit(df.limit(0)).langs == [] and {r.lang_pred for r in op4_langid.language_id(df.where("doc_id < 30")).collect()} == set(words)
+
+
 @pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_cross_tokenizer_alignment", "op13_document_fingerprints"])
 def test_queries_cover_the_whole_table(spark, name):
     got = queries.QUERIES[name](spark, SF)
