@@ -7,7 +7,8 @@ larger than a page is in memory and no operator shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from statistics import median
 from typing import NamedTuple
 
@@ -404,6 +405,15 @@ def _gap(a1: float, a2: float, b1: float, b2: float) -> float:
     return max(0.0, max(a1, b1) - min(a2, b2))
 
 
+def close_pairs(spans: list[Span], reach: float) -> Iterator[tuple[int, int]]:
+    """(i, j), i before j in the list, of spans whose vertical gap is at most ``reach``; a sweep from the top, so rows far apart never meet."""
+    order = sorted(range(len(spans)), key=lambda i: spans[i].y1)
+    tops = [spans[i].y1 for i in order]
+    for k, i in enumerate(order):
+        for j in order[k + 1 : bisect_right(tops, spans[i].y2 + reach)]:
+            yield (i, j) if i < j else (j, i)
+
+
 def separate_rows(a: Span, b: Span) -> bool:
     """Two whole equations on rows of their own."""
     return M.display_equation(a.text) and M.display_equation(b.text) and abs(a.cy - b.cy) > 9
@@ -426,7 +436,9 @@ def fractions(spans: list[Span], bar: Callable[[Span, Span], bool] | None = None
 
     ``bar``: a port that looks for the bar in the image; with it, pairs without a bar don't count.
     """
-    pairs = sorted((g, i, j) for i, a in enumerate(spans) for j, b in enumerate(spans) if i != j and (g := stacked_gap(a, b)) is not None)
+    tallest = max((max(1.0, s.y2 - s.y1) for s in spans), default=1.0)
+    near = ((i, j) for pair in close_pairs(spans, 0.8 * tallest) for i, j in (pair, pair[::-1]))
+    pairs = sorted((g, i, j) for i, j in near if (g := stacked_gap(spans[i], spans[j])) is not None)
     taken: set[int] = set()
     out = {}
     for _, i, j in pairs:
@@ -460,11 +472,10 @@ def merged_fragments(spans: list[Span], width: float, height: float, bar=None) -
         return []
     pieces = [s for s in body(spans, height) if M.fragment(s.text)]
     pairs, groups = fractions(pieces, bar), Groups(len(pieces))
-    for i, a in enumerate(pieces):
-        for j in range(i + 1, len(pieces)):
-            b = pieces[j]
-            if joinable(a, b, height) and (min(a.y2, b.y2) > max(a.y1, b.y1) or (i, j) in pairs or (j, i) in pairs):
-                groups.join(i, j)
+    for i, j in close_pairs(pieces, 0.04 * height):
+        a, b = pieces[i], pieces[j]
+        if joinable(a, b, height) and (min(a.y2, b.y2) > max(a.y1, b.y1) or (i, j) in pairs or (j, i) in pairs):
+            groups.join(i, j)
     out = []
     for members in groups.lists():
         parts = [pieces[i] for i in members]
@@ -528,11 +539,10 @@ def formula_regions(spans: list[Span], width: float, height: float, bar=None) ->
     scored += [(s, M.math_score(s.text)) for s in formula_lines(spans, width, height)]
     groups = Groups(len(scored))
     loose = [M.equation_number(s.text) or M.prose_piece(s.text) for s, _ in scored]
-    for i, (a, _) in enumerate(scored):
-        for j in range(i + 1, len(scored)):
-            b = scored[j][0]
-            if not (loose[i] or loose[j]) and _gap(a.y1, a.y2, b.y1, b.y2) <= 18 and _gap(a.x1, a.x2, b.x1, b.x2) <= JOIN and not separate_rows(a, b):
-                groups.join(i, j)
+    for i, j in close_pairs([s for s, _ in scored], 18):
+        a, b = scored[i][0], scored[j][0]
+        if not (loose[i] or loose[j]) and _gap(a.x1, a.x2, b.x1, b.x2) <= JOIN and not separate_rows(a, b):
+            groups.join(i, j)
 
     def padded(box: Box) -> tuple[Box, float]:
         seed = max(0.0, box[0] - PAD), max(0.0, box[1] - PAD), min(width, box[2] + PAD), min(height, box[3] + PAD)

@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +194,23 @@ def test_figure_captions_of_a_frame(spark):
     spans = spark.createDataFrame([("d", 1, 0, "see Fig. 9", (100.0, 310.0, 200.0, 320.0)), ("d", 1, 1, "Fig. 1.2 Corona", (100.0, 310.0, 200.0, 320.0)), ("d", 1, 2, "Fig. 3", (100.0, 320.0, 200.0, 330.0))], f"doc_id string, page long, span_ord int, text string, box {box}")
     got = {r.region_id: (r.caption, r.number) for r in regions.figure_captions(figures, spans).collect()}
     assert got == {"figure_00": ("Fig. 1.2 Corona", "Fig. 1.2"), "figure_01": (None, None)}
+
+
+def test_sweeps_find_what_all_pairs_find():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        spans = [layout.Span("x", x, y, x + w, y + h) for x, y, w, h in rng.uniform((0, 0, 1, 1), (300, 200, 60, 30), (40, 4)).tolist()]
+        for reach in (0.0, 7.0, 40.0):
+            want = {(i, j) for i, a in enumerate(spans) for j, b in enumerate(spans) if i < j and layout._gap(a.y1, a.y2, b.y1, b.y2) <= reach}
+            assert sorted(layout.close_pairs(spans, reach)) == sorted(want)
+        pairs = sorted((g, i, j) for i, a in enumerate(spans) for j, b in enumerate(spans) if i != j and (g := layout.stacked_gap(a, b)) is not None)
+        taken, out = set(), {}
+        for _, i, j in pairs:
+            if not {i, j} & taken:
+                taken |= {i, j}
+                out[i, j] = False
+        assert layout.fractions(spans) == out
+    many = [layout.Span("a = b", 50.0 * (i % 10), 14.0 * (i // 10), 50.0 * (i % 10) + 40, 14.0 * (i // 10) + 10) for i in range(6000)]
+    began = time.process_time()
+    assert layout.merged_fragments(many, 600.0, 9000.0) is not None and layout.fractions(many) is not None
+    assert time.process_time() - began < 20
