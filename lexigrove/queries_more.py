@@ -12,6 +12,8 @@ from lexigrove.functions import text as T
 from lexigrove.operators import audits, chunks, evaluate
 from lexigrove.queries import _TEXTS, _docs, _lines, _t, _texts, query
 from lexigrove.sources import pages as sources
+from lexigrove.sources.tables import place
+from lexigrove.streaming import clauses
 
 _LINE = f"(SELECT doc_id, i AS line_no, l[i] AS line, l[i + 1] AS following FROM (SELECT doc_id, {_lines('text')} AS l FROM {_TEXTS}), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
 
@@ -56,6 +58,19 @@ def clause_sessions(spark, d):
     return s.groupBy("doc_id", F.col("group_no").cast("long").alias("group_no")).agg(F.max("clause_id").alias("clause_id"), F.count("*").alias("lines"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
+@query(f"SELECT doc AS doc_id, group_no, max(heading) AS clause_id, count(*) AS lines, min(page)::INT AS first_page, max(page)::INT AS last_page, sum(size)::BIGINT AS chars FROM ({_SESSIONS}) WHERE doc <> 'own' GROUP BY ALL")
+def clause_session_stream(spark, d):
+    """The same groups found by the stateful operator, from a stream that brings each document's pages in two batches."""
+    home, pages = place(spark), _page_rows(spark, d).where("doc_id <> 'own'")
+    pages = pages.select("doc_id", F.col("page").cast("int").alias("page"), "page_class", "text")
+    for part in ("page < 2", "page >= 2"):
+        pages.where(part).write.mode("append").parquet(f"{home}/in")
+        stream = clauses.session_stream(spark.readStream.schema(pages.schema).parquet(f"{home}/in"))
+        stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination(600)
+    s = spark.read.parquet(f"{home}/out")
+    return s.groupBy("doc_id", "group_no").agg(F.max("clause_id").alias("clause_id"), F.count("*").alias("lines"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum(F.length("line")).cast("long").alias("chars"))
+
+
 @query(f"""WITH RECURSIVE s AS (SELECT doc, group_no, row_number() OVER (PARTITION BY doc, group_no ORDER BY page, line_no) AS k, size FROM ({_SESSIONS})),
  w AS (SELECT doc, group_no, k, size AS filled, 1 AS part FROM s WHERE k = 1 UNION ALL SELECT s.doc, s.group_no, s.k, CASE WHEN filled + 1 + size > 1800 THEN size ELSE filled + 1 + size END, CASE WHEN filled + 1 + size > 1800 THEN part + 1 ELSE part END
   FROM w JOIN s ON s.doc = w.doc AND s.group_no = w.group_no AND s.k = w.k + 1)
