@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.operators import audits, chunks
+from lexigrove.operators import audits, chunks, evaluate, references
 from lexigrove.plans import ports, routing
 from lexigrove.sources import pages as P
 from lexigrove.streaming import incremental
@@ -164,3 +165,21 @@ def test_summaries(spark):
     c = audits.garbage_candidates(g)
     assert [(r.page, r.priority) for r in c.collect()] == [(1, "veto"), (2, "suspect")] and audits.garbage_counts(c).first().veto_list == [1]
     assert [r[0] for r in spark.createDataFrame([(1, 3), (0, 0)], "a int, b int").select(audits.percent(F.col("a"), F.col("b"))).collect()] == ["33%", "—"]
+
+
+def test_report_on_proofread_pages(spark):
+    proofread = spark.createDataFrame([("Gear manual", 1, False, "landing gear", ["a=b"]), ("Gear manual", 9, True, "шасси самолета", None), ("unknown", 1, False, None, None), ("Fuel", 2, False, "fuel tanks", [])], "name string, page int, draft boolean, text string, formulas array<string>")
+    pages = spark.createDataFrame([("gear manual", 1, "landing geer"), ("gear manual", 2, "x"), ("Fuel", 2, " ")], "doc_id string, page int, text string")
+    candidates = spark.createDataFrame([("Fuel", 2, "high"), ("gear manual", 2, "low")], "doc_id string, page int, priority string")
+    got = references.report(proofread, pages, candidates).cache()
+    assert {(r.name, r.page): (r.lang, r.doc_id, r.cer, r.priority) for r in got.collect()} == {("Gear manual", 1): ("en", "gear manual", 1 / 12, None), ("Gear manual", 9): ("ru", "gear manual", None, None), ("unknown", 1): ("mixed", None, None, None), ("Fuel", 2): ("en", "Fuel", 1.0, "high")}
+    r = references.summary(got).first()
+    assert (r.references, r.matched, r.candidates, r.drafts, r.short, r.with_formulas, r.ru, r.en, r.mixed) == (4, 2, 1, 1, 4, 1, 1, 2, 1)
+    assert [r.doc_id for r in references.unread(candidates, got).collect()] == ["gear manual"]
+
+
+def test_distance_is_that_of_the_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcж ", k=rng.randrange(0, 30))) for _ in range(2))
+        assert evaluate.distance(a, b) == evaluate.edits(list(a), list(b))
