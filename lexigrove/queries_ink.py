@@ -118,5 +118,6 @@ def latex_verdicts(spark, d):
     kind = F.get(F.array(*map(F.lit, made)), ((c("l_orderkey") + line) % 7).cast("int"))
     rows = _t(spark, d, "lineitem").withColumn("kind", kind)
     latex = F.coalesce(*(F.when(c("kind") == k, v) for k, v in made.items()))
-    judged = X.verdicts(rows.select("kind", latex.alias("latex")))
+    # a small table is one file; reading LaTeX takes far longer than moving it
+    judged = X.verdicts(rows.select("kind", latex.alias("latex")).repartition(spark.sparkContext.defaultParallelism))
     return judged.groupBy("kind", "reason").agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"), F.sum(F.length("latex_fixed")).cast("long").alias("chars"))
