@@ -41,6 +41,8 @@ WINDOW, NEAR, VOTES = 16, 16, 4
 BITS, FULL, HASHES = 1024, 80, 5
 LEVELS = 1001
 BLOCK = 1 << 20
+#: Characters of texts that are fingerprinted at once while a partition is read.
+AT_ONCE = 1 << 18
 _ONE = 1 << 20  # n log2 n in integers, so that sums of a rolling window never drift
 
 
@@ -281,7 +283,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     first = False
                 wait.append((doc, text))
                 held += len(text)
-                if held > BLOCK and len(wait) > 1:
+                if held > AT_ONCE and len(wait) > 1:
                     yield batch(results([(d, t, after) for (d, t), (_, after) in zip(wait, wait[1:])], rank))
                     wait, held = wait[-1:], len(text)
         if len(wait) > 1:
