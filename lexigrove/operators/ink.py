@@ -3,7 +3,12 @@
 A stroke is a run of dark pixels in one line of a page's image: (doc_id, page, y, x1, x2), x2 excluded; a page's strokes do not
 overlap. ``strokes`` makes them from grey rasters, ``drawn`` from boxes; with ``turned`` lines are columns. All else is joins on
 (page, line), windows and sums over strokes, so pages of any number are spread and a page of any size is many small rows. Only
-connected components need a page's strokes together: a page is the unit there.
+connected components and crossing rules need a page's strokes together: a page is the unit there, and a task takes many pages at once.
+
+Slabs (``filled``) are strokes with ``y2``: the same stroke in all lines from y to y2, y2 excluded. A page's slabs are cut at the same
+lines, so those that begin in one line end in one line. A page of few boxes has few of them, however tall it is, and they stay with
+their page: what ``filled`` returns is dealt by page. ``area``, ``inside``, ``agreement``, ``labelled``, ``components``, ``rules`` and ``grids``
+take either.
 
 Boxes are structs x1, y1, x2, y2; in pixels here, from points by ``boxes.points_to_pixels``. ``pages`` are (doc_id, page, page_w,
 page_h in points, width, height in pixels, dpi). Extra columns are dropped; pages without strokes have no rows unless said.
@@ -100,6 +105,36 @@ def drawn(boxes: DataFrame, turned: bool = False) -> DataFrame:
     return _islands(_lines(boxes, turned=turned), by, "x1", "x2", 0).groupBy(*by, "island").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("island")
 
 
+def _bands(boxes: DataFrame, *more: str, turned: bool = False) -> DataFrame:
+    """Pixel boxes cut at the upper and lower edges of all boxes of their page: doc_id, page, y, y2, x1, x2 and ``more``.
+
+    A box has no more bands than lines.
+    """
+    b = F.col("box")
+    a, z, lo, hi = ("x1", "x2", "y1", "y2") if turned else ("y1", "y2", "x1", "x2")
+    whole = boxes.select(*KEY, *(b[c].cast("int").alias(k) for k, c in (("y", a), ("_low", z), ("x1", lo), ("x2", hi))), *more).where("_low > y AND x2 > x1")
+    page = Window.partitionBy(*KEY)
+    cut = whole.withColumn("_cuts", F.array_union(F.collect_set("y").over(page), F.collect_set("_low").over(page)))
+    own = cut.withColumn("_cuts", F.array_sort(F.filter("_cuts", lambda c: (c >= F.col("y")) & (c <= F.col("_low")))))
+    at = own.select(*KEY, "_cuts", "x1", "x2", *more, F.explode(F.sequence(F.lit(0), F.size("_cuts") - 2)).alias("_at"))
+    return at.select(*KEY, F.get("_cuts", F.col("_at")).alias("y"), F.get("_cuts", F.col("_at") + 1).alias("y2"), "x1", "x2", *more)
+
+
+def filled(boxes: DataFrame, turned: bool = False) -> DataFrame:
+    """Slabs of filled pixel boxes (doc_id, page, box), where they overlap or adjoin as one."""
+    by = [*KEY, "y", "y2"]
+    return _islands(_bands(boxes, turned=turned), by, "x1", "x2", 0).groupBy(*by, "island").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("island")
+
+
+def _tall(found: DataFrame) -> Column:
+    """Lines that a stroke or slab takes."""
+    return F.col("y2") - F.col("y") if "y2" in found.columns else F.lit(1)
+
+
+def _as_boxes(slabs: DataFrame) -> DataFrame:
+    return slabs.select(*KEY, B.box(F.col("x1"), F.col("y"), F.col("x2"), F.col("y2")).alias("box"))
+
+
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
     """Strokes where both have ink; ``b`` may have more columns, which stay."""
     more = [c for c in b.columns if c not in (*KEY, "y", "x1", "x2")]
@@ -122,13 +157,41 @@ def without(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def area(found: DataFrame) -> DataFrame:
     """(doc_id, page, ink): pixels with ink on each page that has any."""
-    return found.groupBy(*KEY).agg(F.sum(F.col("x2") - F.col("x1")).alias("ink"))
+    return found.groupBy(*KEY).agg(F.sum((F.col("x2") - F.col("x1")) * _tall(found)).alias("ink"))
+
+
+def shared(slabs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc_id, page, ink, text, both): pixels of the slabs, of the pixel boxes (doc_id, page, box), and of both, of each page with any."""
+    text = F.col("text")
+    rows = _bands(_as_boxes(slabs).withColumn("text", F.lit(False)).unionByName(boxes.select(*KEY, "box").withColumn("text", F.lit(True))), "text")
+    before = Window.partitionBy(*KEY, "y").orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = lambda own: F.greatest(F.lit(0), F.col("x2") - F.greatest("x1", F.coalesce(F.max(own).over(before), F.col("x1")))) * (F.col("y2") - F.col("y"))
+    own = lambda side: F.when(side, F.col("x2"))
+    sums = rows.select(*KEY, F.when(~text, fresh(own(~text))).otherwise(0).alias("ink"), F.when(text, fresh(own(text))).otherwise(0).alias("text"), fresh(F.col("x2")).alias("any"))
+    return sums.groupBy(*KEY).agg(F.sum("ink").alias("ink"), F.sum("text").alias("text"), (F.sum("ink") + F.sum("text") - F.sum("any")).alias("both"))
+
+
+def _ink_within(slabs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc_id, page, box_id, ink) of the pixel boxes that hold any of the slabs; one sweep through each band, whatever meets there."""
+    asked = boxes.select(*KEY, "box", "box_id", F.lit(True).alias("asked"))
+    rows = _bands(_as_boxes(slabs).withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True), "box_id", "asked")
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.lit(-1).alias("side")), F.struct(F.col("x2").alias("x"), F.lit(1).alias("side")))
+    slab = F.array(F.struct(F.col("x1").alias("x"), F.lit(0).alias("side")))
+    points = rows.select(*KEY, "y", "y2", "x2", "box_id", F.explode(F.when(F.col("asked"), ends).otherwise(slab)).alias("p")).select(*KEY, "y", "y2", "x2", "box_id", "p.x", "p.side")
+    # ink to the left of a point: slabs that begin before it, less what the last of them has behind it
+    order, slab = Window.partitionBy(*KEY, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0), F.col("side") == 0
+    left = F.coalesce(F.sum(F.when(slab, F.col("x2") - F.col("x"))).over(order), F.lit(0)) - F.greatest(F.lit(0), F.coalesce(F.max(F.when(slab, F.col("x2"))).over(order) - F.col("x"), F.lit(0)))
+    swept = points.withColumn("part", F.col("side") * left * (F.col("y2") - F.col("y")))
+    return swept.where(~slab).groupBy(*KEY, "box_id").agg(F.sum("part").alias("ink")).where("ink > 0")
 
 
 def inside(found: DataFrame, boxes: DataFrame) -> DataFrame:
     """(doc_id, page, box_id, ink, share) of every pixel box (doc_id, page, box_id, box): its pixels with ink, and their share of it."""
     b = F.col("box")
-    hit = common(found, _lines(boxes, "box_id")).groupBy(*KEY, "box_id").agg(F.sum(F.col("x2") - F.col("x1")).alias("ink"))
+    if "y2" in found.columns:
+        hit = _ink_within(found, boxes)
+    else:
+        hit = common(found, _lines(boxes, "box_id")).groupBy(*KEY, "box_id").agg(F.sum(F.col("x2") - F.col("x1")).alias("ink"))
     out = boxes.select(*KEY, "box_id", "box").join(hit, [*KEY, "box_id"], "left")
     ink = F.coalesce("ink", F.lit(0))
     return out.select(*KEY, "box_id", ink.alias("ink"), (ink / F.greatest(F.lit(1), (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))).alias("share"))
@@ -143,12 +206,19 @@ def pixel_boxes(spans: DataFrame, pages: DataFrame, grow: int = 0) -> DataFrame:
 
 
 def agreement(found: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, visual, ink_ratio, text_cover, ink_in_text) of every page: how well the text layer's boxes cover the ink.
+    """(doc_id, page, visual, ink_ratio, text_cover, ink_in_text, both) of every page: how well the text layer's boxes cover the ink.
+
+    ``both``: pixels with ink that a box covers.
 
     No spans: 0. Boxes that cover nothing: 0.2. Ink on more than 2 % of a page whose text covers less than 0.5 %: 0.25 at most.
     """
-    text = drawn(pixel_boxes(spans, pages))
-    sums = [area(found).withColumnRenamed("ink", "ink"), area(text).withColumnRenamed("ink", "text"), area(common(found, text)).withColumnRenamed("ink", "both"), spans.groupBy(*KEY).agg(F.count("*").alias("spans"))]
+    text = pixel_boxes(spans, pages)
+    if "y2" in found.columns:
+        sums = [shared(found, text)]
+    else:
+        text = drawn(text)
+        sums = [area(found), area(text).withColumnRenamed("ink", "text"), area(common(found, text)).withColumnRenamed("ink", "both")]
+    sums = [*sums, spans.groupBy(*KEY).agg(F.count("*").alias("spans"))]
     out = pages.select(*KEY, (F.col("width") * F.col("height")).cast("double").alias("size"))
     for s in sums:
         out = out.join(s, KEY, "left")
@@ -158,7 +228,7 @@ def agreement(found: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame
     score = 0.55 * in_text + 0.45 * F.least(F.lit(1.0), 3 * F.col("both") / (F.col("ink") + 1e-6))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     score = F.when((ratio > 0.02) & (cover < 0.005), F.least(score, F.lit(0.25))).otherwise(score)
-    return out.select(*KEY, F.when(F.col("spans") == 0, 0.0).when(cover < 1e-6, 0.2).otherwise(score).alias("visual"), ratio.alias("ink_ratio"), cover.alias("text_cover"), in_text.alias("ink_in_text"))
+    return out.select(*KEY, F.when(F.col("spans") == 0, 0.0).when(cover < 1e-6, 0.2).otherwise(score).alias("visual"), ratio.alias("ink_ratio"), cover.alias("text_cover"), in_text.alias("ink_in_text"), "both")
 
 
 # -- profiles -----------------------------------------------------------------------------------------------------------
@@ -281,28 +351,86 @@ def fraction_bars(found: DataFrame, pairs: DataFrame, pages: DataFrame) -> DataF
 # -- components, figures, grids ------------------------------------------------------------------------------------------
 
 
+def _whole_pages(batches):
+    """Tables of whole pages from batches of ``_by_page``, with where each page begins; as many pages as a batch completes."""
+    held: list = []
+    for b in batches:
+        at = np.flatnonzero(b.column("n").to_numpy() == 1)
+        if len(at):
+            held.append(b.slice(0, at[-1]))
+            t = pa.Table.from_batches(held)
+            if len(t):
+                yield t, np.flatnonzero(t.column("n").to_numpy() == 1)
+            held = [b.slice(at[-1])]
+        else:
+            held.append(b)
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.flatnonzero(t.column("n").to_numpy() == 1)
+
+
+def _numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(c).to_numpy().astype(np.int64) for c in names]
+
+
+def _parts(t: pa.Table, at: np.ndarray) -> np.ndarray:
+    """The first of the strokes or slabs (sorted by page, line, place) that each hangs together with; ``at``: where pages begin."""
+    y, y2, a, z = _numbers(t, "y", "y2", "x1", "x2")
+    page = np.zeros(len(y), bool)
+    page[at] = True
+    # lines that adjoin on the page have numbers in a row, all others are further apart
+    line = np.zeros(len(y), np.int64)
+    apart = page[1:] | (y[1:] != y2[:-1])
+    line[1:] = np.where(page[1:] | (y[1:] != y[:-1]), 1 + apart, 0)
+    return roots(len(y), *touching(np.cumsum(line), a, z))
+
+
+def _by_page(found: DataFrame, *order: str) -> DataFrame:
+    """Each page in one task and its rows in a row, numbered by ``n`` from one; keys as string and long.
+
+    The window is what keeps a page together: a repartition may be left out where a join below is dealt anew while it runs.
+    """
+    keyed = found.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("page", F.col("page").cast("long"))
+    return keyed.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
+
+
+def _stacked(found: DataFrame) -> DataFrame:
+    return _by_page(found.select(*KEY, "y", (F.col("y") + _tall(found)).alias("y2"), "x1", "x2"), "y", "x1")
+
+
 def labelled(found: DataFrame) -> DataFrame:
-    """Strokes with ``component``, the number of the first stroke (by line, place) of those they hang together with, corners included.
+    """Strokes (slabs) with ``component``, the number of the first stroke (by line, place) of those they hang together with, corners included.
 
     A page's strokes meet in one task, as four numbers each.
     """
+    names = [c for c in (*KEY, "y", "y2", "x1", "x2") if c in found.columns]
 
-    def run(keys, table):
-        y, a, z = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x1", "x2"))
-        order = np.lexsort((a, y))
-        y, a, z = y[order], a[order], z[order]
-        part = roots(len(y), *touching(y, a, z))
-        n = len(y)
-        columns = [pa.array([keys[0].as_py()] * n, pa.string()), pa.array([keys[1].as_py()] * n, pa.int64()), *(pa.array(v.astype(np.int32)) for v in (y, a, z)), pa.array(part)]
-        return pa.Table.from_arrays(columns, ["doc_id", "page", "y", "x1", "x2", "component"])
+    def run(batches):
+        for t, at in _whole_pages(batches):
+            part = _parts(t, at)
+            yield from t.select(names).append_column("component", pa.array(part - at[np.searchsorted(at, part, "right") - 1])).to_batches()
 
-    own = found.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("long").alias("page"), "y", "x1", "x2")
-    return own.groupBy(*KEY).applyInArrow(run, STROKE + ", component long")
+    own = _stacked(found)
+    return own.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in own.select(*names).dtypes) + ", component long")
 
 
 def components(found: DataFrame) -> DataFrame:
     """(doc_id, page, component, box in pixels, ink) of the connected parts of each page."""
-    g = labelled(found).groupBy(*KEY, "component").agg(F.min("x1").alias("a"), F.min("y").alias("b"), F.max("x2").alias("c"), (F.max("y") + 1).alias("d"), F.sum(F.col("x2") - F.col("x1")).alias("ink"))
+
+    def run(batches):
+        for t, at in _whole_pages(batches):
+            part = _parts(t, at)
+            y, y2, a, z = _numbers(t, "y", "y2", "x1", "x2")
+            order = np.argsort(part, kind="stable")
+            begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+            first = part[order][begin]
+            each = lambda how, v: pa.array(how.reduceat(v[order], begin).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(t.column(c).combine_chunks().take(pa.array(first)) for c in KEY), pa.array(first - at[np.searchsorted(at, first, "right") - 1]), each(np.minimum, a), each(np.minimum, y), each(np.maximum, z), each(np.maximum, y2), pa.array(np.add.reduceat(((z - a) * (y2 - y))[order], begin))],
+                [*KEY, "component", *"abcd", "ink"],
+            )
+
+    g = _stacked(found).mapInArrow(run, "doc_id string, page long, component long, a int, b int, c int, d int, ink long")
     return g.select(*KEY, "component", B.box(*(F.col(x) for x in "abcd")).alias("box"), "ink")
 
 
@@ -339,7 +467,8 @@ def rules(found: DataFrame, pages: DataFrame, turned: bool = False) -> DataFrame
     """Strokes that are long enough for a rule: a 35th of the page's side, at least 22 pixels."""
     side = F.col("height" if turned else "width")
     p = pages.select(*KEY, F.greatest(F.floor(side / RULE), F.lit(RULE_PIXELS)).alias("least"))
-    return found.join(p, KEY).where(F.col("x2") - F.col("x1") >= F.col("least")).drop("least")
+    long = found.join(p, KEY).where(F.col("x2") - F.col("x1") >= F.col("least")).drop("least")
+    return long.withColumn("y", F.explode(F.sequence("y", F.col("y2") - 1))).drop("y2") if "y2" in found.columns else long
 
 
 def grids(across: DataFrame, down: DataFrame, pages: DataFrame) -> DataFrame:
@@ -348,41 +477,46 @@ def grids(across: DataFrame, down: DataFrame, pages: DataFrame) -> DataFrame:
     ``across`` and ``down`` are strokes by lines and by columns (``turned``). A table has GRID_LINES lines each way, where rows
     of pixels that hold a rule for an eighth of its side count, those within six pixels as one line.
     """
-    h, v = rules(across, pages).select(*KEY, "y", "x1", "x2"), rules(down, pages, True).select(*KEY, F.col("y").alias("x"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+    row = [*KEY, "y", "x1", "x2"]
+    both = rules(across, pages).select(*row, F.lit(False).alias("turned")).union(rules(down, pages, True).select(*row, F.lit(True).alias("turned")))
     schema = "doc_id string, page long, turned boolean, y int, x1 int, x2 int, component long"
 
-    def run(keys, a, b):
-        y, x1, x2 = (a.column(c).to_numpy().astype(np.int64) for c in ("y", "x1", "x2"))
-        x, y1, y2 = (b.column(c).to_numpy().astype(np.int64) for c in ("x", "y1", "y2"))
-        n, m = len(y), len(x)
-        order = np.argsort(x, kind="stable")
-        lo, hi = np.searchsorted(x[order], x1), np.searchsorted(x[order], x2)
-        size = hi - lo
-        total = np.cumsum(size)
-        i = np.repeat(np.arange(n), size)
-        j = order[np.repeat(lo - (total - size), size) + np.arange(total[-1] if n else 0)]
-        cross = (y[i] >= y1[j]) & (y[i] < y2[j])
-        part = roots(n + m, i[cross], n + j[cross])
-        key = [pa.array([keys[0].as_py()] * (n + m), pa.string()), pa.array([keys[1].as_py()] * (n + m), pa.int64())]
-        join = lambda p, q: pa.array(np.concatenate([p, q]).astype(np.int32))
-        return pa.Table.from_arrays([*key, pa.array(np.arange(n + m) >= n), join(y, x), join(x1, y1), join(x2, y2), pa.array(part)], ["doc_id", "page", "turned", "y", "x1", "x2", "component"])
+    def run(batches):
+        for t, at in _whole_pages(batches):
+            y, a, z = _numbers(t, "y", "x1", "x2")
+            turned = t.column("turned").to_numpy()
+            page = np.repeat(np.arange(len(at)), np.diff(at, append=len(y))) * (int(max(y.max(), z.max())) + 2)
+            h, v = np.flatnonzero(~turned), np.flatnonzero(turned)
+            v = v[np.argsort((page + y)[v], kind="stable")]
+            place = (page + y)[v]
+            lo, hi = np.searchsorted(place, (page + a)[h]), np.searchsorted(place, (page + z)[h])
+            size = hi - lo
+            total = np.cumsum(size)
+            i = np.repeat(h, size)
+            j = v[np.repeat(lo - (total - size), size) + np.arange(total[-1] if len(h) else 0)]
+            cross = (y[i] >= a[j]) & (y[i] < z[j])
+            part = roots(len(y), i[cross], j[cross])
+            met = np.zeros(len(y), bool)  # rules that cross none are no table
+            met[i[cross]] = met[j[cross]] = True
+            own = t.append_column("component", pa.array(part - at[np.searchsorted(at, part, "right") - 1])).filter(pa.array(met))
+            yield from own.select(["doc_id", "page", "turned", "y", "x1", "x2", "component"]).to_batches()
 
     key = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("page", F.col("page").cast("long"))
-    lines = key(h).groupBy(*KEY).cogroup(key(v).groupBy(*KEY)).applyInArrow(run, schema)
+    lines = _by_page(both, "turned", "y").mapInArrow(run, schema).join(key(pages.select(*KEY, "width", "height")), KEY)
+    # joined by page, so that all that follows stays where the page is
     by = [*KEY, "component"]
-    t = F.col("turned")
-    hull = lines.groupBy(*by).agg(F.min(F.when(t, F.col("y")).otherwise(F.col("x1"))).alias("a"), F.min(F.when(t, F.col("x1")).otherwise(F.col("y"))).alias("b"), F.max(F.when(t, F.col("y") + 1).otherwise(F.col("x2"))).alias("c"), F.max(F.when(t, F.col("x2")).otherwise(F.col("y") + 1)).alias("d"))
+    hulled, t = Window.partitionBy(*by), F.col("turned")
+    sides = {"a": F.min(F.when(t, F.col("y")).otherwise(F.col("x1"))), "b": F.min(F.when(t, F.col("x1")).otherwise(F.col("y"))), "c": F.max(F.when(t, F.col("y") + 1).otherwise(F.col("x2"))), "d": F.max(F.when(t, F.col("x2")).otherwise(F.col("y") + 1))}
+    lines = lines.select("*", *(v.over(hulled).alias(k) for k, v in sides.items()))
     wide, tall = F.col("c") - F.col("a"), F.col("d") - F.col("b")
     size = F.col("width") * F.col("height")
-    hull = hull.join(key(pages.select(*KEY, "width", "height")), KEY)
-    hull = hull.where((wide * tall).between(GRID_LEAST * size, GRID_MOST * size) & (wide >= GRID_WIDE * F.col("width")) & (tall >= GRID_TALL * F.col("height")))
-    rows = lines.join(hull, by).groupBy(*by, "turned", "y").agg(F.sum(F.col("x2") - F.col("x1")).alias("n"), F.first(wide).alias("wide"), F.first(tall).alias("tall"))
-    peaks = rows.where(F.col("n") >= F.greatest(F.lit(3.0), 0.12 * F.when(t, F.col("tall")).otherwise(F.col("wide"))))
-    order = Window.partitionBy(*by, "turned").orderBy("y")
-    peaks = peaks.withColumn("fresh", F.coalesce(F.col("y") - F.lag("y").over(order) > 6, F.lit(True)).cast("int"))
-    counted = peaks.groupBy(*by).agg(F.sum(F.when(~t, F.col("fresh")).otherwise(0)).alias("n_h"), F.sum(F.when(t, F.col("fresh")).otherwise(0)).alias("n_v"))
-    ink = rows.groupBy(*by).agg(F.sum(F.when(~t, F.col("n")).otherwise(0)).alias("ink_h"), F.sum(F.when(t, F.col("n")).otherwise(0)).alias("ink_v"))
-    out = hull.join(counted, by).join(ink, by)
+    lines = lines.where((wide * tall).between(GRID_LEAST * size, GRID_MOST * size) & (wide >= GRID_WIDE * F.col("width")) & (tall >= GRID_TALL * F.col("height")))
+    rows = lines.groupBy(*by, *sides, "turned", "y").agg(F.sum(F.col("x2") - F.col("x1")).alias("n"))
+    peak = F.col("n") >= F.greatest(F.lit(3.0), 0.12 * F.when(t, tall).otherwise(wide))
+    before = F.max(F.when(peak, F.col("y"))).over(Window.partitionBy(*by, "turned").orderBy("y").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", (peak & F.coalesce(F.col("y") - before > 6, F.lit(True))).cast("int"))
+    total = lambda c, side, name: F.sum(F.when(side, F.col(c)).otherwise(0)).alias(name)
+    out = rows.groupBy(*by, *sides).agg(total("fresh", ~t, "n_h"), total("fresh", t, "n_v"), total("n", ~t, "ink_h"), total("n", t, "ink_v"))
     mean = lambda c: 255.0 * F.col(c) / (wide * tall)
     out = out.where((F.col("n_h") >= GRID_LINES) & (F.col("n_v") >= GRID_LINES) & (mean("ink_h") >= GRID_INK) & (mean("ink_v") >= GRID_INK))
     score = F.least(F.lit(1.0), 0.35 + 0.08 * F.least(F.col("n_h"), F.lit(8)) + 0.08 * F.least(F.col("n_v"), F.lit(8)) + (mean("ink_h") + mean("ink_v")) / 50)

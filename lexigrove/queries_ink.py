@@ -64,7 +64,7 @@ _PARTS = f"""WITH RECURSIVE b AS (SELECT page, o, x1, y1, x2, y2 FROM {_NUMBERED
 @query(_PARTS)
 def ink_components(spark, d):
     """Connected parts of a page's boxes: how many, the most ink of one, the largest box around one."""
-    c = ink.components(ink.drawn(_boxes(spark, d)))
+    c = ink.components(ink.filled(_boxes(spark, d)))
     return c.groupBy("page").agg(F.count("*").alias("parts"), F.max("ink").alias("most"), F.max(B.area(F.col("box"))).cast("long").alias("widest"))
 
 

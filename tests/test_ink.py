@@ -262,3 +262,51 @@ def test_image_measures_and_steps(spark):
     straight = pixels.turned(tilted, got[2].skew_deg if abs(pixels.skew(pixels.turned(tilted, got[2].skew_deg))) < 1 else -got[2].skew_deg)
     assert abs(pixels.skew(straight)) < 1
     assert pixels.smoothed(noisy, 60.0).std() < noisy.std() and (pixels.smoothed(flat, 10.0) == 128).all() and pixels.equalized(tilted, 2.0).shape == tilted.shape
+
+
+def scattered(spark, seed=3, pages=40):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for page in range(pages):
+        for i in range(int(rng.integers(1, 12))):
+            x, y = rng.integers(0, 80, 2)
+            rows.append(("d" if page % 3 else "e", page // 2, i, (float(x), float(y), float(x + rng.integers(0, 40)), float(y + rng.integers(0, 40)))))
+    return framed(spark, rows)
+
+
+def same(a, b):
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+    assert rows(a) == rows(b) and a.count() > 0
+
+
+def test_slabs_are_the_strokes_of_their_lines(spark):
+    b = scattered(spark)
+    for turned in (False, True):
+        slabs = ink.filled(b, turned)
+        same(slabs.withColumn("y", F.explode(F.sequence("y", F.col("y2") - 1))).drop("y2"), ink.drawn(b, turned))
+        same(ink.rules(slabs, b.select("doc_id", "page", F.lit(700).alias("width"), F.lit(700).alias("height")).distinct(), turned), ink.rules(ink.drawn(b, turned), b.select("doc_id", "page", F.lit(700).alias("width"), F.lit(700).alias("height")).distinct(), turned))
+    slabs, lines = ink.filled(b), ink.drawn(b)
+    same(ink.area(slabs), ink.area(lines))
+    same(ink.inside(slabs, b), ink.inside(lines, b))
+    same(ink.components(slabs).drop("component"), ink.components(lines).drop("component"))
+    p = b.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(120.0).alias("page_w"), F.lit(120.0).alias("page_h"), F.lit(120).alias("width"), F.lit(120).alias("height"), F.lit(72).alias("dpi"))
+    odd, even = b.where("box_id % 2 = 1"), b.where("box_id % 2 = 0")
+    same(ink.agreement(ink.filled(odd), even, p), ink.agreement(ink.drawn(odd), even, p))
+
+
+def test_tall_boxes_are_few_slabs(spark):
+    """A box is a row for each edge that cuts it, not for each of its lines."""
+    b = framed(spark, [("d", 0, 0, (0.0, 0.0, 10.0, 5000.0)), ("d", 0, 1, (20.0, 100.0, 30.0, 4000.0))])
+    assert sorted((r.y, r.y2, r.x1, r.x2) for r in ink.filled(b).collect()) == [(0, 100, 0, 10), (100, 4000, 0, 10), (100, 4000, 20, 30), (4000, 5000, 0, 10)]
+
+
+def test_pages_go_on_over_batches(spark):
+    """Pages that end within, with and behind an Arrow batch; components and crossings are those of the page alone."""
+    b = scattered(spark, 9)
+    want = sorted(map(tuple, ink.labelled(ink.filled(b)).collect()), key=repr)
+    for n in ("1", "2", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            assert sorted(map(tuple, ink.labelled(ink.filled(b)).collect()), key=repr) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
