@@ -78,7 +78,7 @@ def ink_in_boxes(spark, d):
     """Share of ink in each box moved to the right, where it meets any of its page's boxes."""
     b, box = _boxes(spark, d), F.col("box")
     asked = b.select("doc_id", "page", F.col("o").alias("box_id"), B.box(box["x1"] + _MOVED, box["y1"], box["x2"] + _MOVED, box["y2"]).alias("box"))
-    out = ink.inside(ink.drawn(b), asked).where("ink > 0")
+    out = ink.inside(ink.filled(b), asked).where("ink > 0")
     return out.select("page", F.col("box_id").alias("o"), "ink", F.round("share", 6).alias("share"))
 
 
