@@ -93,7 +93,7 @@ def ruled_grids(spark, d):
     down = o.select("doc_id", "page", "h", F.explode(F.sequence(F.lit(0).cast("long"), "v")).alias("i")).select("doc_id", "page", B.box(100 + 40 * F.col("i"), F.lit(50), 101 + 40 * F.col("i"), 50 + 30 * F.col("h") + 1).alias("box"))
     lines = across.union(down)
     pages = o.select("doc_id", "page", F.lit(600.0).alias("page_w"), F.lit(700.0).alias("page_h"), F.lit(600).alias("width"), F.lit(700).alias("height"), F.lit(72).alias("dpi"))
-    g = ink.grids(ink.drawn(lines), ink.drawn(lines, turned=True), pages)
+    g = ink.grids(ink.filled(lines), ink.filled(lines, turned=True), pages)
     return g.select("page", "n_h", "n_v", *(F.col("box")[k].cast("int").alias(k) for k in ("x1", "y1", "x2", "y2")))
 
 
