@@ -50,9 +50,8 @@ _SETS = f"WITH a AS ({_union(f'(SELECT * FROM {_NUMBERED} WHERE o % 2 = 1)')}),
 def text_ink_agreement(spark, d):
     """The odd boxes of a page as ink, the even ones as the text layer's boxes."""
     b, pages = _boxes(spark, d), _pages(spark, d)
-    found, spans = ink.drawn(b.where("o % 2 = 1")), b.where("o % 2 = 0")
-    both = ink.area(ink.common(found, ink.drawn(spans))).select("page", F.col("ink").alias("ink_in_text"))
-    return ink.agreement(found, spans, pages).select("page", F.round(F.col("visual") + 1e-9, 6).alias("visual")).join(both, "page", "left").na.fill(0, ["ink_in_text"])
+    found, spans = ink.filled(b.where("o % 2 = 1")), b.where("o % 2 = 0")
+    return ink.agreement(found, spans, pages).select("page", F.round(F.col("visual") + 1e-9, 6).alias("visual"), F.col("both").alias("ink_in_text"))
 
 
 _PARTS = f"""WITH RECURSIVE b AS (SELECT page, o, x1, y1, x2, y2 FROM {_NUMBERED}), near AS (SELECT a.page, a.o AS a, c.o AS c FROM b a JOIN b c ON a.page = c.page AND a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2),
