@@ -40,7 +40,7 @@ def _pages(spark, d):
 @query(_union(_BOX))
 def ink_coverage(spark, d):
     """Pixels that the boxes of a page cover."""
-    return ink.area(ink.drawn(_boxes(spark, d))).select("page", "ink")
+    return ink.area(ink.filled(_boxes(spark, d))).select("page", "ink")
 
 
 _SETS = f"WITH a AS ({_union(f'(SELECT * FROM {_NUMBERED} WHERE o % 2 = 1)')}), t AS ({_union(f'(SELECT * FROM {_NUMBERED} WHERE o % 2 = 0)')}), u AS ({_union(_BOX)}), s AS (SELECT page, u.ink AS u, coalesce(a.ink, 0) AS i, coalesce(t.ink, 0) AS t, coalesce(a.ink, 0) + coalesce(t.ink, 0) - u.ink AS b FROM u LEFT JOIN a USING (page) LEFT JOIN t USING (page))"
