@@ -1,8 +1,9 @@
-"""Connected components of small graphs in arrays, and the steps around them that Spark has no expression for."""
+"""Connected components of small graphs in arrays, whole groups of sorted batches, and the steps around them that Spark has no expression for."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -37,3 +38,21 @@ def touching(line: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     total = np.cumsum(size)
     of = np.repeat(np.arange(len(line)), size)
     return of, np.repeat(first - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def whole_groups(batches):
+    """Tables of whole groups from batches in which ``n`` counts the rows of a group from one, with where each group begins; as many as a batch completes."""
+    held: list = []
+    for b in batches:
+        at = np.flatnonzero(b.column("n").to_numpy() == 1)
+        if len(at):
+            held.append(b.slice(0, at[-1]))
+            t = pa.Table.from_batches(held)
+            if len(t):
+                yield t, np.flatnonzero(t.column("n").to_numpy() == 1)
+            held = [b.slice(at[-1])]
+        else:
+            held.append(b)
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.flatnonzero(t.column("n").to_numpy() == 1)

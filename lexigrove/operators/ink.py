@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions import boxes as B
-from lexigrove.functions.linked import roots, touching
+from lexigrove.functions.linked import roots, touching, whole_groups
 
 KEY = ["doc_id", "page"]
 STROKE = "doc_id string, page long, y int, x1 int, x2 int"
@@ -351,24 +351,6 @@ def fraction_bars(found: DataFrame, pairs: DataFrame, pages: DataFrame) -> DataF
 # -- components, figures, grids ------------------------------------------------------------------------------------------
 
 
-def _whole_pages(batches):
-    """Tables of whole pages from batches of ``_by_page``, with where each page begins; as many pages as a batch completes."""
-    held: list = []
-    for b in batches:
-        at = np.flatnonzero(b.column("n").to_numpy() == 1)
-        if len(at):
-            held.append(b.slice(0, at[-1]))
-            t = pa.Table.from_batches(held)
-            if len(t):
-                yield t, np.flatnonzero(t.column("n").to_numpy() == 1)
-            held = [b.slice(at[-1])]
-        else:
-            held.append(b)
-    if held:
-        t = pa.Table.from_batches(held)
-        yield t, np.flatnonzero(t.column("n").to_numpy() == 1)
-
-
 def _numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy().astype(np.int64) for c in names]
 
@@ -406,7 +388,7 @@ def labelled(found: DataFrame) -> DataFrame:
     names = [c for c in (*KEY, "y", "y2", "x1", "x2") if c in found.columns]
 
     def run(batches):
-        for t, at in _whole_pages(batches):
+        for t, at in whole_groups(batches):
             part = _parts(t, at)
             yield from t.select(names).append_column("component", pa.array(part - at[np.searchsorted(at, part, "right") - 1])).to_batches()
 
@@ -418,7 +400,7 @@ def components(found: DataFrame) -> DataFrame:
     """(doc_id, page, component, box in pixels, ink) of the connected parts of each page."""
 
     def run(batches):
-        for t, at in _whole_pages(batches):
+        for t, at in whole_groups(batches):
             part = _parts(t, at)
             y, y2, a, z = _numbers(t, "y", "y2", "x1", "x2")
             order = np.argsort(part, kind="stable")
@@ -482,7 +464,7 @@ def grids(across: DataFrame, down: DataFrame, pages: DataFrame) -> DataFrame:
     schema = "doc_id string, page long, turned boolean, y int, x1 int, x2 int, component long"
 
     def run(batches):
-        for t, at in _whole_pages(batches):
+        for t, at in whole_groups(batches):
             y, a, z = _numbers(t, "y", "x1", "x2")
             turned = t.column("turned").to_numpy()
             page = np.repeat(np.arange(len(at)), np.diff(at, append=len(y))) * (int(max(y.max(), z.max())) + 2)
