@@ -183,3 +183,18 @@ def test_distance_is_that_of_the_table():
     for _ in range(300):
         a, b = ("".join(rng.choices("abcж ", k=rng.randrange(0, 30))) for _ in range(2))
         assert evaluate.distance(a, b) == evaluate.edits(list(a), list(b))
+
+
+def test_replaced_letters_need_no_table():
+    rng = random.Random(4)
+    assert evaluate.replaced("ab", "ba") is None and evaluate.replaced("abc", "ab") is None and evaluate.replaced("", "") == 0
+    found = 0
+    for _ in range(500):
+        a = "".join(rng.choices("abcж😀 ", k=rng.randrange(0, 20)))
+        b = "".join(rng.choice("xcз" if rng.random() < 0.1 else x) for x in a)
+        got = evaluate.replaced(a, b)
+        assert got is None or got == evaluate.edits(list(a), list(b))
+        found += got is not None and got > 0
+    assert found > 100
+    long = "seen here " * 100_000  # the table would have 10^12 places
+    assert evaluate.distance(long, long.replace("e", "c")) == 400_000
