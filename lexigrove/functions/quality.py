@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.config import Settings
-from lexigrove.functions.text import density_score, lang_hint, strip
+from lexigrove.functions.tally import LETTERS, char_counts
+from lexigrove.functions.text import density_score, lang_hint, once, strip
 
 S = Settings()
 # Designations that are no misspelled words, by whole token; then identifiers of structured documents (case counts).
@@ -54,19 +55,22 @@ def is_typo_shaped(token: Column) -> Column:
 
 
 def printable_ratio(c: Column) -> Column:
-    ok = _count(c, rf"[\x09-\x0D\x20-\x7E\u0085\u00A0\u2000-\u200A\u2028\u2029\u3000{PRINTABLE}]")
+    ok = char_counts(c, ok=rf"\x09-\x0D\x20-\x7E\u0085\u00A0\u2000-\u200A\u2028\u2029\u3000{PRINTABLE}").ok
     return F.when(F.length(c) == 0, 0.0).otherwise(ok / F.length(c))
 
 
 def language_score(c: Column) -> Column:
     """Coherent Cyrillic or Latin text, not a soup of symbols."""
-    letters, cyr, lat = _count(c, r"\p{L}"), _count(c, "[Ѐ-ӿ]"), _count(c, "[A-Za-z]")
-    a, b, n = cyr / (cyr + lat), lat / (cyr + lat), _count(c, "[A-Za-z]{2,}")
-    latin = F.when(n >= 3, 0.75 + 0.2 * F.least(F.lit(1.0), n / 20)).otherwise(0.45)
-    return (
-        F.when(strip(F.coalesce(c, F.lit(""))) == "", 0.0).when(letters == 0, 0.35).when(cyr + lat == 0, 0.2)
-        .when(a >= 0.45, 0.65 + 0.35 * a).when(b >= 0.75, latin).when(a >= 0.2, 0.55).otherwise(0.3)
-    )
+    def score(n: Column) -> Column:
+        a, b = n.cyr / (n.cyr + n.lat), n.lat / (n.cyr + n.lat)
+        latin = F.when(n.words >= 3, 0.75 + 0.2 * F.least(F.lit(1.0), n.words / 20)).otherwise(0.45)
+        return (
+            F.when(n.letters == 0, 0.35).when(n.cyr + n.lat == 0, 0.2)
+            .when(a >= 0.45, 0.65 + 0.35 * a).when(b >= 0.75, latin).when(a >= 0.2, 0.55).otherwise(0.3)
+        )
+
+    counts = char_counts(c, words="A-Za-z", letters=LETTERS, cyr="Ѐ-ӿ", lat="A-Za-z")
+    return F.when(strip(F.coalesce(c, F.lit(""))) == "", 0.0).otherwise(once(counts, score))
 
 
 def geometry_scores(spans: DataFrame) -> DataFrame:
