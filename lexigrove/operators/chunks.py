@@ -26,30 +26,37 @@ HEADING = rf"(?iu)^(?:({PREFIX})\.?[ \t]+)?([0-9]+(?:\.[0-9]+)*)(\.)?[ \t]*(.*)$
 NUMBERED, UNNUMBERED, LARGEST = 8, 40, 400
 
 
-def letter_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(LETTERS))
+def has_letters(c: Column, least: int) -> Column:
+    """Whether ``c`` has so many letters; looks no further than to the last of them."""
+    return c.rlike(rf"^(?:[^{LETTERS[1:-1]}]*+{LETTERS}){{{least}}}")
 
 
 def heading_number(line: Column, following: Column) -> Column:
     """Clause number when ``line`` opens a clause, else null. A lone ``n.`` needs a line with four letters behind it."""
     line = T.strip(line)
     part = lambda i: F.regexp_extract(line, HEADING, i)
-    prefix, num, title = part(1) != "", part(2), T.strip(part(4))
-    dotted = F.contains(num, F.lit("."))
-    bad = line.rlike(LEADER) | title.rlike("^[0-9]{2,4}$") | num.startswith("0")
-    plain = ~dotted & ~prefix
-    titled = (letter_count(title) >= 4) & F.substring(title, 1, 1).rlike(r"^\p{Lu}") & (F.length(num) <= 3) & (num.cast("int") <= LARGEST)
-    # a number with dots alone must not be a long decimal
-    long = dotted & ~prefix & (title == "") & F.exists(F.split(num, r"\."), lambda x: F.length(x) > 4)
+
+    def numbered(x: Column) -> Column:
+        prefix, num, title = x.prefix != "", x.num, x.title
+        dotted = F.contains(num, F.lit("."))
+        bad = x.line.rlike(LEADER) | title.rlike("^[0-9]{2,4}$") | num.startswith("0")
+        plain = ~dotted & ~prefix
+        titled = has_letters(title, 4) & F.substring(title, 1, 1).rlike(r"^\p{Lu}") & (F.length(num) <= 3) & (num.cast("int") <= LARGEST)
+        # a number with dots alone must not be a long decimal
+        long = dotted & ~prefix & (title == "") & F.exists(F.split(num, r"\."), lambda x: F.length(x) > 4)
+        return F.when((num != "") & ~bad & ~(plain & ~F.coalesce(titled, F.lit(False))) & ~long, num)
+
     lone = line.rlike(r"^[0-9]{1,3}\.$")
-    ok = (num != "") & ~bad & ~(plain & ~F.coalesce(titled, F.lit(False))) & ~long
-    return F.when(lone, F.when(letter_count(F.coalesce(following, F.lit(""))) >= 4, F.regexp_replace(line, r"\.$", ""))).when(ok, num)
+    parts = F.struct(part(1).alias("prefix"), part(2).alias("num"), T.strip(part(4)).alias("title"), line.alias("line"))
+    # most lines hold no number where a heading has it
+    found = F.when(line.rlike(HEADING), T.once(parts, numbered))
+    return F.when(lone, F.when(has_letters(F.coalesce(following, F.lit("")), 4), F.regexp_replace(line, r"\.$", ""))).otherwise(found)
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, source_file, page, page_class, line_no, line): joined at hyphens, tidied, without page furniture."""
     source = F.coalesce(F.col("source_file"), F.col("doc_id").cast("string")) if "source_file" in pages.columns else F.col("doc_id").cast("string")
-    found = F.filter(F.transform(F.split(T.join_hyphens(F.col("text")), T.BREAK), lambda x: T.strip(F.regexp_replace(x, "[ \t]+", " "))), lambda x: (x != "") & ~T.is_furniture(x))
+    found = F.filter(F.transform(F.split(T.join_hyphens(F.col("text")), T.BREAK), lambda x: T.strip(F.regexp_replace(x, "[ \t]{2,}|\t", " "))), lambda x: (x != "") & ~T.is_furniture(x))
     return pages.select("doc_id", source.alias("source_file"), "page", "page_class", F.posexplode(found).alias("line_no", "line"))
 
 

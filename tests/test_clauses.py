@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -86,3 +87,12 @@ def test_against_plain_loop(spark):
 )
 def test_lookalikes(given, wanted):
     assert repair(given) == wanted
+
+
+def test_letters_are_looked_for_up_to_the_last_that_counts(spark):
+    t = ["", "abc", "a1b2c3d", "....\n\nаб ё\tz", "é é é é", "1234", None, "x" * 50]
+    df = spark.createDataFrame([(x,) for x in t], "t string")
+    for r in df.select("t", chunks.has_letters(F.col("t"), 4).alias("has")).collect():
+        assert r.has == (None if r.t is None else len(re.findall("[A-Za-zА-Яа-яЁё]", r.t)) >= 4)
+    plan = chunks.sessions(chunks.page_lines(spark.createDataFrame([("a", 1, "A", "x")], "doc_id string, page int, page_class string, text string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
