@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.config import Settings
-from lexigrove.functions.tally import LETTERS, char_counts
+from lexigrove.functions.tally import LETTERS, char_counts, word_counts, words_by_text
 from lexigrove.functions.text import density_score, lang_hint, once, strip
+from lexigrove.sources.tables import stored
 
 S = Settings()
 # Designations that are no misspelled words, by whole token; then identifiers of structured documents (case counts).
@@ -108,7 +109,8 @@ def lexicon(corpus: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     Stands in for a list of word frequencies that is not shipped; thresholds are parameters of ``lexical_quality``.
     """
-    n = corpus.select(F.col(lang).alias("lang"), F.explode(words(F.lower(F.col(text)))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # stored, as the totals read it too and texts should be cut once
+    n = stored(word_counts(corpus.select(F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text")), "text", WORD, "lang"))
     total = n.groupBy("lang").agg(F.sum("n").alias("total"))
     return n.join(F.broadcast(total), "lang").select("lang", "word", F.log10(F.col("n") * 1e9 / F.col("total")).alias("zipf"))  # one row a language
 
@@ -116,10 +118,10 @@ def lexicon(corpus: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 def lexical_quality(pages: DataFrame, known: DataFrame, hit: float = 3.0, weak: float = 1.5, veto: float = 0.75, oov_veto: float = 0.18, least: int = 25, letters: int = 5, samples: int = 12) -> DataFrame:
     """Per page of ``pages`` (page_id, text): quality, dict_hit, typo_ratio, oov_hard, n_tokens, lang_hint, vetoed, sample of bad tokens.
 
-    ``known``: (lang, word, zipf). Distinct tokens meet the word list in one join, pre-aggregated by page; a frequent token is one row a page.
+    ``known``: (lang, word, zipf). Distinct tokens of all pages meet the word list and are judged once; pages count theirs without a shuffle
+    and meet the judged ones, which are stored so that few are shipped and many are joined.
     """
-    t = pages.select("page_id", F.posexplode(words(F.col("text"))).alias("at", "token")).where(alpha_len(F.col("token")) >= 2)
-    t = t.groupBy("page_id", "token").agg(F.min("at").alias("at"), F.count("*").alias("n")).withColumn("long", alpha_len(F.col("token")) >= letters)
+    t = word_counts(pages, "text", WORD).select(F.col("word").alias("token"), alpha_len(F.col("word")).alias("alpha")).where("alpha >= 2").withColumn("long", F.col("alpha") >= letters)
     base = F.lower(F.when((F.length("token") > 3) & F.col("token").endswith("-"), F.expr("left(token, length(token) - 1)")).otherwise(F.col("token")))
     best = known.groupBy("word").agg(F.max("zipf").alias("zipf"))
     t = t.withColumn("word", base).join(best, "word", "left").withColumn("z", F.coalesce("zipf", F.lit(0.0)))
@@ -127,7 +129,9 @@ def lexical_quality(pages: DataFrame, known: DataFrame, hit: float = 3.0, weak:
     hit_, weak_ = tech | (F.col("z") >= hit), ~tech & (F.col("z") < hit) & (F.col("z") >= weak)
     oov = ~tech & (F.col("z") < weak)
     typo = oov | (weak_ & (is_typo_shaped(F.col("token")) | F.col("token").endswith("-")))
-    t = t.select("page_id", "long", "at", "token", "n", *(F.when(c, F.col("n")).otherwise(0).alias(k) for k, c in (("hit", hit_), ("weak", weak_), ("oov", oov), ("typo", typo))))
+    judged = stored(t.select("token", "long", *(c.alias(k) for k, c in (("is_hit", hit_), ("is_weak", weak_), ("is_oov", oov), ("is_typo", typo)))))
+    t = words_by_text(pages, "page_id", "text", WORD).withColumnRenamed("word", "token").join(judged, "token")
+    t = t.select("page_id", "long", "at", "token", "n", *(F.when(c, F.col("n")).otherwise(0).alias(k) for k, c in ((k, F.col(f"is_{k}")) for k in ("hit", "weak", "oov", "typo"))))
     sums = lambda on: [F.sum(F.when(on, F.col(k)).otherwise(0)).alias(k) for k in ("n", "hit", "weak", "oov", "typo")]
     both = t.groupBy("page_id").agg(F.struct(*sums(F.col("long"))).alias("a"), F.struct(*sums(F.lit(True))).alias("b"), F.sort_array(F.collect_list(F.when(F.col("typo") > 0, F.struct("at", "token", "long")))).alias("bad"))
     got = both.select("page_id", F.when(F.col("a.n") > 0, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("a.n") > 0, F.expr("filter(bad, x -> x.long)")).otherwise(F.col("bad")).alias("bad"))

@@ -48,3 +48,14 @@ def test_words_are_counted_before_the_shuffle(spark, monkeypatch):
         assert {r.word: r.n for r in tally.word_counts(df, "t", "[abЖё]+").collect()} == Counter(w for x in t for w in re.findall("[abЖё]+", x))
     got = sorted((r.i, r["at"], r.word, r.n) for r in tally.words_by_text(df, "i", "t", "[abЖё]+").collect())
     assert got == [(i, at, w, n) for i, x in enumerate(t) for at, (w, n) in enumerate(Counter(re.findall("[abЖё]+", x)).items())]
+
+
+def test_tokens_are_judged_once_and_not_by_occurrence(spark):
+    from lexigrove.functions import quality
+
+    pages = spark.createDataFrame([(1, "Valve valve vlvtrkq zz and and"), (2, "and 12 ---"), (3, None)], "page_id int, text string")
+    known = spark.createDataFrame([("en", "and", 7.0), ("en", "valve", 4.0)], "lang string, word string, zipf double")
+    got = quality.lexical_quality(pages, known, letters=3)
+    assert {r.page_id: (r.n_tokens, r.dict_hit, r.oov_hard, list(r.bad_tokens)) for r in got.collect()} == {1: (5, 0.8, 0.2, ["vlvtrkq"]), 2: (1, 1.0, 0.0, []), 3: (0, 0.0, 0.0, [])}
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "rlike" not in plan and "mil(" not in plan and "explode" not in plan
