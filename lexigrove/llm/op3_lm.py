@@ -250,13 +250,16 @@ class Lexicon:
 def gathered(table: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of rows of ``table`` over consecutive ranges, the first of all ranges, then the second..., some ranges of like length at a time."""
     size = np.diff(bounds)
-    out, many = np.zeros((len(size), table.shape[1]), table.dtype), int(np.count_nonzero(size))
+    sums, many = np.zeros((len(size), table.shape[1]), table.dtype), int(np.count_nonzero(size))
     order = np.argsort(65535 - size.astype(np.uint16) if len(size) and size.max() < 1 << 16 else -size, kind="stable")
     step = max(512, (1 << 18) // table.shape[1])
+    table = np.ascontiguousarray(table)  # np.take copies whole rows, unlike an index
+    more = np.empty((min(step, many), table.shape[1]), table.dtype)
     for a in range(0, many, step):
         some = order[a : min(a + step, many)]
         begin, falling = bounds[some], -size[some]
-        part, n, j = table[row[begin]], len(some), 0
+        n, j = len(some), 0
+        part = np.take(table, row[begin], axis=0, out=sums[a : a + n], mode="clip")
         while True:
             j += 1
             n = int(np.searchsorted(falling[:n], -j, "left"))  # ranges of more than j
@@ -264,11 +267,22 @@ def gathered(table: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> np.ndarr
                 break
             if n < 64 or n < 1024 and j >= 64:  # few long ones are left
                 for i in range(n):  # one after another as below, so that a sum does not depend on the other ranges
-                    part[i] = np.concatenate([part[i : i + 1], table[row[begin[i] + j : begin[i] - falling[i]]]]).sum(0)
+                    rest = np.take(table, row[begin[i] + j : begin[i] - falling[i]], axis=0)
+                    rest[0] += part[i]
+                    part[i] = rest.sum(0)
                 break
-            part[:n] += table[row[begin[:n] + j]]
-        out[some] = part
-    return out
+            part[:n] += np.take(table, row[begin[:n] + j], axis=0, out=more[:n], mode="clip")
+    back = np.empty(len(size), np.int64)
+    back[order] = np.arange(len(size))
+    return np.take(sums, back, axis=0)
+
+
+def ordered(key: np.ndarray) -> np.ndarray:
+    """Stable order of integers that are not negative, by 16 bits at a time (numpy sorts those in one pass over the data)."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    if len(key) and key.max() >> 16:
+        order = order[ordered((key >> 16)[order])]
+    return order
 
 
 def transitions(kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -410,7 +424,9 @@ class Attention:
 
     def inputs(self, kind: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Queries, keys and values of words, one row each."""
-        return gathered(self.p["ids"], self.row[ids], bounds) + self.p["classes"][kind]
+        x = gathered(self.p["ids"], self.row[ids], bounds)
+        x += np.take(self.p["classes"], kind, axis=0)
+        return x
 
     @property
     def start(self) -> np.ndarray:
@@ -466,7 +482,7 @@ class Attention:
         for a in range(0, len(text), batch):
             z_ = min(a + batch, len(text))
             new = slice(BEFORE + a * BLOCK, BEFORE + z_ * BLOCK)
-            y = x[at[a * BLOCK : new.stop]].astype(np.float32, copy=False)
+            y = np.take(x, at[a * BLOCK : new.stop], axis=0).astype(np.float32, copy=False)
             z = self.attend(*self.views(y), later[a:z_])[4] @ self.p["out"]
             z += self.p["bias"]
             hit = z.reshape(-1)[goal[new]]
@@ -571,7 +587,7 @@ class Attention:
         for a in range(0, len(text), part):
             z = min(a + part, len(text))
             new = slice(BEFORE + a * BLOCK, BEFORE + z * BLOCK)
-            _, dq, dk, dv = self.shift(*self.views(x[at[a * BLOCK : new.stop]]), later[a:z], live[new], goal[new], len(where), g)
+            _, dq, dk, dv = self.shift(*self.views(np.take(x, at[a * BLOCK : new.stop], axis=0)), later[a:z], live[new], goal[new], len(where), g)
             d = dx[new].reshape(z - a, BLOCK, QKV)
             d[..., :a1], d[..., a1:a2], d[..., a2:] = dq, dk[:, BEFORE:], dv[:, BEFORE:]
             d = dx[a * BLOCK : z * BLOCK].reshape(z - a, BLOCK, QKV)[:, :BEFORE]  # what stands before a block is the end of the block before
@@ -579,12 +595,11 @@ class Attention:
             d[..., a2:] += dv[:, :BEFORE]
         w = at[where]
         first = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(x)))])
-        by_word = gathered(dx, where[np.argsort(w.astype(np.uint16) if len(x) <= 1 << 16 else w, kind="stable")], first)
+        by_word = gathered(dx, where[ordered(w)], first)
         g["near"], cls = self.by_gap(g.pop("gap")), np.append(kind, CLASSES)
         g["classes"] = gathered(by_word, np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES + 1))]))
         row, n = self.row[ids], len(self.p["ids"])
-        order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
-        g["ids"] = gathered(by_word, np.repeat(np.arange(len(kind)), np.diff(bounds))[order], np.searchsorted(row[order], np.arange(n + 1)))
+        g["ids"] = gathered(by_word, np.repeat(np.arange(len(kind)), np.diff(bounds))[ordered(row)], edges(np.bincount(row, minlength=n)))
         return g
 
     def train(self, sample: Sample, kind: np.ndarray, steps: int = 0, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Attention:
@@ -659,19 +674,23 @@ class Model:
         counts = counts if isinstance(counts, Counts) else Counts(pa.table({"word": pa.array(list(counts), pa.binary()), "n": np.array(list(counts.values()), np.int64)}))
 
         def make(strings: list[bytes]) -> np.ndarray:
-            out = self.rows(pa.array(strings, pa.large_binary()), *spelled([x or b"." for x in strings], vocabulary), counts)
+            found = self.rows(pa.array([x or b"." for x in strings], pa.large_binary()), vocabulary, counts)
+            out = np.zeros(len(strings) + 1, self.ROW)
+            for name, column in found.items():
+                out[name] = column
             if b"" in strings:
                 out[strings.index(b"")] = out[-1]
             return out[:-1]
 
         return make
 
-    def rows(self, found: pa.Array, ids: np.ndarray, bounds: np.ndarray, counts: Counts) -> np.ndarray:
-        """One ROW for each of some distinct words, spelled as ``ids`` within ``bounds``, and one for a text's start."""
+    def rows(self, found: pa.Array, vocabulary: bytes, counts: Counts) -> dict[str, np.ndarray]:
+        """The columns of ROW for each of some distinct words and for a text's start; each column lies in one piece."""
         n, step = len(found), 1 << 14
-        kind, count = self.lexicon.kinds(ids, bounds), counts.find(found)
-        opened = self.shares.open(kind, self.speller.logs(kind, ids, bounds))
-        out = np.zeros(n + 1, self.ROW)
+        place = counts.find(found)
+        count = np.append(counts.n, -1)[place]
+        kind, opened, ids, bounds = counts.made(place, *self.opened(found.filter(pa.array(place < 0)), vocabulary)) if counts.rows else self.opened(found, vocabulary)
+        out = {name: np.zeros(n + 1, self.ROW[name].base) if name != "x" else np.empty((n + 1, QKV), np.float32) for name in self.ROW.names}
         out["kind"][:n], out["count"][:n], out["open"][:n] = kind, count, opened
         out["share"][:n] = self.shares.logs(kind, np.maximum(count, 0), opened)
         for a in range(0, n, step):  # inputs are wide
@@ -680,6 +699,12 @@ class Model:
         out["x"][n] = self.attention.start
         return out
 
+    def opened(self, found: pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, log10 of the share without a count) of words, and their subword ids with bounds."""
+        ids, bounds = spelled(found, vocabulary)
+        kind = self.lexicon.kinds(ids, bounds)
+        return kind, self.shares.open(kind, self.speller.logs(kind, ids, bounds)), ids, bounds
+
     @staticmethod
     def look_up(memo: K.Memo, w: K.Words) -> tuple[int, np.ndarray, np.ndarray]:
         """(place of a text's start, places of the words, rows)."""
@@ -687,14 +712,14 @@ class Model:
         at, row = memo(w.data, np.concatenate([zero, w.starts]), np.concatenate([zero, w.ends]))
         return int(at[0]), at[1:], row
 
-    def score(self, w: K.Words, start: int, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def score(self, w: K.Words, start: int, at: np.ndarray, row: np.ndarray | dict[str, np.ndarray]) -> np.ndarray:
         """log10 probability of each text, with the counts that ``row`` has."""
         n = len(w.counts)
         place = np.arange(len(at)) + w.docs()
         before, kind = np.full(len(at) + n + 1, start), np.full(len(at) + n, END, np.int32)
         before[place + 1], kind[place] = at, row["kind"][at]
         before[w.bounds[:-1] + np.arange(n)] = start
-        return self.attention.logs(row["x"], before[:-1], kind, w.counts + 1) + w.sums(row["share"][at])
+        return self.attention.logs(np.ascontiguousarray(row["x"]), before[:-1], kind, w.counts + 1) + w.sums(row["share"][at])
 
 
 def batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -742,10 +767,10 @@ def count(train: DataFrame, lexicon, shipped) -> DataFrame:
                 z = np.rint(z * (UNIT / z.sum(1, keepdims=True)))
                 weight = z[block].astype(np.float64)
                 weight[even[later] - 1] += z[later]
-                by_word = gathered(weight, np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(at.astype(np.int32))], np.concatenate([[0], np.cumsum(times)]))
-                some, place = np.unique(ids, return_inverse=True)
-                for t in range(TOPICS):
-                    n[t, some] += np.bincount(place, np.repeat(by_word[:, t], np.diff(bounds)), len(some)).astype(np.int64)
+                by_word = gathered(weight, np.repeat(np.arange(len(size), dtype=np.int32), size)[ordered(at)], edges(times))
+                by_id = np.bincount(ids, minlength=VOCABULARY)
+                some = np.flatnonzero(by_id)
+                n[:, some] += gathered(by_word, np.repeat(np.arange(len(times)), np.diff(bounds))[ordered(ids)], edges(by_id[some])).astype(np.int64).T
         topic, ids = np.nonzero(n)
         key = np.zeros((len(ids), 4), np.uint8)
         key[:, 0], key[:, 1], key[:, 2], key[:, 3] = BLANK[0], topic, ids >> 8, ids & 255
@@ -925,16 +950,47 @@ def fit(train: DataFrame, words: DataFrame, ends: int, shipped, sample: int = SA
     return Model(lexicon, speller, shares, attention.train(windows_, kind))
 
 
+def hashes(found: pa.Array) -> np.ndarray:
+    data, off = stored(found)
+    return K.Hasher(data)(off[:-1], off[1:])
+
+
 class Counts:
-    """The shipped words with their counts."""
+    """The shipped words with their counts, and what depends on the word alone if ``make`` was called."""
 
     def __init__(self, words: pa.Table):
         self.words, self.n = pa.array(words["word"].combine_chunks(), pa.large_binary()), words["n"].to_numpy()
+        self.rows: tuple[np.ndarray, ...] = ()
+        key = hashes(self.words)
+        self.order = np.argsort(key)
+        self.key = key[self.order]
+
+    def make(self, model: Model, vocabulary: bytes, step: int = 1 << 14) -> Counts:
+        """Classes, shares without counts and subword ids of all words, so that tasks need not work them out again and again."""
+        parts = [model.opened(self.words.slice(a, step), vocabulary) for a in range(0, len(self.words), step)]
+        if parts:
+            kind, opened, ids, bounds = zip(*parts)
+            self.rows = np.concatenate(kind), np.concatenate(opened), np.concatenate(ids).astype(np.uint16), edges(np.concatenate([np.diff(x) for x in bounds]))
+        return self
 
     def find(self, found: pa.Array) -> np.ndarray:
-        """Count of each word, -1 if it is not among them."""
-        at = pc.index_in(found, self.words)
-        return np.append(self.n, -1)[at.fill_null(len(self.n)).to_numpy()]
+        """Place of each word, -1 if it is not among them; found by hashes, told by bytes."""
+        if not len(self.key) or not len(found):
+            return np.full(len(found), -1)
+        if (self.key[1:] == self.key[:-1]).any():  # two words of one hash: not to be expected
+            return pc.index_in(found, self.words).fill_null(-1).to_numpy().astype(np.int64)
+        at = self.order[np.minimum(np.searchsorted(self.key, hashes(found)), len(self.key) - 1)]
+        return np.where(pc.equal(self.words.take(pa.array(at)), found).to_numpy(zero_copy_only=False), at, -1)
+
+    def made(self, place: np.ndarray, kind: np.ndarray, opened: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, share and ids with bounds by word, from the rows of the words at ``place``; the rest holds those that have none, in order."""
+        at, begin = place.copy(), self.rows[3]
+        at[place < 0] = np.arange(len(self.n), len(self.n) + len(kind))
+        first = np.concatenate([begin[:-1], begin[-1] + bounds[:-1]])[at]
+        size = np.concatenate([np.diff(begin), np.diff(bounds)])[at]
+        own = edges(size)
+        every = np.concatenate([self.rows[2], ids.astype(np.uint16)])
+        return np.append(self.rows[0], kind)[at], np.append(self.rows[1], opened)[at], every[np.repeat(first - own[:-1], size) + np.arange(own[-1])], own
 
 
 RARE = "array<struct<word:binary,times:int,open:double,less:double>>"
@@ -967,14 +1023,14 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
     top = words.where((size >= least) & (F.octet_length("word") <= 64)).select("word", "n").toArrow()
     whole = top.num_rows == distinct - (1 if ends else 0)
     base = float(np.log10(total + distinct + 1.0))
-    pack = spark.sparkContext.broadcast((model, Counts(top)))
+    pack = spark.sparkContext.broadcast((model, Counts(top).make(model, shipped.value)))
 
     def run(batches):
         model, counts = pack.value
         less = model.shares.discount
         for b in batches:
             for a, z, _, w, at, found in parts(b.column(2)):
-                start, row = len(found), model.rows(found, *spelled(found, shipped.value), counts)
+                start, row = len(found), model.rows(found, shipped.value, counts)
                 n = np.maximum(row["count"], 0)
                 hit = (n > 0)[at]
                 known, part = w.sums(hit.astype(np.int64)), w.sums(np.log10(n + 1.0)[at])
@@ -983,9 +1039,9 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZERS, sample: int = SAMPLE) ->
                 flat_ = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
                 if not whole and len(at):
                     miss = np.flatnonzero(~hit)
-                    pair, times = np.unique(w.docs()[miss] * len(row) + at[miss], return_counts=True)
-                    kept = pair % len(row)
-                    bounds = np.searchsorted(pair // len(row), np.arange(z - a + 1)).astype(np.int32)
+                    pair, times = np.unique(w.docs()[miss] * (start + 1) + at[miss], return_counts=True)
+                    kept = pair % (start + 1)
+                    bounds = np.searchsorted(pair // (start + 1), np.arange(z - a + 1)).astype(np.int32)
                     kind = row["kind"][kept]
                     flat_ = found.take(pa.array(kept)).cast(pa.binary()), times.astype(np.int32), row["open"][kept], np.where(kind < SINGLE, -1.0, less[np.maximum(kind - SINGLE, 0)])
                 rare = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in flat_], ["word", "times", "open", "less"]))

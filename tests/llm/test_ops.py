@@ -348,6 +348,46 @@ def test_op3_class_of_a_word_depends_on_its_ids_alone(lm):
     assert (op3_lm.gathered(table, row[:300], bounds[:2]) == every[:1]).all()
 
 
+def test_op3_shipped_words_are_worked_out_once(lm, monkeypatch):
+    """Tasks spell only words that were not shipped; every row is what spelling all of them gives."""
+    m, counts, vocabulary, _ = lm
+    table = pa.table({"word": pa.array(list(counts), pa.binary()), "n": np.array(list(counts.values()), np.int64)})
+    plain, made = op3_lm.Counts(table), op3_lm.Counts(table).make(m, vocabulary, step=100)
+    new = ["zzqx'll".encode(), "né\u4e2d9".encode(), b"x1" * 300]
+    found = pa.array([new[0], *[*counts][::3], new[1], *[*counts][1::3], new[2]], pa.large_binary())
+    want, seen, spelled = m.rows(found, vocabulary, plain), [], op3_lm.spelled
+    monkeypatch.setattr(op3_lm, "spelled", lambda words, v: seen.extend(words.to_pylist()) or spelled(words, v))
+    got = m.rows(found, vocabulary, made)
+    assert seen == new and (want["count"] < 0).sum() == len(new)
+    assert all((got[name] == want[name]).all() for name in m.ROW.names if name not in ("count", "x"))
+    assert (got["count"][:-1] == want["count"][:-1]).all() and (got["x"] == want["x"]).all()
+    none = m.rows(found.slice(1, 5), vocabulary, made)  # all of them shipped
+    assert (none["open"][:-1] == want["open"][1:6]).all() and seen == new
+    # words are told apart by their bytes, even if all hashes were equal
+    place = plain.find(found)
+    monkeypatch.setattr(op3_lm, "hashes", lambda words: np.zeros(len(words), np.uint64))
+    assert (op3_lm.Counts(table).find(found) == place).all()
+    one = op3_lm.Counts(table.slice(0, 1)).find(found)
+    assert [found[i].as_py() for i in np.flatnonzero(one == 0).tolist()] == [next(iter(counts))]
+
+
+def test_op3_order_by_16_bits():
+    rng = np.random.default_rng(2)
+    for most in (5, 1 << 16, 1 << 18, 1 << 40):
+        key = rng.integers(0, most, 4000)
+        assert (op3_lm.ordered(key) == np.argsort(key, kind="stable")).all()
+    assert len(op3_lm.ordered(np.zeros(0, np.int64))) == 0
+
+
+def test_words_spelled_by_the_plain_pattern():
+    v, rng = bpe.read(), np.random.default_rng(3)
+    letters = [*"abzXY019'-.,#_/", "'s", "'ll", "é", "ß", "中", "文", "²", "Ⅷ", "\u0301", "\u200d", "😀", "\ufffd", "<|endoftext|>"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)]
+    ids, bounds = bpe.spell_joined(" " + " ".join(words), len(words), v)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [bpe.encoding(v).encode_ordinary(" " + w) for w in words]
+    assert bpe.PLAIN != bpe.PATTERN and bpe.PATTERN.startswith(bpe.PLAIN)
+
+
 def test_op3_reads_training_texts_three_times(spark, docs, monkeypatch):
     """Once for the sample, once for counts and topics, once to train; and all texts once to score them."""
     texts, rows = [], op3_lm.rows
