@@ -118,8 +118,9 @@ def parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, K.Words, np.nda
     def part(some: list[tuple[int, int]]):
         a, z = some[0][0], some[-1][1]
         w = K.Words(*K.as_arrays(col.slice(a, z - a)), lower=True)
-        code, found = K.distinct(w.data, w.starts, w.ends)
-        return a, z, np.array([a, *(y for _, y in some)]) - a, w, code, found
+        # the bytes inside words are all words one after another
+        every = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(edges(w.ends - w.starts)), pa.py_buffer(w.data[w.inside])]).dictionary_encode()
+        return a, z, np.array([a, *(y for _, y in some)]) - a, w, every.indices.to_numpy().astype(np.int64), every.dictionary
 
     for i in range(0, len(cuts), WIDE):
         some = cuts[i : i + WIDE]
