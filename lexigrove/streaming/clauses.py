@@ -2,8 +2,8 @@
 
 What ``chunks.sessions`` finds with windows over whole documents, found page by page as they arrive: the state of a document is
 its last page, the group that is open, and a lone number at the foot of the last page, of which only the next line tells whether
-it is a heading. Lines come out once, with their group; a held line comes out with the document's next page; ``Document.release``
-gives it out where a document is known to be whole.
+it is a heading. Lines come out once, with their group; a held line comes out with the document's next page, or when the document
+is known to be whole.
 
 Pages of a document must arrive in order, those of one batch may stand in any. A page that comes after a later one is ``late``: it
 opens groups of its own, numbered -1, -2..., and leaves the others as they are. Null texts have no lines.
@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexigrove.functions import text as T
 from lexigrove.operators.chunks import has_letters, heading_number, page_lines
+from lexigrove.sources.tables import exists
 
 OUT = "doc_id string, page int, line_no int, line string, group_no long, clause_id string, late boolean"
 STATE = "page int, group_no long, clause_id string, late long, held_page int, held_no int, held_line string, held_num string"
@@ -76,7 +78,8 @@ def _sessions(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     document = Document(tuple(map(_none, state.get)) if state.exists else None)
     out: list[tuple] = []
     # a document's batch is small, so plain lists take a part of the time of frames
-    lines = sorted((row for b in batches for row in zip(*(b[c].tolist() for c in _READ))), key=lambda row: row[:2])
+    rows = [row for b in batches for row in zip(*(b[c].tolist() for c in _READ))]
+    lines = sorted((row for row in rows if isinstance(row[2], str)), key=lambda row: row[:2])
     reached, late = document.held[0] if document.held else document.page, None
     for page, number, line, num, lone, words in lines:
         if reached is None or page >= reached:
@@ -86,12 +89,30 @@ def _sessions(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             document.late += 1
             late, clause = page, _none(num)
         out.append((int(page), int(number), line, -document.late, clause, True))
+    if len(lines) < len(rows):  # a row without a line: the document is whole
+        out += document.release(False)
     state.update(document.state())
     columns = list(zip(*out)) or [()] * len(_KINDS)
     yield pd.DataFrame({"doc_id": np.full(len(out), key[0], object)} | {k: np.array(c, t) for (k, t), c in zip(_KINDS.items(), columns)})
 
 
-def session_stream(pages: DataFrame) -> DataFrame:
-    """``pages`` (doc_id, page, page_class, text), a stream, as lines with group_no, clause_id and late."""
+def session_stream(pages: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """``pages`` (doc_id, page, page_class, text), a stream, as lines with group_no, clause_id and late.
+
+    ``whole``: a stream of doc_id of documents behind whose pages, those of the same batch too, nothing comes.
+    """
     lines = marked_lines(pages)
+    if whole is not None:
+        none = F.lit(None).cast("string")
+        lines = lines.union(whole.select(F.col("doc_id").cast("string"), F.lit(0), F.lit(0), none, none, none, F.lit(False)))
     return lines.groupBy("doc_id").applyInPandasWithState(_sessions, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def finished(spark: SparkSession, run: StreamingQuery, state: str, batch: int) -> None:
+    """Waits for a run over what there is, however long it takes; raises if it failed or ended before ``batch`` was committed to its checkpoint ``state``."""
+    try:
+        run.awaitTermination()
+    finally:
+        run.stop()
+    if not exists(spark, f"{state}/commits/{batch}"):
+        raise RuntimeError(f"the stream was stopped before batch {batch} was done")

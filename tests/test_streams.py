@@ -1,4 +1,9 @@
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql.streaming import StreamingQuery
+
 from lexigrove.operators import chunks
+from lexigrove.queries import QUERIES
 from lexigrove.streaming import clauses
 
 PAGES = "doc_id string, page int, page_class string, text string"
@@ -42,3 +47,48 @@ def test_a_held_line_comes_out_when_nothing_follows():
     again = clauses.Document(document.state())
     assert list(again.release(False)) == [(1, 0, "7.", 1, None, False)] and list(again.release(True)) == []
     assert list(document.add(2, 0, "Title", None, None, True)) == [(1, 0, "7.", 1, "7", False), (2, 0, "Title", 1, "7", False)]
+
+
+def documents(spark, path, texts):
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def sessions_of(name, spark, path):
+    return sorted(tuple(r) for r in QUERIES[name](spark, path).where("doc_id <> 'own'").collect())
+
+
+def test_a_number_at_the_end_of_a_whole_document_comes_out(spark, tmp_path):
+    path = documents(spark, tmp_path, [(4, "4.1 Gear\nof it"), (5, "7."), (8, "1.1 Wing\n3."), (10, "Title of three\n9."), (12, "5."), (14, None)])
+    got = sessions_of("clause_session_stream", spark, path)
+    assert got == sessions_of("clause_sessions", spark, path) and sum(r[3] for r in got) == 8
+
+
+def test_a_stream_that_takes_long_is_waited_for(spark, tmp_path, monkeypatch):
+    path = documents(spark, tmp_path, [(i, f"{i}.1 Gear\nof it") for i in range(4, 12)])
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda run, timeout=None: wait(run, timeout and timeout / 6000))
+    got = sessions_of("clause_session_stream", spark, path)
+    assert got == sessions_of("clause_sessions", spark, path) and len(got) == 8
+
+
+def test_a_stream_that_is_stopped_is_no_result(spark, tmp_path, monkeypatch):
+    path = documents(spark, tmp_path, [(i, f"{i}.1 Gear\nof it") for i in range(4, 12)])
+    wait, ended = StreamingQuery.awaitTermination, []
+
+    def stopped(run, timeout=None):
+        if ended:  # the second run, which brings the later pages
+            run.stop()
+        ended.append(wait(run, timeout))
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", stopped)
+    with pytest.raises(RuntimeError, match="batch 1"):
+        sessions_of("clause_session_stream", spark, path)
+
+
+def test_a_stream_that_fails_raises(spark, tmp_path, monkeypatch):
+    path = documents(spark, tmp_path, [(4, "4.1 Gear\nof it")])
+    fails = clauses.session_stream
+    monkeypatch.setattr(clauses, "session_stream", lambda *a: fails(*a).where("raise_error('broken') IS NULL"))
+    with pytest.raises(StreamingQueryException):
+        sessions_of("clause_session_stream", spark, path)
