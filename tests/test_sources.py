@@ -178,6 +178,17 @@ def test_report_on_proofread_pages(spark):
     assert [r.doc_id for r in references.unread(candidates, got).collect()] == ["gear manual"]
 
 
+def test_pages_are_compared_to_their_end(spark):
+    text = "seen here " * 3_000
+    proofread = spark.createDataFrame([("Gear", 1, False, text, None)], "name string, page int, draft boolean, text string, formulas array<string>")
+    layer = text[:20_000] + text[20_000:].replace("e", "c")
+    pages = spark.createDataFrame([("Gear", 1, layer)], "doc_id string, page int, text string")
+    assert references.report(proofread, pages).first().cer == 4_000 / 29_999
+    assert references.report(proofread, pages, compared=12_000).first().cer == 0
+    pair = spark.createDataFrame([("a" * 13_000 + "b", "a" * 13_000)], "x string, y string")
+    assert evaluate.char_errors(pair, "x", "y").first().cer == 1 / 13_001
+
+
 def test_distance_is_that_of_the_table():
     rng = random.Random(3)
     for _ in range(300):
